@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import simhash, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +20,20 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the words, the words removed as parts of 50-word windows of smaller documents, and what is kept."""
+    found = substring.dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the bytes, the bytes removed as parts of 50-byte strings of smaller documents, and what is kept."""
+    found = suffix.dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {f.__name__: f for f in (op1_simhash, op9_substring, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
