@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring, suffix
+from . import chat, embeddings, mixing, simhash, substring, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,33 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation digests of its turns and of its trainable text, read back from the formatted examples."""
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') t(conv_id, turn, role, text)")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = chat.read_back(chat.examples(turns))
+    sha = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return read.select("conv_id", "n_turns", sha("turns_text").alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), sha("loss_text").alias("loss_sha256"), "formatted_chars")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document what the mix takes of it; sources weigh 1, 2, 3, repeating, by code point."""
+    found = mixing.mix(_table(spark, sf_dir, "documents"), F.array("source"), lambda names: [i % 3 + 1 for i in range(len(names))])
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its bytes and its tokens under word_bpe_49k.json."""
+    import public_tokenizers
+
+    return tokens.counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vector its links, component, and whether it is kept."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the words, the words removed as parts of 50-word windows of smaller documents, and what is kept."""
     found = substring.dedup(_table(spark, sf_dir, "documents"))
@@ -33,7 +60,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op9_substring, op10_suffix)}
+    return {f.__name__: f for f in (op1_simhash, op3_chat, op4_mixing, op5_tokens, op6_embeddings, op9_substring, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,7 +54,7 @@ def with_columns(df: DataFrame, **new) -> DataFrame:
 # ---------------------------------------------------------------- arrays of text
 
 
-def text_arrays(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_arrays(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Yields (first row, bytes, offsets) of slices of rows with about `most` bytes each; a longer row is a slice of its own.
     Null counts as empty. offsets has one entry more than the slice has rows."""
     if isinstance(column, pa.ChunkedArray):
