@@ -44,4 +44,4 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window
     gives an empty result; other columns pass through, those named as the new ones give way.
     """
     gram = gram or max(1, window // 3)
-    return marked(docs, Plan("words", window, gram, cell_bits, hot), _resolve, text=text, doc_id=doc_id)
+    return marked(docs, Plan("words", window, gram, cell_bits, hot, bucket=2048), _resolve, text=text, doc_id=doc_id)

@@ -45,6 +45,7 @@ class Plan(NamedTuple):
     gram: int
     cell_bits: int = 27
     hot: int = 512
+    bucket: int = 12288  # spans in a bucket, about
 
 
 class Stream(NamedTuple):
@@ -251,7 +252,7 @@ def spans(docs: DataFrame, plan: Plan, counted: Sketch) -> tuple[DataFrame, Data
     """docs(text, d, tag) -> (bucket, spans) blobs of the anchors with 2 <= estimate < hot, and the hot spans, if any."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counted)  # two rows of 2^cell_bits bits, whatever the corpus
-    buckets = max(512, -(-counted.spans // 32768))
+    buckets = max(512, -(-counted.spans // plan.bucket))
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -293,23 +294,26 @@ def spans(docs: DataFrame, plan: Plan, counted: Sketch) -> tuple[DataFrame, Data
                 sums = [prefix_sums(c, k) for k, c in enumerate(s.codes)]
                 shape = (n * 256 + (a.pos - a.low)).astype(np.uint64)
                 key = [mixed(range_hash(x, k, a.low, a.high + plan.length) ^ mixed(shape)).view(np.int64) for k, x in enumerate(sums)]
-                doc = docs_[first + row]
-                order = np.lexsort((doc, key[1], key[0]))
-                begin = np.concatenate(([True], np.diff(key[0][order]) != 0)) | np.concatenate(([True], np.diff(key[1][order]) != 0))
-                least = np.empty(len(order), np.int64)
-                least[order] = doc[order][np.flatnonzero(begin)][np.cumsum(begin) - 1]
+                order = np.lexsort((a.low, row, key[1], key[0]))
+                k0, k1, row, low, n = key[0][order], key[1][order], row[order], a.low[order], n[order]
+                span = np.concatenate(([True], (np.diff(k0) != 0) | (np.diff(k1) != 0)))
+                each = span | np.concatenate(([True], np.diff(row) != 0))  # a row for each span and document, with all its places
+                at, lows = np.flatnonzero(each), (low - s.row_at[row]).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array(lows))
+                doc, tag, k0, k1, low, n = docs_[first + row[at]], tags[first + row[at]], k0[at], k1[at], low[at], n[at]
+                head, of = np.flatnonzero(span[at]), np.cumsum(span[at]) - 1
                 # only a span's smallest document can have windows that other spans decide: it carries their hashes
-                own = doc == least
-                at = ragged(a.low[own], n[own])
-                pair = np.stack([mixed(range_hash(x, k, at, at + plan.length)) for k, x in enumerate(sums)], axis=1).tobytes()
+                own = doc == np.minimum.reduceat(doc, head)[of]
+                w = ragged(low[own], n[own])
+                pair = np.stack([mixed(range_hash(x, k, w, w + plan.length)) for k, x in enumerate(sums)], axis=1).tobytes()
                 cut = np.concatenate(([0], np.cumsum(np.where(own, n, 0)))) * 16
                 windows = pa.array([pair[b:e] if o else None for b, e, o in zip(cut[:-1].tolist(), cut[1:].tolist(), own.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1]), pa.array(doc), pa.array(tags[first + row]), pa.array((a.low - s.row_at[row]).astype(np.int32)), pa.array(n.astype(np.int32)), windows], names=["s1", "s2", "d", "tag", "low", "n", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(k0), pa.array(k1), pa.array(doc), pa.array(tag), places, pa.array(n.astype(np.int32)), windows], names=["s1", "s2", "d", "tag", "lows", "n", "windows"])
 
     some = docs.select("text", "d", "tag").mapInArrow(cold, "bucket long, spans binary")
     if not all(len(x) for x in counted.hot):
         return some, None
-    return some, written(docs.select("text", "d", "tag").mapInArrow(hot, "s1 long, s2 long, d long, tag int, low int, n int, windows binary"), "hot")
+    return some, written(docs.select("text", "d", "tag").mapInArrow(hot, "s1 long, s2 long, d long, tag int, lows array<int>, n int, windows binary"), "hot")
 
 
 def hot_intervals(hot: DataFrame, length: int) -> DataFrame:
@@ -318,18 +322,20 @@ def hot_intervals(hot: DataFrame, length: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column(3).to_numpy().astype(np.int64)
-            pair = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.int64).reshape(-1, 2)
-            at = np.repeat(np.arange(len(n)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(ragged(batch.column(2).to_numpy().astype(np.int64), n).astype(np.int32))], names=["w1", "w2", "d", "tag", "low"])
-
-    least = hot.groupBy("s1", "s2").agg(F.min("d").alias("m"))
-    met = hot.join(least, ["s1", "s2"])
-    whole = met.where("d > m").select("d", "tag", "low", (F.col("low") + F.col("n") + (length - 1)).alias("high"))
-    single = written(met.where("d = m").select("d", "tag", "low", "n", "windows").mapInArrow(windows, "w1 long, w2 long, d long, tag int, low int"), "hot-windows")
-    least = single.groupBy("w1", "w2").agg(F.min("d").alias("m"))
-    rest = single.join(least, ["w1", "w2"]).where("d > m").select("d", "tag", "low", (F.col("low") + length).alias("high"))
-    return whole.unionByName(rest)
+            raw = batch.column(3).to_pylist()
+            pair = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+            n = np.array([len(x) // 16 for x in raw], np.int64)
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), *(batch.column(k).take(at) for k in range(3)), pa.array(ragged(np.zeros(len(n), np.int64), n).astype(np.int32))], names=["w1", "w2", "s1", "s2", "m", "j"])
+
+    spans_ = written(hot.where("windows is not null").groupBy("s1", "s2").agg(F.min(F.struct("d", "windows")).alias("x")).select("s1", "s2", F.col("x.d").alias("m"), "x.windows"), "hot-spans")
+    single = written(spans_.select("s1", "s2", "m", "windows").mapInArrow(windows, "w1 long, w2 long, s1 long, s2 long, m long, j int"), "hot-windows")
+    least = single.groupBy("w1", "w2").agg(F.min("m").alias("least"))
+    late = single.join(least, ["w1", "w2"]).where("m > least").groupBy("s1", "s2").agg(F.collect_list("j").alias("late"))  # a span has few windows
+    met = hot.join(spans_.select("s1", "s2", "m").join(late, ["s1", "s2"], "left"), ["s1", "s2"])
+    whole = met.where("d > m").select("d", "tag", F.explode("lows").alias("low"), "n").select("d", "tag", "low", (F.col("low") + F.col("n") + (length - 1)).alias("high"))
+    rest = met.where("d = m and late is not null").select("d", "tag", F.explode("lows").alias("low"), "late").select("d", "tag", (F.explode("late") + F.col("low")).alias("low"))
+    return whole.unionByName(rest.select("d", "tag", "low", (F.col("low") + length).alias("high")))
 
 
 # ---------------------------------------------------------------- the whole way
