@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embeddings, mixing, simhash, substring, suffix, tokens
+from . import chat, decontam, embeddings, mixing, simhash, substring, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,12 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the words, the words inside benchmark phrases, whose they are, and whether it is contaminated."""
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the words, the words removed as parts of 50-word windows of smaller documents, and what is kept."""
     found = substring.dedup(_table(spark, sf_dir, "documents"))
@@ -60,7 +66,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_chat, op4_mixing, op5_tokens, op6_embeddings, op9_substring, op10_suffix)}
+    return {f.__name__: f for f in (op1_simhash, op3_chat, op4_mixing, op5_tokens, op6_embeddings, op8_decontamination, op9_substring, op10_suffix)}
 
 
 def oracle_sql() -> dict[str, str]:
