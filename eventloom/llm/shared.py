@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -97,6 +98,42 @@ def words_of(data: np.ndarray, off: np.ndarray, separators: np.ndarray) -> tuple
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
+def renamed(docs: DataFrame, text: str, new: list[str]) -> tuple[DataFrame, list[str], list[str], str]:
+    """(docs under names c0, c1, ... , these names, the names they stand for, the name of the text as a string). Columns that
+    are named as `new` ones, whatever their case, give way."""
+    lower = {n.lower() for n in new}
+    columns = [c for c in docs.columns if c.lower() not in lower or c == text]
+    names = [f"c{k}" for k in range(len(columns))]
+    plain = docs.select(*[docs[f"`{c}`"].alias(n) for c, n in zip(columns, names, strict=True)])
+    own = names[columns.index(text)]
+    if dict(plain.dtypes)[own] != "string":
+        plain, own = plain.withColumn("own_text", F.col(own).cast("string")), "own_text"
+    return plain, names, columns, own
+
+
+def mapped(docs: DataFrame, text: str, new: dict[str, str], run: Callable[[Iterator[pa.Array]], Iterator[list]]) -> DataFrame:
+    """docs with the columns `new` (name -> type), which run() makes from the texts, batch by batch. All other columns pass
+    through, but for those named as new ones."""
+    plain, names, columns, own = renamed(docs, text, list(new))
+    at, kept = plain.columns.index(own), [k for k, n in enumerate(names) if columns[k] == text or columns[k].lower() not in new]
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[pa.Array]:
+            for batch in rows:
+                have.append(batch)
+                yield batch.column(at)
+
+        for made in run(texts()):
+            batch = have.pop()
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *made], names=[*(names[k] for k in kept), *new])
+
+    schema = T.StructType([*(plain.schema.fields[k] for k in kept), *(T.StructField(n, T._parse_datatype_string(t)) for n, t in new.items())])
+    out = plain.mapInArrow(batches, schema)
+    return out.select(*[F.col(names[k]).alias(columns[k]) for k in kept if columns[k].lower() not in new], *new)
+
+
 # ---------------------------------------------------------------- hash arithmetic modulo 2^64
 
 _SEEDS = np.random.default_rng(0x5EED)

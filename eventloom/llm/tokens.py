@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_arrays, with_columns
+from .shared import mapped, text_arrays
 
 #: Longer pre-tokens are encoded each time, so that table and caches stay small.
 LONGEST_KEPT = 64
@@ -84,40 +84,34 @@ def counts(docs: DataFrame, tokenizer: str, *, text: str = "text", limit: int =
     top = frequent(docs, text, table_rows, sent_rows)
     table = spark.sparkContext.broadcast(dict(zip(top, lengths(tokenizer, top), strict=True)))  # at most table_rows entries of LONGEST_KEPT bytes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[list]:
         known = table.value
         cache = _CACHE.setdefault(tokenizer, {})
-        for batch in batches:
+        for column in texts:
             n_bytes, n_tokens = [], []
-            for rows in _slices(batch.column(batch.num_columns - 1)):
+            for rows in _slices(column):
                 for row in rows:
-                    words = row.split()
-                    miss = set(words).difference(known).difference(cache)
-                    extra = {}
-                    if miss:
-                        found = dict(zip(miss, lengths(tokenizer, list(miss)), strict=True))
-                        if len(cache) + len(found) > CACHE_ROWS:
-                            extra = {w: cache[w] for w in set(words) & cache.keys()}
-                            cache.clear()
-                        cache.update((w, k) for w, k in found.items() if len(w) <= LONGEST_KEPT)
-                        extra.update((w, k) for w, k in found.items() if w not in cache)
+                    words = Counter(row.split())
                     total = 0
-                    for w, k in Counter(words).items():
+                    miss = []
+                    for w, k in words.items():
                         c = known.get(w)
                         if c is None:
                             c = cache.get(w)
                             if c is None:
-                                c = extra[w]
+                                miss.append(w)
+                                continue
                         total += c * k
+                    if miss:
+                        if len(cache) > CACHE_ROWS:
+                            cache.clear()
+                        for w, c in zip(miss, lengths(tokenizer, miss), strict=True):
+                            total += c * words[w]
+                            if len(w) <= LONGEST_KEPT:
+                                cache[w] = c
                     n_bytes.append(len(row))
                     n_tokens.append(total)
-            tokens = np.array(n_tokens, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_bytes, pa.int64()), pa.array(tokens), pa.array(tokens > limit)], names=names + ["n_bytes", "n_tokens", "over_limit"])
-
-    base = with_columns(docs, n_bytes=F.lit(0), n_tokens=F.lit(0), over_limit=F.lit(True)).drop("n_bytes", "n_tokens", "over_limit")
-    names = [f"c{k}" for k in range(len(base.columns))]
-    plain = base.select(*[base[f"`{c}`"].alias(n) for c, n in zip(base.columns, names, strict=True)])
-    at = next(n for c, n in zip(base.columns, names, strict=True) if c == text)
-    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, base.schema.fields, strict=True))
-    out = plain.withColumn("own_text", F.col(at).cast("string")).mapInArrow(run, f"{kinds}, n_bytes long, n_tokens long, over_limit boolean")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(base.columns, names, strict=True)], "n_bytes", "n_tokens", "over_limit")
+            found = np.array(n_tokens, np.int64)
+            yield [pa.array(n_bytes, pa.int64()), pa.array(found), pa.array(found > limit)]
+
+    return mapped(docs, text, {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean"}, run)
