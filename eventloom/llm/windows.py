@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import BYTE_VALUES, LAST_ID, SPACE_TABLE, mixed, powers, prefix_sums, ragged, range_hash, text_arrays, with_columns, word_hashes, words_of, written
+from .shared import BYTE_VALUES, LAST_ID, SPACE_TABLE, mixed, powers, prefix_sums, ragged, range_hash, renamed, text_arrays, word_hashes, words_of, written
 
 SHARDS = 64
+PIECES = 4
 CHUNK = 1 << 18
 
 
@@ -44,8 +45,8 @@ class Plan(NamedTuple):
     length: int
     gram: int
     cell_bits: int = 27
-    hot: int = 512
-    bucket: int = 12288  # spans in a bucket, about
+    hot: int = 4096
+    piece: int = 12288  # spans resolved at a time, about; a bucket has PIECES times as many
 
 
 class Stream(NamedTuple):
@@ -204,7 +205,7 @@ def sketch(docs: DataFrame, plan: Plan) -> Sketch:
 
 
 class Spans(NamedTuple):
-    """anchor: 32 bits of its hash; low: the first window's first symbol in its document; n: how many windows; left: symbols
+    """anchor: 32 bits of its hash, not sent; low: the first window's first symbol in its document; n: how many windows; left: symbols
     before the anchor; body[at[i]:at[i + 1]]: the text."""
 
     anchor: np.ndarray
@@ -221,23 +222,35 @@ class Spans(NamedTuple):
         return Spans(*(x[rows] for x in self[:6]), np.concatenate(([0], np.cumsum(length))), self.body[ragged(self.at[:-1][rows], length)])
 
     def packed(self, pack: zstandard.ZstdCompressor) -> bytes:
-        return pack.compress(np.int64(len(self.n)).tobytes() + b"".join(x.astype(k).tobytes() for x, k in zip((*self[:6], np.diff(self.at)), _WIRE, strict=True)) + self.body.tobytes())
+        return pack.compress(np.int64(len(self.n)).tobytes() + b"".join(x.astype(k).tobytes() for x, k in zip((*self[1:6], np.diff(self.at)), _WIRE, strict=True)) + self.body.tobytes())
 
 
-_WIRE = ("<u4", "<i8", "<i4", "<i4", "u1", "u1", "<u4")
+_WIRE = ("<i8", "<i4", "<i4", "u1", "u1", "<u4")
 
 
-def unpacked(blobs: list[bytes]) -> Spans:
-    unpack, columns = zstandard.ZstdDecompressor(), [[] for _ in range(8)]
+def unpacked(blobs: list[bytes], plan: Plan) -> Spans:
+    unpack, columns = zstandard.ZstdDecompressor(), [[] for _ in range(7)]
     for blob in blobs:
         raw = unpack.decompress(blob)
         n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
         for k, kind in enumerate(_WIRE):
             columns[k].append(np.frombuffer(raw, kind, n, at))
             at += n * np.dtype(kind).itemsize
-        columns[7].append(np.frombuffer(raw, np.uint8, -1, at))
+        columns[6].append(np.frombuffer(raw, np.uint8, -1, at))
     c = [np.concatenate(x) for x in columns]
-    return Spans(c[0], c[1], c[2], c[3].astype(np.int64), c[4].astype(np.int64), c[5].astype(np.int64), np.concatenate(([0], np.cumsum(c[6], dtype=np.int64))), c[7])
+    left, at = c[4].astype(np.int64), np.concatenate(([0], np.cumsum(c[5], dtype=np.int64)))
+    anchor = []
+    for first in range(0, len(left), plan.piece):  # in pieces, so that the sums stay small
+        own = slice(first, first + plan.piece)
+        body = c[6][at[first] : at[min(first + plan.piece, len(left))]]
+        begin = at[own][: len(left[own])] - at[first]
+        if plan.kind == "bytes":
+            anchor.append(range_hash(prefix_sums(BYTE_VALUES[0][body], 0), 0, begin + left[own], begin + left[own] + plan.gram))
+        else:
+            start, end, _ = words_of(body, np.append(begin, len(body)), SPACE_TABLE)
+            word = np.searchsorted(start, begin) + left[own]
+            anchor.append(range_hash(prefix_sums(word_hashes(body, start, end), 0), 0, word, word + plan.gram))
+    return Spans((mixed(np.concatenate(anchor)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), c[0], c[1], c[2].astype(np.int64), c[3].astype(np.int64), left, at, c[6])
 
 
 #: (doc, tag, low, high): symbols low..high - 1 of the document are covered by windows that a smaller document has.
@@ -252,7 +265,7 @@ def spans(docs: DataFrame, plan: Plan, counted: Sketch) -> tuple[DataFrame, Data
     """docs(text, d, tag) -> (bucket, spans) blobs of the anchors with 2 <= estimate < hot, and the hot spans, if any."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(counted)  # two rows of 2^cell_bits bits, whatever the corpus
-    buckets = max(512, -(-counted.spans // plan.bucket))
+    buckets = max(512, -(-counted.spans // (PIECES * plan.piece)))
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -282,6 +295,7 @@ def spans(docs: DataFrame, plan: Plan, counted: Sketch) -> tuple[DataFrame, Data
         return shared.value
 
     def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], int] = {}
         for batch in batches:
             docs_, tags = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for first, s in streams(batch.column(0), plan.kind):
@@ -300,20 +314,32 @@ def spans(docs: DataFrame, plan: Plan, counted: Sketch) -> tuple[DataFrame, Data
                 each = span | np.concatenate(([True], np.diff(row) != 0))  # a row for each span and document, with all its places
                 at, lows = np.flatnonzero(each), (low - s.row_at[row]).astype(np.int32)
                 places = pa.ListArray.from_arrays(pa.array(np.append(at, len(order)).astype(np.int32)), pa.array(lows))
+                # what a span covers in its document: its places, merged where they touch
+                highs = (lows + n + (plan.length - 1)).astype(np.int32)
+                apart = each.copy()
+                apart[1:] |= lows[1:] > highs[:-1]
+                runs = np.flatnonzero(apart)
+                cover = pa.StructArray.from_arrays([pa.array(lows[runs]), pa.array(highs[np.append(runs[1:], len(order)) - 1])], names=["low", "high"])
+                cover = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(runs, at), len(runs)).astype(np.int32)), cover)
                 doc, tag, k0, k1, low, n = docs_[first + row[at]], tags[first + row[at]], k0[at], k1[at], low[at], n[at]
-                head, of = np.flatnonzero(span[at]), np.cumsum(span[at]) - 1
                 # only a span's smallest document can have windows that other spans decide: it carries their hashes
-                own = doc == np.minimum.reduceat(doc, head)[of]
+                head = np.flatnonzero(span[at])
+                own = np.zeros(len(at), bool)
+                by_doc = np.lexsort((doc, np.cumsum(span[at])))
+                for k, key_, d in zip(by_doc[head].tolist(), zip(k0[head].tolist(), k1[head].tolist(), strict=True), doc[by_doc[head]].tolist(), strict=True):
+                    if d < seen.get(key_, LAST_ID + 1):
+                        seen[key_] = d
+                        own[k] = True
                 w = ragged(low[own], n[own])
                 pair = np.stack([mixed(range_hash(x, k, w, w + plan.length)) for k, x in enumerate(sums)], axis=1).tobytes()
                 cut = np.concatenate(([0], np.cumsum(np.where(own, n, 0)))) * 16
                 windows = pa.array([pair[b:e] if o else None for b, e, o in zip(cut[:-1].tolist(), cut[1:].tolist(), own.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(k0), pa.array(k1), pa.array(doc), pa.array(tag), places, pa.array(n.astype(np.int32)), windows], names=["s1", "s2", "d", "tag", "lows", "n", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(k0), pa.array(k1), pa.array(doc), pa.array(tag), places, cover, windows], names=["s1", "s2", "d", "tag", "lows", "cover", "windows"])
 
     some = docs.select("text", "d", "tag").mapInArrow(cold, "bucket long, spans binary")
     if not all(len(x) for x in counted.hot):
         return some, None
-    return some, written(docs.select("text", "d", "tag").mapInArrow(hot, "s1 long, s2 long, d long, tag int, lows array<int>, n int, windows binary"), "hot")
+    return some, written(docs.select("text", "d", "tag").mapInArrow(hot, "s1 long, s2 long, d long, tag int, lows array<int>, cover array<struct<low: int, high: int>>, windows binary"), "hot")
 
 
 def hot_intervals(hot: DataFrame, length: int) -> DataFrame:
@@ -333,9 +359,9 @@ def hot_intervals(hot: DataFrame, length: int) -> DataFrame:
     least = single.groupBy("w1", "w2").agg(F.min("m").alias("least"))
     late = single.join(least, ["w1", "w2"]).where("m > least").groupBy("s1", "s2").agg(F.collect_list("j").alias("late"))  # a span has few windows
     met = hot.join(spans_.select("s1", "s2", "m").join(late, ["s1", "s2"], "left"), ["s1", "s2"])
-    whole = met.where("d > m").select("d", "tag", F.explode("lows").alias("low"), "n").select("d", "tag", "low", (F.col("low") + F.col("n") + (length - 1)).alias("high"))
-    rest = met.where("d = m and late is not null").select("d", "tag", F.explode("lows").alias("low"), "late").select("d", "tag", (F.explode("late") + F.col("low")).alias("low"))
-    return whole.unionByName(rest.select("d", "tag", "low", (F.col("low") + length).alias("high")))
+    whole = met.where("d > m").select("d", "tag", F.explode("cover").alias("c")).select("d", "tag", "c.low", "c.high")
+    rest = met.where("d = m and late is not null").select("d", "tag", F.explode("lows").alias("at"), "late").select("d", "tag", "at", F.explode("late").alias("j"))
+    return whole.unionByName(rest.select("d", "tag", (F.col("at") + F.col("j")).alias("low"), (F.col("at") + F.col("j") + length).alias("high")))
 
 
 # ---------------------------------------------------------------- the whole way
@@ -347,7 +373,10 @@ def intervals(docs: DataFrame, plan: Plan, resolve: Callable[[Spans, int], pa.Re
     some, hot = spans(docs, plan, counted)
 
     def run(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([resolve(unpacked(table.column("spans").to_pylist()), plan.length)])
+        s = unpacked(table.column("spans").to_pylist(), plan)
+        pieces = -(-len(s.n) // plan.piece)
+        at = mixed(s.anchor.astype(np.uint64)) % np.uint64(pieces)
+        return pa.Table.from_batches([resolve(s.take(np.flatnonzero(at == k)), plan.length) for k in np.unique(at)])
 
     out = some.groupBy("bucket").applyInArrow(run, FOUND)
     return out if hot is None else out.unionByName(hot_intervals(hot, plan.length))
@@ -396,23 +425,23 @@ def marked(docs: DataFrame, plan: Plan, resolve: Callable[[Spans, int], pa.Recor
     (runs removed). Columns of docs with these names give way."""
     found = intervals(keyed(docs, text, doc_id), plan, resolve)
     per_doc = found.groupBy("d", "tag").agg(F.collect_list(F.struct("low", "high")).alias("cut")).select(F.col("d").alias("cut_d"), F.col("tag").alias("cut_tag"), "cut")
-    keys = {"cut_d": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)), "cut_tag": F.hash(F.xxhash64(F.col(text).cast("string")))}
-    base = with_columns(docs, kept=F.lit(None).cast("string"), n_symbols=F.lit(0), n_removed=F.lit(0), n_spans=F.lit(0)).drop("kept", "n_symbols", "n_removed", "n_spans")
-    names = [f"c{k}" for k in range(len(base.columns))]
-    plain = base.select(*[base[f"`{c}`"].alias(n) for c, n in zip(base.columns, names, strict=True)], keys["cut_d"].alias("own_d"), keys["cut_tag"].alias("own_tag"), F.col(text).cast("string").alias("own_text"))
-    joined = plain.join(per_doc, (F.col("own_d") == F.col("cut_d")) & (F.col("own_tag") == F.col("cut_tag")), "left").select(*names, "own_text", "cut")
+    new = ["kept", "n_symbols", "n_removed", "n_spans"]
+    plain, names, columns, own = renamed(docs, text, new)
+    own_id, own_text, at = F.col(names[columns.index(doc_id)]), F.col(own), plain.columns.index(own)
+    keyed_ = plain.withColumns({"own_d": F.coalesce(own_id.cast("long"), F.lit(LAST_ID)), "own_tag": F.hash(F.xxhash64(own_text))})
+    joined = keyed_.join(per_doc, (F.col("own_d") == F.col("cut_d")) & (F.col("own_tag") == F.col("cut_tag")), "left").select(*plain.columns, "cut")
     kept_type = T.BinaryType() if plan.kind == "bytes" else T.StringType()
-    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, base.schema.fields, strict=True)], T.StructField("kept", kept_type), *[T.StructField(n, T.LongType()) for n in ("n_symbols", "n_removed", "n_spans")]])
+    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, plain.schema.fields, strict=False)], T.StructField("kept", kept_type), *[T.StructField(n, T.LongType()) for n in ("n_symbols", "n_removed", "n_spans")]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_of = batch.column(len(names) + 1)
+            spans_of = batch.column(batch.num_columns - 1)
             kept, total, removed, runs = [], [], [], []
-            for first, s in streams(batch.column(len(names)), plan.kind):
+            for first, s in streams(batch.column(at), plan.kind):
                 rows = len(s.row_at) - 1
-                own = spans_of.slice(first, rows)
-                parents = np.repeat(np.arange(rows), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                flat = own.flatten()
+                cuts = spans_of.slice(first, rows)
+                parents = np.repeat(np.arange(rows), cuts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                flat = cuts.flatten()
                 n = len(s.codes[0])
                 step = np.zeros(n + 1, np.int64)
                 np.add.at(step, s.row_at[parents] + flat.field(0).to_numpy(zero_copy_only=False), 1)
@@ -426,9 +455,9 @@ def marked(docs: DataFrame, plan: Plan, resolve: Callable[[Spans, int], pa.Recor
                 removed += np.diff(sums[s.row_at]).tolist()
                 runs += np.diff(starts[s.row_at]).tolist()
                 stay = np.repeat(~gone, np.diff(s.at))
-                left, at = s.body[stay].tobytes(), np.concatenate(([0], np.cumsum(np.where(gone, 0, np.diff(s.at)))))[s.row_at].tolist()
-                kept += [left[b : max(b, e - s.gap)] for b, e in zip(at[:-1], at[1:], strict=True)]
+                left, edge = s.body[stay].tobytes(), np.concatenate(([0], np.cumsum(np.where(gone, 0, np.diff(s.at)))))[s.row_at].tolist()
+                kept += [left[b : max(b, e - s.gap)] for b, e in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, pa.binary()).cast(pa.binary() if plan.kind == "bytes" else pa.string()), *(pa.array(x, pa.int64()) for x in (total, removed, runs))], names=schema.names)
 
     out = joined.mapInArrow(cut, schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(base.columns, names, strict=True)], "kept", "n_symbols", "n_removed", "n_spans")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True) if c.lower() not in new], *new)
