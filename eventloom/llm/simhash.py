@@ -25,18 +25,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER_TABLE, components, text_arrays, written
+from .shared import LOWER_TABLE, components, mixed, text_arrays, written
 
 BITS = 64
 
 
-def _bit_votes(hashes: list[int], counts: list[int]) -> np.ndarray:
+def _bit_votes(h: np.ndarray, counts: list[int]) -> np.ndarray:
     """One fingerprint for each run of counts[i] hashes: the bits set in over half of them; none: zero."""
     out = np.zeros(len(counts), np.uint64)
     n = np.array(counts)
     full = np.flatnonzero(n)
     if len(full):
-        h = np.array(hashes, np.uint64)
         ends = np.cumsum(n[full])
         votes = np.empty((len(full), BITS), np.int64)
         at = 0
@@ -51,37 +50,44 @@ def _bit_votes(hashes: list[int], counts: list[int]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fingerprint long) of every row, and the columns of `keep`.
+def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, seed: int = 42, variants: int = 1) -> DataFrame:
+    """(doc_id, fingerprint long) of every row. With more variants also fingerprint1, ..., of the same shingle hashes mixed by
+    other constants, and words, a hash of the row's word sequence.
 
     A-Z are lower-cased; words are maximal runs without ASCII white space; shingles are `shingle` words joined by one space,
     repeats included (the whole sequence if there are fewer words); each is hashed by XXH64."""
+    names = ["doc_id", "fingerprint", *(f"fingerprint{k}" for k in range(1, variants)), *(["words"] if variants > 1 else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
-            found = []
+            found: list[list] = [[] for _ in names[1:]]
             for _, data, off in text_arrays(batch.column(1)):
-                raw, hashes, counts = data.tobytes().translate(LOWER_TABLE), [], []
+                raw, hashes, counts, whole = data.tobytes().translate(LOWER_TABLE), [], [], []
                 for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                     words = raw[s:e].split()
+                    plain = b" ".join(words)
+                    if variants > 1:
+                        whole.append(digest(plain, seed + 1))
                     if len(words) > shingle:
-                        plain = b" ".join(words)
                         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                         starts = np.concatenate(([0], ends[: -shingle] + 1)).tolist()
                         hashes += [digest(plain[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
                         counts.append(len(words) - shingle + 1)
                     elif words:
-                        hashes.append(digest(b" ".join(words), seed))
+                        hashes.append(digest(plain, seed))
                         counts.append(1)
                     else:
                         counts.append(0)
-                found.append(_bit_votes(hashes, counts))
-            prints = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fingerprint", *keep])
+                h = np.array(hashes, np.uint64)
+                for k in range(variants):
+                    found[k].append(_bit_votes(mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) if k else h, counts))
+                if variants > 1:
+                    found[-1].append(np.array(whole, np.uint64))
+            columns = [np.concatenate([np.zeros(0, np.uint64), *c]).view(np.int64) for c in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=names)
 
-    kinds = dict(docs.dtypes)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *keep).mapInArrow(run, "doc_id long, fingerprint long" + "".join(f", `{c}` {kinds[c]}" for c in keep))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 # ---------------------------------------------------------------- parts and thresholds
@@ -196,9 +202,12 @@ def _masks(width: int, most: int) -> list[np.ndarray]:
 
 
 def links(distinct: DataFrame, *, most_bits: int = 4, parts: int = 4, probe_cost: float = 8.0, n: int | None = None) -> DataFrame:
-    """distinct(fingerprint, node): one row per fingerprint -> (a, b) nodes of all fingerprints within most_bits of each other.
+    """distinct(fingerprint, node[, known]): one row per fingerprint -> (a, b) nodes of all fingerprints within most_bits of each
+    other. With `known`, links of nodes whose known values are equal are left out.
 
     probe_cost: what sending one probe costs, in candidates verified."""
+    if "known" not in distinct.columns:
+        distinct = distinct.withColumn("known", F.col("fingerprint"))
     spark = distinct.sparkSession
     n = distinct.count() if n is None else n
     bits = grouped_bits(bit_cooccurrence(distinct), n, parts)
@@ -213,7 +222,6 @@ def links(distinct: DataFrame, *, most_bits: int = 4, parts: int = 4, probe_cost
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 prints = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
-                nodes = batch.column(1).to_numpy(zero_copy_only=False)
                 values = np.stack([_part_value(prints, b) for b in bits], axis=1)
                 costs = np.zeros((len(prints), parts, most_bits + 2))
                 for k in range(parts):
@@ -232,12 +240,12 @@ def links(distinct: DataFrame, *, most_bits: int = 4, parts: int = 4, probe_cost
                             who.append(np.repeat(rows, len(masks[k][t])))
                             probe.append(np.ones(len(who[-1]), bool))
                 key, at_row, is_probe = np.concatenate(keys), np.concatenate(who), np.concatenate(probe)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(prints.view(np.int64)[at_row]), pa.array(nodes[at_row]), pa.array(is_probe)], names=["key", "f", "d", "probe"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(prints.view(np.int64)[at_row]), batch.column(1).take(pa.array(at_row)), batch.column(2).take(pa.array(at_row)), pa.array(is_probe)], names=["key", "f", "d", "known", "probe"])
 
-    sent = written(distinct.select("fingerprint", "node").mapInArrow(run, "key long, f long, d long, probe boolean"), "probes")
-    one = sent.where("probe").select("key", F.col("f").alias("x"), F.col("d").alias("a"))
-    two = sent.where("not probe").select("key", F.col("f").alias("y"), F.col("d").alias("b"))
-    met = one.join(two, (one["key"] == two["key"]) & (F.col("x") > F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits))
+    sent = written(distinct.select("fingerprint", "node", "known").mapInArrow(run, "key long, f long, d long, known long, probe boolean"), "probes")
+    one = sent.where("probe").select("key", F.col("f").alias("x"), F.col("d").alias("a"), F.col("known").alias("ka"))
+    two = sent.where("not probe").select("key", F.col("f").alias("y"), F.col("d").alias("b"), F.col("known").alias("kb"))
+    met = one.join(two, (one["key"] == two["key"]) & (F.col("x") > F.col("y")) & (F.col("ka") != F.col("kb")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits))
     return met.select("a", "b").where("a != b").distinct()
 
 
@@ -252,6 +260,61 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return prints.join(by_print, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
 
 
+def similar(docs: DataFrame, pairs: DataFrame, *, text: str, doc_id: str, shingle: int, similarity: float) -> DataFrame:
+    """The pairs(a, b) of ids whose sets of shingles (32-bit hashes) have a Jaccard similarity of `similarity` or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column(1).to_pylist():
+                words = (t or "").encode().translate(LOWER_TABLE).split()
+                out.append(list({xxhash.xxh32_intdigest(b" ".join(words[k : k + shingle])) - (1 << 31) for k in range(max(1, len(words) - shingle + 1))}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["id", "shingles"])
+
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, F.col("id") == F.col("own")).select("id", "text")
+    have = written(texts.mapInArrow(sets, "id long, shingles array<int>").dropDuplicates(["id"]), "shingles")
+    one = have.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    two = have.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(one, "a").join(two, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, near_bits: int = 4, far_bits: int = 7, variants: int = 3, parts: int = 4) -> DataFrame:
+    """(node, component): documents in one group with another, and the smallest doc_id of the group; node is a document's doc_id.
+
+    Documents of equal words are one class, of its smallest doc_id. Candidates are classes whose fingerprints differ by near_bits
+    or fewer, then, of classes not yet in one group, those that differ by far_bits or fewer in any of `variants` fingerprints.
+    A candidate links if its Jaccard similarity is `similarity` or more. Classes of equal fingerprints are compared with the
+    smallest of them. Null ids are in no group; rows that share a doc_id are one document."""
+    check = {"text": text, "doc_id": doc_id, "shingle": shingle, "similarity": similarity}
+    rows = written(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle, variants=variants).where("doc_id is not null"), "prints")
+    least = rows.groupBy("words").agg(F.min("doc_id").alias("node"), *(F.min(c).alias(c) for c in rows.columns if c.startswith("fingerprint")))
+    classes = written(least, "classes")
+    heads = written(classes.groupBy("fingerprint").agg(F.min("node").alias("head")), "heads")
+    equal = classes.join(heads, "fingerprint").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = links(heads.withColumnRenamed("head", "node"), most_bits=near_bits, parts=parts)
+    sure = written(similar(docs, near.unionByName(equal).distinct(), **check), "sure")
+    known = written(components(sure), "known")
+    grouped = written(classes.join(known, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component"), "grouped")
+    far = None
+    for k in range(variants):
+        c = "fingerprint" + (str(k) if k else "")
+        one = grouped.groupBy(c).agg(F.min(F.struct("node", "known")).alias("s")).select(F.col(c).alias("fingerprint"), "s.node", "s.known")
+        found = links(one, most_bits=far_bits, parts=parts)
+        far = found if far is None else far.unionByName(found)
+    more = similar(docs, far.distinct(), **check)
+    copies = rows.join(classes.select("words", "node"), "words").where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    return components(sure.unionByName(more).unionByName(copies))
+
+
+def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", **kinds) -> DataFrame:
+    """The rows of docs but for documents that groups() puts behind a smaller doc_id."""
+    gone = groups(docs, doc_id=doc_id, **kinds).where("node != component").select(F.col("node").alias("gone_id"))
+    return docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+
+
 def hex_digits(fingerprint) -> F.Column:
     """16 lower-case hex digits of a long."""
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
