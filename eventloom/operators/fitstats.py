@@ -76,8 +76,8 @@ def qc_outcome(required: Column, waived: Column, status: Column) -> Column:
 
 
 def reportable(fits: DataFrame) -> DataFrame:
-    """fits(g1, s, g2, converged, preflight reasons, cv, cv_upper) with valid: no reason against, finite fractions that add up
+    """fits(phase_g1, phase_s, phase_g2, converged, reasons, cv, cv_upper) with valid: no reason against, finite fractions that add up
     to one, converged, and no width at its bound."""
-    whole = F.abs(F.col("g1") + F.col("s") + F.col("g2") - 1) <= 1e-6
-    each = F.least("g1", "s", "g2") >= 0
+    whole = F.abs(F.col("phase_g1") + F.col("phase_s") + F.col("phase_g2") - 1) <= 1e-6
+    each = F.least("phase_g1", "phase_s", "phase_g2") >= 0
     return fits.withColumn("valid", F.coalesce((F.size("reasons") == 0) & whole & each & F.col("converged") & (F.col("cv") < F.col("cv_upper") * (1 - 1e-9)), F.lit(False)))

@@ -25,32 +25,32 @@ def indexed(df: DataFrame, by: str, order: str, name: str, block: int = 1 << 20)
 
 
 def _located(values: DataFrame, by: str, wanted: DataFrame, cells: int) -> DataFrame:
-    """values(by, x), wanted(by, k, at: 0-based rank) -> (by, k, at, x at that rank). One pass counts cells of equal width
+    """values(by, _x), wanted(by, _k, _at: 0-based rank) -> (by, _k, _at, _x at that rank). One pass counts cells of equal width
     between the smallest and the largest value; only cells that hold a wanted rank are sorted."""
-    bounds = values.groupBy(by).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-    wide = (F.col("x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    bounds = values.groupBy(by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    wide = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(wide * cells), F.lit(cells - 1))).otherwise(0)
-    put = values.join(bounds, by).select(by, "x", cell.alias("_cell"))
+    put = values.join(bounds, by).select(by, "_x", cell.alias("_cell"))
     counts = put.groupBy(by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(by).orderBy("_cell")) - F.col("_n"))
-    hits = before.join(wanted, by).where((F.col("at") >= F.col("_before")) & (F.col("at") < F.col("_before") + F.col("_n")))
-    ranked = put.join(hits.select(by, "_cell", "_before").distinct(), [by, "_cell"]).withColumn("_at", F.row_number().over(Window.partitionBy(by, "_cell").orderBy("x")) - 1 + F.col("_before"))
-    return ranked.join(hits.select(by, "_cell", "k", "at"), [by, "_cell"]).where("_at = at").select(by, "k", "at", "x")
+    hits = before.join(wanted, by).where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_n")))
+    ranked = put.join(hits.select(by, "_cell", "_before").distinct(), [by, "_cell"]).withColumn("_rank", F.row_number().over(Window.partitionBy(by, "_cell").orderBy("_x")) - 1 + F.col("_before"))
+    return ranked.join(hits.select(by, "_cell", "_k", "_at"), [by, "_cell"]).where("_rank = _at").select(by, "_k", "_at", "_x")
 
 
 def quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float], *, nearest_rank: bool = False, cells: int = 4096) -> DataFrame:
     """(by, p, q): exact quantiles of the finite values of each group, by linear interpolation of (n - 1) p, or the value at the
     rank nearest to it."""
-    values = df.select(by, F.col(value).cast("double").alias("x")).where(is_finite(F.col("x")))
-    counts = values.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    each = counts.select(by, "n", F.posexplode(F.array(*[F.lit(float(p)) for p in shares])).alias("k", "p"))
-    place = (F.col("n") - 1) * F.col("p")
+    values = df.select(by, F.col(value).cast("double").alias("_x")).where(is_finite(F.col("_x")))
+    counts = values.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    each = counts.select(by, "_n", F.posexplode(F.array(*[F.lit(float(p)) for p in shares])).alias("_k", "p"))
+    place = (F.col("_n") - 1) * F.col("p")
     if nearest_rank:
-        found = _located(values, by, each.select(by, "k", F.floor(place + 0.5).alias("at")), cells)
-        return each.join(found, [by, "k"]).select(by, "p", F.col("x").alias("q"))
-    ends = each.select(by, "k", "p", place.alias("place"), F.floor(place).alias("low"), F.ceil(place).alias("high"))
-    wanted = ends.select(by, "k", F.explode(F.array_distinct(F.array("low", "high"))).alias("at"))
+        found = _located(values, by, each.select(by, "_k", F.floor(place + 0.5).alias("_at")), cells)
+        return each.join(found, [by, "_k"]).select(by, "p", F.col("_x").alias("q"))
+    ends = each.select(by, "_k", "p", place.alias("_place"), F.floor(place).alias("_low"), F.ceil(place).alias("_high"))
+    wanted = ends.select(by, "_k", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_at"))
     found = _located(values, by, wanted, cells)
-    both = ends.join(found, [by, "k"])
-    weight = F.when(F.col("low") == F.col("high"), 1.0).when(F.col("at") == F.col("low"), F.col("high") - F.col("place")).otherwise(F.col("place") - F.col("low"))
-    return both.groupBy(by, "p").agg(F.sum(F.col("x") * weight).alias("q"))
+    both = ends.join(found, [by, "_k"])
+    weight = F.when(F.col("_low") == F.col("_high"), 1.0).when(F.col("_at") == F.col("_low"), F.col("_high") - F.col("_place")).otherwise(F.col("_place") - F.col("_low"))
+    return both.groupBy(by, "p").agg(F.sum(F.col("_x") * weight).alias("q"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import fitstats, metadata, samples, timeqc
+from ..operators import fitstats, gates, metadata, models, samples, timeqc
 from ..operators.ranking import quantiles
 from .views import BINNED, BINS, CYTO, DAY, FLAGS, PULSE, SEGMENTS, cyto_events, pulse_events, table
 
@@ -383,3 +383,47 @@ _ERF = "(CASE WHEN {0} < 0 THEN -1 ELSE 1 END) * (1 - ((((1.061405429 * (1 / (1
 def gaussian_bin_mass(spark, d):
     q = F.col("l_quantity")
     return table(spark, d, "lineitem").select("l_linenumber", "l_quantity").distinct().select("l_linenumber", "l_quantity", _r(C.gaussian_mass(q, q + 1, 1000.0, 25.0, 7.0), 8).alias("mass"))
+
+
+# ---------------------------------------------------------------- numerical operators: no SQL expresses them
+
+
+@query()
+def gmm_gate(spark, d):
+    events = pulse_events(spark, d)
+    fits = gates.fit_scatter(events, "sample_id", "dna_a", "dna_h")
+    return gates.apply_scatter(events, fits, "sample_id", "dna_a", "dna_h").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("scatter_ok").alias("kept"))
+
+
+@query()
+def ridge_fit(spark, d):
+    events = pulse_events(spark, d)
+    fits = gates.fit_singlets(events, "sample_id", "dna_a", "dna_h")
+    return gates.apply_singlets(events, fits, "sample_id", "dna_a", "dna_h").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("singlet_ok").alias("kept"))
+
+
+def _arrays(spark, d):
+    return models.arrays(samples.histogram(cyto_events(spark, d), "sample_id", "dna_a", 128), "sample_id")
+
+
+@query()
+def multiscale_peaks(spark, d):
+    return models.detected_peaks(_arrays(spark, d), "sample_id")
+
+
+@query()
+def fit_dean_jett(spark, d):
+    h = _arrays(spark, d)
+    return models.fitted(h, models.detected_peaks(h, "sample_id"), "sample_id", "dean_jett")
+
+
+@query()
+def fit_watson_pragmatic(spark, d):
+    h = _arrays(spark, d)
+    return models.fitted(h, models.detected_peaks(h, "sample_id"), "sample_id", "watson_pragmatic")
+
+
+@query()
+def result_contract(spark, d):
+    h = _arrays(spark, d)
+    return fitstats.reportable(models.fitted(h, models.detected_peaks(h, "sample_id"), "sample_id", "dean_jett")).select("sample_id", "model", "converged", "valid")
