@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embeddings, mixing, quality, simhash, substring, suffix, tokens, toxicity
+from . import chat, decontam, embeddings, mixing, quality, simhash, sql, substring, suffix, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": sql.OP3, "op8_decontamination": sql.OP8, "op9_substring": sql.OP9}
