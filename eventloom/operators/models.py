@@ -18,7 +18,7 @@ from ..functions.columns import ERF
 
 RATIO = (1.65, 2.25)
 CV = (0.01, 0.30)
-NODES = 64
+NODES = 32
 
 
 def arrays(histogram: DataFrame, by: str) -> DataFrame:
@@ -230,10 +230,14 @@ def dean_jett(y: np.ndarray, low: float, width: float, pair: dict, *, wave: bool
         starts = [[*s, w, at, 0.12] for s in starts[:1] for w, at in ((0.3, 0.25), (0.3, 0.5), (0.3, 0.75), (0.05, 0.5))]
     best = None
     unit = np.abs(np.array(starts[0])) + np.where(np.array(starts[0]) == 0, 1.0, 0.0)  # parameters of like size
-    for s in starts:
-        x, value, ok = least_squares(lambda q: deviance_residuals(y, sum(_dean_jett(_project(q * unit, wave), edges, wave))), np.array(s) / unit, lambda q: _project(q * unit, wave) / unit, rounds=60)
-        if best is None or (value, not ok) < (best[1], not best[2]):
-            best = (x * unit, value, ok)
+    fit = lambda s, rounds: least_squares(lambda q: deviance_residuals(y, sum(_dean_jett(_project(q * unit, wave), edges, wave))), s, lambda q: _project(q * unit, wave) / unit, rounds=rounds)
+    for s in starts:  # a few rounds from each start, then the best one to its end
+        x, value, ok = fit(np.array(s) / unit, 12)
+        if best is None or value < best[1]:
+            best = (x, value, ok)
+    if not best[2]:
+        best = fit(best[0], 100)
+    best = (best[0] * unit, *best[1:])
     p = best[0]
     wave_share = float(p[9]) if wave else 0.0
     on_bound = wave and not (0.02 < p[9] < 0.94 and 0.03 < p[10] < 0.97 and 0.021 < p[11] < 0.49)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import fitstats, gates, metadata, models, samples, timeqc
+from ..operators import fitstats, gates, metadata, models, peaktrack, samples, timeqc
 from ..operators.ranking import quantiles
 from .views import BINNED, BINS, CYTO, DAY, FLAGS, PULSE, SEGMENTS, cyto_events, pulse_events, table
 
@@ -427,3 +427,100 @@ def fit_watson_pragmatic(spark, d):
 def result_contract(spark, d):
     h = _arrays(spark, d)
     return fitstats.reportable(models.fitted(h, models.detected_peaks(h, "sample_id"), "sample_id", "dean_jett")).select("sample_id", "model", "converged", "valid")
+
+
+@query()
+def peak_tracking_qc(spark, d):
+    binned = timeqc.overlapping_bins(_segmented(spark, d), "sample_id", "event_index", 150)
+    flags = peaktrack.flagged_bins(binned, "sample_id", "event_index", "unwrapped", "dna_a")
+    return peaktrack.retained(binned, flags, "sample_id", "event_index").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("time_ok").alias("kept"))
+
+
+# ---------------------------------------------------------------- more of the relational operators
+
+
+@query(f"WITH {CYTO} SELECT sample_id, round(quantile_cont(dna_a, 0.75) - quantile_cont(dna_a, 0.25), 6) AS iqr FROM cyto GROUP BY 1")
+def iqr_by_group(spark, d):
+    q = quantiles(cyto_events(spark, d), "sample_id", "dna_a", [0.25, 0.75])
+    return q.groupBy("sample_id").agg(_r(F.max("q") - F.min("q")).alias("iqr"))
+
+
+@query(f"WITH {BINS} SELECT sample_id, segment::BIGINT AS segment, bin::BIGINT AS bin, round(rate, 6) AS rate FROM bins")
+def bin_event_rate(spark, d):
+    return _bins(spark, d).select("sample_id", "segment", "bin", _r("rate").alias("rate"))
+
+
+@query("""WITH t AS (SELECT doc_id AS ord, lang AS key, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS file FROM documents), a AS (SELECT 'en' AS key, -1 AS nf UNION ALL SELECT 'de', -2),
+ r AS (SELECT *, sum(CASE WHEN file IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ord) AS k FROM t) SELECT ord, coalesce(file, CASE WHEN k = 1 THEN nf END)::BIGINT AS file FROM r LEFT JOIN a USING (key) WHERE file IS NOT NULL OR (k = 1 AND nf IS NOT NULL)""")
+def late_link(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("lang").alias("key"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("file"))
+    arrived = spark.sql("SELECT * FROM VALUES ('en', -1L), ('de', -2L) t(key, new_file)")
+    return metadata.late_linked(rows, arrived, "key", "ord").where("file IS NOT NULL").select("ord", "file")
+
+
+@query(r"SELECT c_custkey, row_number() OVER (ORDER BY coalesce(try_cast(nullif(regexp_extract(t, '^\s*([-+]?[0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE), 1e308), c_custkey) AS rank FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'late' ELSE (c_custkey % 50)::VARCHAR || ' h' END AS t FROM customer WHERE c_custkey < 500)")
+def timepoint_sort_rank(spark, d):
+    t = F.when(F.col("c_custkey") % 7 == 0, "late").otherwise(F.concat((F.col("c_custkey") % 50).cast("string"), F.lit(" h")))
+    rows = table(spark, d, "customer").where("c_custkey < 500").select("c_custkey", t.alias("t"))
+    return rows.select("c_custkey", F.row_number().over(Window.orderBy(*metadata.sort_keys("t", "c_custkey", numeric=True))).alias("rank"))
+
+
+@query("SELECT c_mktsegment, c_custkey, k - 1 AS alternative FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k BETWEEN 2 AND 4")
+def top_k_alternatives(spark, d):
+    w = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
+    return table(spark, d, "customer").withColumn("k", F.row_number().over(w)).where("k BETWEEN 2 AND 4").select("c_mktsegment", "c_custkey", (F.col("k") - 1).alias("alternative"))
+
+
+@query(f"WITH {CYTO} SELECT sample_id, event_index FROM cyto WHERE dna_a >= 20 EXCEPT SELECT sample_id, event_index FROM cyto WHERE dna_a >= 60")
+def mask_difference(spark, d):
+    events = cyto_events(spark, d)
+    return events.where("dna_a >= 20").select("sample_id", "event_index").exceptAll(events.where("dna_a >= 60").select("sample_id", "event_index"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'SSC_A' ELSE 'FSC_A,SSC_A' END AS missing FROM supplier")
+def array_except_channels(spark, d):
+    have = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("DNA_A"), F.lit("FSC_A"))).otherwise(F.array(F.lit("DNA_A")))
+    wanted = F.array(F.lit("DNA_A"), F.lit("FSC_A"), F.lit("SSC_A"))
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(F.array_except(wanted, have), ",").alias("missing"))
+
+
+@query("SELECT p_partkey, ['a', 'h', 'w', NULL][(p_partkey % 4 + 1)::INT] AS kind, 'fl' || (p_partkey % 3) || CASE WHEN p_partkey % 4 = 3 THEN '-x' ELSE '' END AS base FROM part")
+def measurement_kind(spark, d):
+    ends = F.element_at(F.array(F.lit("Area"), F.lit("HEIGHT"), F.lit("width"), F.lit("x")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    name = F.concat(F.lit("FL"), (F.col("p_partkey") % 3).cast("string"), F.lit(" - "), ends)
+    return table(spark, d, "part").select("p_partkey", C.measurement_kind(name).alias("kind"), C.measurement_base(name).alias("base"))
+
+
+@query(_FIT + " SELECT sample_id, bin, round(2 * CASE WHEN y > 0 THEN y * ln(y / mu) - (y - mu) ELSE mu END, 6) AS deviance, round((y - mu) / sqrt(mu), 6) AS pearson FROM f")
+def poisson_residuals(spark, d):
+    return _fitted(spark, d).select("sample_id", "bin", _r(C.poisson_deviance(F.col("y"), F.col("mu"))).alias("deviance"), _r(C.pearson_residual(F.col("y"), F.col("mu"))).alias("pearson"))
+
+
+@query("""WITH f AS (SELECT c_nationkey AS sample, c_mktsegment AS model, round(avg(c_acctbal), 4) AS v FROM customer GROUP BY ALL)
+ SELECT sample, """ + ", ".join(f"max(v) FILTER (model = '{m}') AS \"{m}\"" for m in ("AUTOMOBILE", "BUILDING")) + " FROM f GROUP BY sample")
+def phase_fractions_pivot(spark, d):
+    f = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("sample"), F.col("c_mktsegment").alias("model")).agg(_r(F.avg("c_acctbal"), 4).alias("v"))
+    return f.groupBy("sample").pivot("model", ["AUTOMOBILE", "BUILDING"]).agg(F.max("v"))
+
+
+@query("SELECT p_brand AS fingerprint, count(*) AS samples, round(quantile_cont(p_retailprice / 1000.0, 0.5), 6) AS centre FROM part GROUP BY 1 HAVING count(*) >= 2")
+def shared_regions_median(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("fingerprint"), (F.col("p_retailprice") / 1000.0).alias("x"))
+    n = rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("samples")).where("samples >= 2")
+    return n.join(quantiles(rows, "fingerprint", "x", [0.5]), "fingerprint").select("fingerprint", "samples", _r("q").alias("centre"))
+
+
+_STATUS = "CASE o_orderstatus WHEN 'F' THEN 'applied' WHEN 'O' THEN 'degraded' ELSE 'failed' END"
+
+
+@query(f"SELECT CASE {_STATUS} WHEN 'applied' THEN 'success' WHEN 'degraded' THEN 'warning' ELSE 'failed' END AS outcome, count(*) AS n FROM orders GROUP BY 1")
+def qc_outcome_classes(spark, d):
+    status = F.expr(_STATUS)
+    return table(spark, d, "orders").groupBy(fitstats.qc_outcome(F.lit(True), F.lit(False), status).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {PULSE} SELECT sample_id, count(*) FILTER (abs((dna_h - 25) * 0.8 - (dna_a / 1000 - 38) * 0.6) <= 5) AS kept, count(*) AS n FROM pulse GROUP BY 1")
+def ridge_apply(spark, d):
+    line = {"mx": 38000.0, "sx": 1000.0, "my": 25.0, "sy": 1.0, "cx": 0.0, "cy": 0.0, "dx": 0.8, "dy": 0.6}
+    rows = pulse_events(spark, d).withColumns({k: F.lit(v) for k, v in line.items()})
+    return rows.withColumn("far", F.abs(gates.ridge_distance(F.col("dna_a"), F.col("dna_h")))).groupBy("sample_id").agg(F.count_if(F.col("far") <= 5).alias("kept"), F.count(F.lit(1)).alias("n"))

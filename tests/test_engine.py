@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import columns as C
-from eventloom.operators import fitstats, gates, metadata, models, samples, timeqc
+from eventloom.operators import fitstats, gates, metadata, models, peaktrack, samples, timeqc
 from eventloom.operators.ranking import indexed, quantiles
 from eventloom.plans import catalogue
 from eventloom.sources import fcs, tables
@@ -192,3 +192,25 @@ def test_streamed_stats_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.s: (r.n, round(r["mean"], 6)) for r in spark.table("stats").collect()} == {"a": (3, 1.0), "b": (3, round(5 / 3, 6))}
+
+
+def test_density_peaks_and_tracks():
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(10, 1, 200), rng.normal(20, 1, 150)])
+    got = peaktrack.density_peaks(x)
+    assert len(got) == 2 and abs(got[0] - 10) < 0.5 and abs(got[1] - 20) < 0.5
+    assert peaktrack.density_peaks(np.ones(50)) == [] and peaktrack.density_peaks(np.array([1.0, np.nan])) == []
+    found = [[10.0, 20.0]] * 20 + [[10.0]] * 4 + [[10.0, 20.0]] * 10 + [[14.0, 24.0]] * 8
+    why = peaktrack.judged(found, np.full(len(found), 100.0))
+    assert all("missing_peak" in w for w in why[20:24]) and all("peak_shift" in w for w in why[36:]) and not any(why[:20])
+
+
+def test_peak_tracking_drops_a_drift(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(50, 2, 6000)
+    x[4500:] += 15
+    df = spark.createDataFrame([("a", k, float(k), float(v)) for k, v in enumerate(x)], "s string, i long, t double, x double")
+    seg = timeqc.segments(df, "s", "i", "t", 1e9)
+    binned = timeqc.overlapping_bins(seg, "s", "i", 150)
+    ok = peaktrack.retained(binned, peaktrack.flagged_bins(binned, "s", "i", "unwrapped", "x"), "s", "i").toPandas().sort_values("i")
+    assert ok.time_ok[:4300].mean() > 0.95 and ok.time_ok[4700:].mean() < 0.2
