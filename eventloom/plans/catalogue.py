@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import fitstats, gates, metadata, models, peaktrack, samples, timeqc
+from ..operators import bridge, fitstats, gates, metadata, models, peaktrack, samples, series, timeqc
 from ..operators.ranking import quantiles
 from .views import BINNED, BINS, CYTO, DAY, FLAGS, PULSE, SEGMENTS, cyto_events, pulse_events, table
 
@@ -524,3 +524,24 @@ def ridge_apply(spark, d):
     line = {"mx": 38000.0, "sx": 1000.0, "my": 25.0, "sy": 1.0, "cx": 0.0, "cy": 0.0, "dx": 0.8, "dy": 0.6}
     rows = pulse_events(spark, d).withColumns({k: F.lit(v) for k, v in line.items()})
     return rows.withColumn("far", F.abs(gates.ridge_distance(F.col("dna_a"), F.col("dna_h")))).groupBy("sample_id").agg(F.count_if(F.col("far") <= 5).alias("kept"), F.count(F.lit(1)).alias("n"))
+
+
+def _model(name):
+    def run(spark, d):
+        h = _arrays(spark, d)
+        return models.fitted(h, models.detected_peaks(h, "sample_id"), "sample_id", name)
+
+    return run
+
+
+for _name in ("watson_classic", *(n for n in models.MODELS if n in (bridge.bridge.__name__, bridge.bridge_extended.__name__))):
+    QUERIES[f"fit_{_name}"] = _model(_name)
+QUERIES["auto_select"] = _model("auto")
+
+
+@query()
+def cloccs_series(spark, d):
+    h = models.arrays(samples.histogram(cyto_events(spark, d), "sample_id", "dna_a", 32, shared=True), "sample_id")
+    minute = F.row_number().over(Window.orderBy("sample_id")) * 30.0 - 30.0  # a row per sample
+    series_ = h.withColumns({"strain": F.lit("one"), "minute": minute})
+    return series.fitted_series(series_, "strain", "minute", (30.0, 30.0, 8.0))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions import columns as C
-from eventloom.operators import fitstats, gates, metadata, models, peaktrack, samples, timeqc
+from eventloom.operators import bridge, fitstats, gates, metadata, models, peaktrack, samples, series, timeqc
 from eventloom.operators.ranking import indexed, quantiles
 from eventloom.plans import catalogue
 from eventloom.sources import fcs, tables
@@ -214,3 +214,33 @@ def test_peak_tracking_drops_a_drift(spark):
     binned = timeqc.overlapping_bins(seg, "s", "i", 150)
     ok = peaktrack.retained(binned, peaktrack.flagged_bins(binned, "s", "i", "unwrapped", "x"), "s", "i").toPandas().sort_values("i")
     assert ok.time_ok[:4300].mean() > 0.95 and ok.time_ok[4700:].mean() < 0.2
+
+
+@pytest.mark.parametrize("name,tolerance", [("bridge", 0.12), ("bridge_extended", 0.12), ("watson_classic", 0.06)])
+def test_more_models(name, tolerance):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(100, 5, 6000), rng.uniform(100, 200, 3600) * rng.normal(1, 0.05, 3600), rng.normal(200, 10, 2400)])
+    y = np.histogram(x, 256, (0, 300))[0].astype(float)
+    r = models.MODELS[name](y, 0.0, 300 / 256, models.peak_pair(y, 0.0, 300 / 256))
+    assert max(abs(r["phase_g1"] - 0.5), abs(r["phase_s"] - 0.3), abs(r["phase_g2"] - 0.2)) < tolerance
+
+
+def test_debris_is_told_from_g1():
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(100, 5, 6000), rng.uniform(100, 200, 1500), rng.normal(200, 10, 1500), rng.exponential(20, 4000)])
+    y = np.histogram(x, 256, (0, 300))[0].astype(float)
+    r = bridge.bridge_extended(y, 0.0, 300 / 256, {"g1": 100.0, "g2": 200.0, "sd1": 5.0, "sd2": 10.0})
+    assert 0.2 < r["share_debris"] < 0.4 and abs(r["phase_g1"] - 6 / 9) < 0.12
+
+
+def test_series_model():
+    p = {"cycle": 90.0, "delay": 10.0, "start": 5.0, "start_sd": 6.0, "speed_sd": 0.05, "gamma1": 0.3, "gamma2": 0.6}
+    for t in (0.0, 45.0, 150.0):
+        x, d = series.position_density(t, p)
+        assert abs(np.trapezoid(d, x) - 1) < 0.02 and abs(series.fractions(t, p).sum() - 1) < 1e-9
+    assert series.fractions(0.0, p)[0] > 0.9 and series.fractions(45.0, p)[1] > 0.5
+    times = [0.0, 30.0, 45.0, 60.0, 75.0, 100.0]
+    centres = (np.arange(64) + 0.5) * 4
+    counts = [np.round(4000 * series.bin_shares(t, p, centres, 80.0, 80.0, 8.0)) for t in times]
+    got = series.fit_series(times, counts, 0.0, 4.0, (80.0, 80.0, 8.0), starts=1)
+    assert max(np.abs(np.array(f) - series.fractions(t, p)).max() for t, f in zip(times, got["fractions"], strict=True)) < 0.1
