@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import components, lean, written
 
 
 def learn_rotation(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -98,8 +98,8 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
                             own = batch.take(pa.array(who))
                             yield pa.RecordBatch.from_arrays([own.column(1), own.column(2), pa.array(np.full(len(who), t, np.int32)), pa.array(key), own.column(0), own.column(3), pa.array(np.full(len(who), probe))], names=["label", "d", "t", "key", "rep", "code", "probe"])
 
-    codes = classes.select("rep", "label", "v").mapInArrow(encode, "rep long, label string, d int, code long")
-    dealt = written(codes.mapInArrow(deal, "label string, d int, t int, key long, rep long, code long, probe boolean"), "tables")
+    codes = classes.select("rep", "label", "v").mapInArrow(lean(encode), "rep long, label string, d int, code long")
+    dealt = written(codes.mapInArrow(lean(deal), "label string, d int, t int, key long, rep long, code long, probe boolean"), "tables")
     one = dealt.where("probe").select("label", "d", "t", "key", F.col("rep").alias("x"), F.col("code").alias("cx"))
     two = dealt.where("not probe").select("label", "d", "t", "key", F.col("rep").alias("y"), F.col("code").alias("cy"))
     differ = F.col("cx").bitwiseXOR(F.col("cy"))
@@ -127,7 +127,7 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
 
     left = classes.select(F.col("rep").alias("x"), F.col("v").alias("vx"), F.col("mult").alias("mx"))
     right = classes.select(F.col("rep").alias("y"), F.col("v").alias("vy"), F.col("mult").alias("my"))
-    links = written(pairs.join(left, "x").join(right, "y").select("x", "y", "vx", "vy", "mx", "my").mapInArrow(rerank, "x long, y long, mx long, my long"), "links")
+    links = written(pairs.join(left, "x").join(right, "y").select("x", "y", "vx", "vy", "mx", "my").mapInArrow(lean(rerank), "x long, y long, mx long, my long"), "links")
     degree = links.select(F.col("x").alias("rep"), F.col("my").alias("n")).unionByName(links.select(F.col("y").alias("rep"), F.col("mx").alias("n"))).groupBy("rep").agg(F.sum("n").alias("n"))
     found = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("rep"), "component")
     by_class = classes.select("h1", "h2", "rep", "mult").join(degree, "rep", "left").join(found, "rep", "left").select("h1", "h2", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_VALUES, SPACE_TABLE, forget, mapped, mixed, prefix_sums, range_hash, text_arrays, with_columns, word_hashes, words_of, written
+from .shared import BYTE_VALUES, SPACE_TABLE, forget, lean, mapped, mixed, prefix_sums, range_hash, text_arrays, with_columns, word_hashes, words_of, written
 from .toxicity import crc32_remainder, labelled_sample
 
 _CLASS = np.full(256, 4, np.uint8)  # 0 upper, 1 lower or not ASCII, 2 digit, 3 full stop or comma, 4 other sign, 5 bar, 6 space
@@ -158,7 +158,7 @@ def fit(sample: DataFrame, *, rounds: int = 120, refinements: int = 2, ridge: fl
                 own = [(ids[a:b].astype("<u2").tobytes(), size[a:b].astype("<i4").tobytes()) for a, b in zip(line_at[:-1], line_at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.binary()), pa.array([s for _, s in own], pa.binary()), batch.column(1).slice(first, len(own))], names=["ids", "size", "y"])
 
-    got = sample.select("text", "y").mapInArrow(run, "ids binary, size binary, y int").collect()
+    got = sample.select("text", "y").mapInArrow(lean(run), "ids binary, size binary, y int").collect()
     got = sorted(got, key=lambda r: (bytes(r.ids), bytes(r["size"]), r.y))  # sums in an order that doesn't depend on the partitioning
     weights, steps = np.zeros(N_FEATURES), np.zeros((2, 2))
     if not got:

@@ -33,7 +33,7 @@ def _resolve(s: Spans, length: int) -> pa.RecordBatch:
     return decided(s, length, flags_of)
 
 
-def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = 50, gram: int | None = None, cell_bits: int = 27, hot: int = 4096) -> DataFrame:
+def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = 50, gram: int | None = None, cell_bits: int = 26, hot: int = 4096) -> DataFrame:
     """docs with `kept` (the words left, joined by one space), n_symbols (words), n_removed and n_spans.
 
     A word is removed if a window of `window` words that covers it also starts in a document with a smaller doc_id. Windows are

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mapped, text_arrays
+from .shared import lean, mapped, small_batches, text_arrays
 
 #: Longer pre-tokens are encoded each time, so that table and caches stay small.
 LONGEST_KEPT = 64
@@ -67,7 +67,8 @@ def frequent(docs: DataFrame, text: str, table_rows: int, sent_rows: int) -> lis
         top = [(w, n) for w, n in seen.most_common(sent_rows) if len(w) <= LONGEST_KEPT]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["w", "n"])
 
-    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(table_rows)
+    small_batches(docs.sparkSession)
+    found = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(run), "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(table_rows)
     return [bytes(r.w) for r in found.select("w").collect()]
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_VALUES, LOWER_TABLE, PUNCT_TABLE, forget, mapped, mixed, prefix_sums, range_hash, text_arrays, with_columns, words_of, written
+from .shared import BYTE_VALUES, LOWER_TABLE, PUNCT_TABLE, forget, lean, mapped, mixed, prefix_sums, range_hash, small_batches, text_arrays, with_columns, words_of, written
 
 #: Terms for groups of people, swapped for one another within a row.
 IDENTITY_TERMS = (
@@ -85,6 +85,7 @@ def crc32_remainder(doc_id, modulus: int) -> F.Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, text: str, doc_id: str, label: str, learn, rows: int) -> DataFrame:
     """(text, y) of at most `rows` labelled rows that `learn` allows: those with the smallest hashes of doc_id."""
+    small_batches(docs.sparkSession)
     some = labels.where(learn & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("y"))
     some = some.orderBy(F.xxhash64(F.lit(11), doc_id), doc_id).limit(rows).select(F.col(doc_id).alias("own_id"), F.col("y").cast("int").alias("y"))
     return docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(some), F.col("id") == F.col("own_id")).select("text", "y")
@@ -126,7 +127,7 @@ def telling(sample: DataFrame, *, least_rows: int, most: int) -> np.ndarray:
             label = np.concatenate([x for _, x in found])
             yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.bincount(of, label == 1, len(f)).astype(np.int64)), pa.array(np.bincount(of, label == 0, len(f)).astype(np.int64))], names=["f", "one", "none"])
 
-    counts = sample.select("text", "y").mapInArrow(run, "f long, one long, none long").groupBy("f").agg(F.sum("one").alias("one"), F.sum("none").alias("none")).where(F.col("one") + F.col("none") >= least_rows)
+    counts = sample.select("text", "y").mapInArrow(lean(run), "f long, one long, none long").groupBy("f").agg(F.sum("one").alias("one"), F.sum("none").alias("none")).where(F.col("one") + F.col("none") >= least_rows)
     total = sample.agg(F.count_if(F.col("y") == 1).alias("one"), F.count_if(F.col("y") == 0).alias("none")).first()
     if not total.one or not total.none:
         return np.zeros(0, np.int64)
@@ -155,7 +156,7 @@ def fit(sample: DataFrame, *, least_rows: int = 3, most_features: int = 8192, pe
                 pairs = [[(pack(a), pack(b)) for a, b in _swaps((batch.column(0)[first + k].as_py() or "").encode(), wanted, swaps)] for k in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column(1).slice(first, n), pa.array(pairs, pa.list_(pa.struct([("gone", pa.binary()), ("come", pa.binary())])))], names=["f", "y", "swaps"])
 
-    got = sample.select("text", "y").mapInArrow(run, "f binary, y int, swaps array<struct<gone: binary, come: binary>>").collect()
+    got = sample.select("text", "y").mapInArrow(lean(run), "f binary, y int, swaps array<struct<gone: binary, come: binary>>").collect()
     got = sorted(got, key=lambda r: (bytes(r.f), r.y))  # sums in an order that doesn't depend on the partitioning
     y = np.array([r.y for r in got], np.float64)
     if not len(y) or not len(wanted):

@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import BYTE_VALUES, LAST_ID, SPACE_TABLE, mixed, powers, prefix_sums, ragged, range_hash, renamed, text_arrays, word_hashes, words_of, written
+from .shared import BYTE_VALUES, LAST_ID, SPACE_TABLE, lean, mixed, powers, prefix_sums, ragged, range_hash, release, renamed, small_batches, text_arrays, word_hashes, words_of, written
 
 SHARDS = 64
 PIECES = 4
+BLOB_TEXT = 24 << 20  # bytes of text whose spans are packed together
 CHUNK = 1 << 18
 
 
@@ -187,7 +188,7 @@ def sketch(docs: DataFrame, plan: Plan) -> Sketch:
         if now is not None:
             yield done()
 
-    parts = docs.select("text").mapInArrow(count, "shard int, cells binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, repeated binary, hot binary, spans long").collect()
+    parts = docs.select("text").mapInArrow(lean(count), "shard int, cells binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(merge), "shard int, repeated binary, hot binary, spans long").collect()
     unpack = zstandard.ZstdDecompressor()
     repeated = tuple(np.zeros(1 << (plan.cell_bits - 3), np.uint8) for _ in range(2))
     hot: tuple[list, list] = ([], [])
@@ -268,9 +269,11 @@ def spans(docs: DataFrame, plan: Plan, counted: Sketch) -> tuple[DataFrame, Data
     buckets = max(512, -(-counted.spans // (PIECES * plan.piece)))
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        have: list[Spans] = []
+        where: list[np.ndarray] = []
+        read = 0
         for batch in batches:
-            docs_, tags, have, where = batch.column(1).to_numpy(), batch.column(2).to_numpy(), [], []
+            docs_, tags = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for first, s in streams(batch.column(0), plan.kind):
                 a = anchors(s, plan)
                 two, hot = counted_here().repeats(a.hash, plan)
@@ -279,17 +282,24 @@ def spans(docs: DataFrame, plan: Plan, counted: Sketch) -> tuple[DataFrame, Data
                 begin, end = s.at[a.low], s.at[a.high + plan.length] - s.gap
                 have.append(Spans((a.hash & np.uint64(0xFFFFFFFF)).astype(np.uint32), docs_[first + row], tags[first + row], a.low - s.row_at[row], a.high - a.low + 1, a.pos - a.low, np.concatenate(([0], np.cumsum(end - begin))), s.body[ragged(begin, end - begin)]))
                 where.append((mixed(a.hash) % np.uint64(buckets)).astype(np.int64))
-            if not have:
-                continue
-            lengths = np.concatenate([np.diff(x.at) for x in have])
-            all_ = Spans(*(np.concatenate([x[k] for x in have]) for k in range(6)), np.concatenate(([0], np.cumsum(lengths))), np.concatenate([x.body for x in have]))
-            bucket = np.concatenate(where)
-            order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            for at in range(0, len(edges), 256):
-                some = edges[at : at + 256]
-                ends = np.append(edges, len(order))[at + 1 : at + 1 + len(some)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[order[some]]), pa.array([all_.take(order[s:e]).packed(pack) for s, e in zip(some, ends, strict=True)], pa.binary())], names=["bucket", "spans"])
+                read += len(s.body)
+                if read > BLOB_TEXT:
+                    yield from dealt(have, where)
+                    have, where, read = [], [], 0
+        if have:
+            yield from dealt(have, where)
+
+    def dealt(have: list[Spans], where: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        lengths = np.concatenate([np.diff(x.at) for x in have])
+        all_ = Spans(*(np.concatenate([x[k] for x in have]) for k in range(6)), np.concatenate(([0], np.cumsum(lengths))), np.concatenate([x.body for x in have]))
+        bucket = np.concatenate(where)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for at in range(0, len(edges), 256):
+            some = edges[at : at + 256]
+            ends = np.append(edges, len(order))[at + 1 : at + 1 + len(some)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[some]]), pa.array([all_.take(order[s:e]).packed(pack) for s, e in zip(some, ends, strict=True)], pa.binary())], names=["bucket", "spans"])
 
     def counted_here() -> Sketch:
         return shared.value
@@ -336,10 +346,10 @@ def spans(docs: DataFrame, plan: Plan, counted: Sketch) -> tuple[DataFrame, Data
                 windows = pa.array([pair[b:e] if o else None for b, e, o in zip(cut[:-1].tolist(), cut[1:].tolist(), own.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(k0), pa.array(k1), pa.array(doc), pa.array(tag), places, cover, windows], names=["s1", "s2", "d", "tag", "lows", "cover", "windows"])
 
-    some = docs.select("text", "d", "tag").mapInArrow(cold, "bucket long, spans binary")
+    some = docs.select("text", "d", "tag").mapInArrow(lean(cold), "bucket long, spans binary")
     if not all(len(x) for x in counted.hot):
         return some, None
-    return some, written(docs.select("text", "d", "tag").mapInArrow(hot, "s1 long, s2 long, d long, tag int, lows array<int>, cover array<struct<low: int, high: int>>, windows binary"), "hot")
+    return some, written(docs.select("text", "d", "tag").mapInArrow(lean(hot), "s1 long, s2 long, d long, tag int, lows array<int>, cover array<struct<low: int, high: int>>, windows binary"), "hot")
 
 
 def hot_intervals(hot: DataFrame, length: int) -> DataFrame:
@@ -355,7 +365,7 @@ def hot_intervals(hot: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), *(batch.column(k).take(at) for k in range(3)), pa.array(ragged(np.zeros(len(n), np.int64), n).astype(np.int32))], names=["w1", "w2", "s1", "s2", "m", "j"])
 
     spans_ = written(hot.where("windows is not null").groupBy("s1", "s2").agg(F.min(F.struct("d", "windows")).alias("x")).select("s1", "s2", F.col("x.d").alias("m"), "x.windows"), "hot-spans")
-    single = written(spans_.select("s1", "s2", "m", "windows").mapInArrow(windows, "w1 long, w2 long, s1 long, s2 long, m long, j int"), "hot-windows")
+    single = written(spans_.select("s1", "s2", "m", "windows").mapInArrow(lean(windows), "w1 long, w2 long, s1 long, s2 long, m long, j int"), "hot-windows")
     least = single.groupBy("w1", "w2").agg(F.min("m").alias("least"))
     late = single.join(least, ["w1", "w2"]).where("m > least").groupBy("s1", "s2").agg(F.collect_list("j").alias("late"))  # a span has few windows
     met = hot.join(spans_.select("s1", "s2", "m").join(late, ["s1", "s2"], "left"), ["s1", "s2"])
@@ -376,7 +386,10 @@ def intervals(docs: DataFrame, plan: Plan, resolve: Callable[[Spans, int], pa.Re
         s = unpacked(table.column("spans").to_pylist(), plan)
         pieces = -(-len(s.n) // plan.piece)
         at = mixed(s.anchor.astype(np.uint64)) % np.uint64(pieces)
-        return pa.Table.from_batches([resolve(s.take(np.flatnonzero(at == k)), plan.length) for k in np.unique(at)])
+        out = pa.Table.from_batches([resolve(s.take(np.flatnonzero(at == k)), plan.length) for k in np.unique(at)])
+        del s
+        release()
+        return out
 
     out = some.groupBy("bucket").applyInArrow(run, FOUND)
     return out if hot is None else out.unionByName(hot_intervals(hot, plan.length))
@@ -416,6 +429,7 @@ def decided(s: Spans, length: int, flags_of: Callable[[Spans, np.ndarray], np.nd
 
 def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """docs(text, d, tag), as the functions above take them."""
+    small_batches(docs.sparkSession)
     t = F.col(text).cast("string")
     return docs.select(t.alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("d"), F.hash(F.xxhash64(t)).alias("tag"))
 
@@ -459,5 +473,5 @@ def marked(docs: DataFrame, plan: Plan, resolve: Callable[[Spans, int], pa.Recor
                 kept += [left[b : max(b, e - s.gap)] for b, e in zip(edge[:-1], edge[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, pa.binary()).cast(pa.binary() if plan.kind == "bytes" else pa.string()), *(pa.array(x, pa.int64()) for x in (total, removed, runs))], names=schema.names)
 
-    out = joined.mapInArrow(cut, schema)
+    out = joined.mapInArrow(lean(cut), schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(columns, names, strict=True) if c.lower() not in new], *new)
