@@ -24,3 +24,16 @@ def test_stages_keep_columns_and_take_effect(spark):
     bad = {r.doc_id for r in decontam.contamination(input_(3), spark.read.parquet(SF + "/benchmark.parquet")).where("contaminated").collect()}
     assert set(seen[3][0]) - set(seen[3][1]) == bad
     assert all(0 < r.taken <= 3 * r["size"] for r in seen[4][1].values())
+
+
+def test_stages_on_odd_and_empty_documents(spark):
+    rows = [(None, None, None, None, None), (None, "a b c d e f", "en", None, 11), (1, "", "en", "s", 0), (2, " \n ", None, "s", 3), (3, "x " * 60_000, "en", "s", 120_000), (4, "w1 w2 w3 w4 w5 w6 w7", "en", "t", 20), (4, "w1 w2 w3 w4 w5 w6 w7", "en", "t", 20), (5, "W1 w2 w3 w4 w5 w6 w7", "en", "t", 20), (6, " ".join(f"q{k}" for k in range(120)), "de", "t", 1), (7, " ".join(f"q{k}" for k in range(110)) + " z", "de", "t", 1)]
+    first = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for docs in (first, first.limit(0)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = corpus_pipeline.written(stage(spark, docs, SF), "odd-" + name)
+            if k == 1:
+                assert 5 not in {r.doc_id for r in docs.collect()}
+        got = docs.collect()
+        assert all(r.taken > 0 for r in got)
+    assert corpus_pipeline.drop_near_duplicates(spark, first, SF).where("doc_id is null").count() == 2
