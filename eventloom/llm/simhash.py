@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER_TABLE, components, mixed, text_arrays, written
+from .shared import LOWER_TABLE, components, lean, mixed, small_batches, text_arrays, written
 
 BITS = 64
 
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
     A-Z are lower-cased; words are maximal runs without ASCII white space; shingles are `shingle` words joined by one space,
     repeats included (the whole sequence if there are fewer words); each is hashed by XXH64."""
+    small_batches(docs.sparkSession)
     names = ["doc_id", "fingerprint", *(f"fingerprint{k}" for k in range(1, variants)), *(["words"] if variants > 1 else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +88,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
             columns = [np.concatenate([np.zeros(0, np.uint64), *c]).view(np.int64) for c in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 # ---------------------------------------------------------------- parts and thresholds
@@ -110,7 +111,7 @@ def bit_cooccurrence(distinct: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS)), pa.array(total.ravel())], names=["cell", "n"])
 
     out = np.zeros(BITS * BITS)
-    for cell, n in distinct.select("fingerprint").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+    for cell, n in distinct.select("fingerprint").mapInArrow(lean(run), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
         out[cell] = n
     return out.reshape(BITS, BITS)
 
@@ -155,7 +156,7 @@ def part_histograms(distinct: DataFrame, parts: list[list[int]]) -> list[np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(c[at])], names=["part", "value", "n"])
 
     out = [np.zeros(1 << len(b), np.int64) for b in parts]
-    summed = distinct.select("fingerprint").mapInArrow(run, "part long, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toArrow()
+    summed = distinct.select("fingerprint").mapInArrow(lean(run), "part long, value long, n long").groupBy("part", "value").agg(F.sum("n").alias("n")).toArrow()
     part, value, n = (summed.column(c).to_numpy() for c in ("part", "value", "n"))
     for k, c in enumerate(out):
         c[value[part == k]] = n[part == k]
@@ -242,7 +243,7 @@ def links(distinct: DataFrame, *, most_bits: int = 4, parts: int = 4, probe_cost
                 key, at_row, is_probe = np.concatenate(keys), np.concatenate(who), np.concatenate(probe)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(prints.view(np.int64)[at_row]), batch.column(1).take(pa.array(at_row)), batch.column(2).take(pa.array(at_row)), pa.array(is_probe)], names=["key", "f", "d", "known", "probe"])
 
-    sent = written(distinct.select("fingerprint", "node", "known").mapInArrow(run, "key long, f long, d long, known long, probe boolean"), "probes")
+    sent = written(distinct.select("fingerprint", "node", "known").mapInArrow(lean(run), "key long, f long, d long, known long, probe boolean"), "probes")
     one = sent.where("probe").select("key", F.col("f").alias("x"), F.col("d").alias("a"), F.col("known").alias("ka"))
     two = sent.where("not probe").select("key", F.col("f").alias("y"), F.col("d").alias("b"), F.col("known").alias("kb"))
     met = one.join(two, (one["key"] == two["key"]) & (F.col("x") > F.col("y")) & (F.col("ka") != F.col("kb")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits))
@@ -274,7 +275,7 @@ def similar(docs: DataFrame, pairs: DataFrame, *, text: str, doc_id: str, shingl
     pairs = written(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, F.col("id") == F.col("own")).select("id", "text")
-    have = written(texts.mapInArrow(sets, "id long, shingles array<int>").dropDuplicates(["id"]), "shingles")
+    have = written(texts.mapInArrow(lean(sets), "id long, shingles array<int>").dropDuplicates(["id"]), "shingles")
     one = have.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     two = have.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -285,7 +286,7 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shing
     """(node, component): documents in one group with another, and the smallest doc_id of the group; node is a document's doc_id.
 
     Documents of equal words are one class, of its smallest doc_id. Candidates are classes whose fingerprints differ by near_bits
-    or fewer, then, of classes not yet in one group, those that differ by far_bits or fewer in any of `variants` fingerprints.
+    or fewer, then, for each of `variants` fingerprints in turn, classes not yet in one group that differ by far_bits or fewer.
     A candidate links if its Jaccard similarity is `similarity` or more. Classes of equal fingerprints are compared with the
     smallest of them. Null ids are in no group; rows that share a doc_id are one document."""
     check = {"text": text, "doc_id": doc_id, "shingle": shingle, "similarity": similarity}
@@ -296,17 +297,15 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shing
     equal = classes.join(heads, "fingerprint").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     near = links(heads.withColumnRenamed("head", "node"), most_bits=near_bits, parts=parts)
     sure = written(similar(docs, near.unionByName(equal).distinct(), **check), "sure")
-    known = written(components(sure), "known")
-    grouped = written(classes.join(known, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component"), "grouped")
-    far = None
     for k in range(variants):
+        known = components(sure)
+        grouped = classes.join(known, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
         c = "fingerprint" + (str(k) if k else "")
         one = grouped.groupBy(c).agg(F.min(F.struct("node", "known")).alias("s")).select(F.col(c).alias("fingerprint"), "s.node", "s.known")
-        found = links(one, most_bits=far_bits, parts=parts)
-        far = found if far is None else far.unionByName(found)
-    more = similar(docs, far.distinct(), **check)
+        more = similar(docs, links(written(one, "known"), most_bits=far_bits, parts=parts), **check)
+        sure = written(sure.unionByName(more), "sure")
     copies = rows.join(classes.select("words", "node"), "words").where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    return components(sure.unionByName(more).unionByName(copies))
+    return components(sure.unionByName(copies))
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", **kinds) -> DataFrame:
