@@ -123,6 +123,8 @@ def telling(sample: DataFrame, *, least_rows: int, most: int) -> np.ndarray:
         for batch in batches:
             y = batch.column(1).to_numpy()
             found = [(f, y[first + row]) for first, _, row, f in features(batch.column(0))]
+            if not found:
+                continue
             f, of = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
             label = np.concatenate([x for _, x in found])
             yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.bincount(of, label == 1, len(f)).astype(np.int64)), pa.array(np.bincount(of, label == 0, len(f)).astype(np.int64))], names=["f", "one", "none"])
