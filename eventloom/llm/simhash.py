@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER_TABLE, components, lean, mixed, small_batches, text_arrays, written
+from .shared import ASCII_LOWER, ASCII_UPPER, LOWER_TABLE, components, forget, lean, small_batches, text_arrays, written
+from .windows import Plan, anchors, sketch, streams
 
 BITS = 64
 
@@ -50,26 +51,25 @@ def _bit_votes(h: np.ndarray, counts: list[int]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, seed: int = 42, variants: int = 1) -> DataFrame:
-    """(doc_id, fingerprint long) of every row. With more variants also fingerprint1, ..., of the same shingle hashes mixed by
-    other constants, and words, a hash of the row's word sequence.
+def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, seed: int = 42, whole: bool = False) -> DataFrame:
+    """(doc_id, fingerprint long) of every row; with `whole` also words, a hash of the row's word sequence.
 
     A-Z are lower-cased; words are maximal runs without ASCII white space; shingles are `shingle` words joined by one space,
     repeats included (the whole sequence if there are fewer words); each is hashed by XXH64."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", "fingerprint", *(f"fingerprint{k}" for k in range(1, variants)), *(["words"] if variants > 1 else [])]
+    names = ["doc_id", "fingerprint", *(["words"] if whole else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             found: list[list] = [[] for _ in names[1:]]
             for _, data, off in text_arrays(batch.column(1)):
-                raw, hashes, counts, whole = data.tobytes().translate(LOWER_TABLE), [], [], []
+                raw, hashes, counts, sequences = data.tobytes().translate(LOWER_TABLE), [], [], []
                 for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                     words = raw[s:e].split()
                     plain = b" ".join(words)
-                    if variants > 1:
-                        whole.append(digest(plain, seed + 1))
+                    if whole:
+                        sequences.append(digest(plain, seed))
                     if len(words) > shingle:
                         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                         starts = np.concatenate(([0], ends[: -shingle] + 1)).tolist()
@@ -80,11 +80,9 @@ def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
                         counts.append(1)
                     else:
                         counts.append(0)
-                h = np.array(hashes, np.uint64)
-                for k in range(variants):
-                    found[k].append(_bit_votes(mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1)) if k else h, counts))
-                if variants > 1:
-                    found[-1].append(np.array(whole, np.uint64))
+                found[0].append(_bit_votes(np.array(hashes, np.uint64), counts))
+                if whole:
+                    found[1].append(np.array(sequences, np.uint64))
             columns = [np.concatenate([np.zeros(0, np.uint64), *c]).view(np.int64) for c in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=names)
 
@@ -261,57 +259,133 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return prints.join(by_print, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
 
 
-def similar(docs: DataFrame, pairs: DataFrame, *, text: str, doc_id: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs(a, b) of ids whose sets of shingles (32-bit hashes) have a Jaccard similarity of `similarity` or more."""
+def similar(texts: DataFrame, pairs: DataFrame, *, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
+    """The pairs(a, b) of texts(words, text) whose sets of shingles (32-bit hashes) have a Jaccard similarity of `similarity` or
+    more, as a table of its own. Rows of texts whose words are not those of the hash beside them are left out."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
+            ids, out = [], []
+            for own, t in zip(batch.column(0).to_numpy().view(np.uint64).tolist(), batch.column(1).to_pylist(), strict=True):
                 words = (t or "").encode().translate(LOWER_TABLE).split()
-                out.append(list({xxhash.xxh32_intdigest(b" ".join(words[k : k + shingle])) - (1 << 31) for k in range(max(1, len(words) - shingle + 1))}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["id", "shingles"])
+                if xxhash.xxh64_intdigest(b" ".join(words), seed) == own:
+                    ids.append(own)
+                    out.append(list({xxhash.xxh32_intdigest(b" ".join(words[k : k + shingle])) - (1 << 31) for k in range(max(1, len(words) - shingle + 1))}))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(out, pa.list_(pa.int32()))], names=["id", "shingles"])
 
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(ids, F.col("id") == F.col("own")).select("id", "text")
-    have = written(texts.mapInArrow(lean(sets), "id long, shingles array<int>").dropDuplicates(["id"]), "shingles")
+    needed = texts.join(ids, F.col("words") == F.col("own")).select("words", "text")
+    have = written(needed.mapInArrow(lean(sets), "id long, shingles array<int>").dropDuplicates(["id"]), "shingles")
     one = have.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     two = have.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
-def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, near_bits: int = 4, far_bits: int = 7, variants: int = 3, parts: int = 4) -> DataFrame:
-    """(node, component): documents in one group with another, and the smallest doc_id of the group; node is a document's doc_id.
-
-    Documents of equal words are one class, of its smallest doc_id. Candidates are classes whose fingerprints differ by near_bits
-    or fewer, then, for each of `variants` fingerprints in turn, classes not yet in one group that differ by far_bits or fewer.
-    A candidate links if its Jaccard similarity is `similarity` or more. Classes of equal fingerprints are compared with the
-    smallest of them. Null ids are in no group; rows that share a doc_id are one document."""
-    check = {"text": text, "doc_id": doc_id, "shingle": shingle, "similarity": similarity}
-    rows = written(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle, variants=variants).where("doc_id is not null"), "prints")
-    least = rows.groupBy("words").agg(F.min("doc_id").alias("node"), *(F.min(c).alias(c) for c in rows.columns if c.startswith("fingerprint")))
-    classes = written(least, "classes")
-    heads = written(classes.groupBy("fingerprint").agg(F.min("node").alias("head")), "heads")
-    equal = classes.join(heads, "fingerprint").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    near = links(heads.withColumnRenamed("head", "node"), most_bits=near_bits, parts=parts)
-    sure = written(similar(docs, near.unionByName(equal).distinct(), **check), "sure")
-    for k in range(variants):
+    found = written(pairs.join(one, "a").join(two, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
+    forget(have)
+    forget(pairs)
+    return found
+
+
+def overlapping(texts: DataFrame, *, shingle: int, similarity: float, seed: int = 42, cell_bits: int = 26, hot: int = 4096) -> DataFrame:
+    """texts(words, text, known) -> (a, b): every two texts of different `known` that can have a Jaccard similarity of `similarity`
+    or more; none that has is left out.
+
+    Shingles are ordered by how often a count-min sketch saw them (once, more, `hot` or more), then by hash. Two sets of that
+    similarity share one among the first n - ceil(similarity * n) + 1 of each, and the first that they share leaves enough after it
+    in both. A shingle seen once is in no other text and is not sent. The sketch decides only how many candidates there are."""
+    plan = Plan("words", shingle, shingle, cell_bits, hot)
+    lower = texts.select(F.translate(F.coalesce("text", F.lit("")), ASCII_UPPER, ASCII_LOWER).alias("text"), "words", "known")
+    shared = texts.sparkSession.sparkContext.broadcast(sketch(lower, plan))  # two rows of 2^cell_bits bits, whatever the corpus
+    both = 2 * similarity / (1 + similarity)  # of the smaller set
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, known = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for first, s in streams(batch.column(0), plan.kind):
+                found = anchors(s, plan)  # of windows as long as their anchors: each window's own hash
+                row, h = np.searchsorted(s.row_at, found.low, "right") - 1, found.hash
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                new = np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))[: len(h)]
+                row, h = row[new], h[new]
+                two, many = shared.value.repeats(h, plan)
+                level = two.astype(np.int8) + (two & many)
+                order = np.lexsort((h, level, row))
+                row, h, level = row[order], h[order], level[order]
+                sizes = np.bincount(row, minlength=len(s.row_at))
+                n = sizes[row]
+                place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+                sent = np.flatnonzero((level > 0) & (place <= n - np.ceil(similarity * n - 1e-6)))
+                own = np.unique(row[sent])
+                true = np.zeros(len(s.row_at), bool)
+                true[own] = [xxhash.xxh64_intdigest(s.body[s.at[i] : s.at[j] - s.gap].tobytes(), seed) == w for i, j, w in zip(s.row_at[own], s.row_at[own + 1], words[first + own].view(np.uint64).tolist(), strict=True)]
+                sent = sent[true[row[sent]]]
+                row, n, place = row[sent], n[sent], place[sent]
+                yield pa.RecordBatch.from_arrays([pa.array(h[sent].view(np.int64)), pa.array(words[first + row]), pa.array(known[first + row]), pa.array(n.astype(np.int32)), pa.array((n - place).astype(np.int32)), pa.array(place <= n - np.ceil(both * n - 1e-6))], names=["key", "words", "known", "n", "rest", "core"])
+
+    sent = written(lower.mapInArrow(lean(heads), "key long, words long, known long, n int, rest int, core boolean"), "heads")
+    one = sent.select("key", *[F.col(c).alias("x" + c) for c in sent.columns[1:]])
+    two = sent.select("key", *[F.col(c).alias("y" + c) for c in sent.columns[1:]])
+    fits = F.expr(f"xwords < ywords AND xknown != yknown AND IF(xn <= yn, xcore, ycore) AND least(xn, yn) >= {similarity!r}D * greatest(xn, yn) - 1e-6D AND least(xrest, yrest) >= {similarity / (1 + similarity)!r}D * (xn + yn) - 1e-6D")
+    return one.join(two, "key").where(fits).select(F.col("xwords").alias("a"), F.col("ywords").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs(a, b) that known(node, component) doesn't have in one component."""
+    for c in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("node").alias(c), F.col("component").alias("k" + c)), c, "left")
+    return pairs.where(F.coalesce("ka", "a") != F.coalesce("kb", "b")).select("a", "b")
+
+
+def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, near_bits: int = 4, parts: int = 4, at_once: int = 20_000) -> DataFrame:
+    """(node, words, component, first): documents in one group with another. node is a document's doc_id, words the hash of its
+    word sequence, component the smallest doc_id of the group, first whether it is the one of the group that stays.
+
+    Documents of equal words are one class. Two classes link if their Jaccard similarity is `similarity` or more. Classes whose
+    fingerprints differ by near_bits or fewer are compared first (of equal ones: with the smallest of them); then overlapping()
+    finds every pair left apart that may link, so none is missed. Pairs are compared in turns of at_once, or half as many as
+    there are classes, and those that a turn before has put in one group are passed over. Null ids are in no group; rows that
+    share doc_id and words are one document."""
+    check = {"shingle": shingle, "similarity": similarity}
+    rows = written(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle, whole=True).where("doc_id is not null"), "prints")
+    classes = written(rows.groupBy("words").agg(F.min("doc_id").alias("node"), F.min("fingerprint").alias("fingerprint")), "classes")
+    plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    texts = plain.join(classes.select("node", "words"), F.col("id") == F.col("node")).select("words", "text")
+    heads = written(classes.groupBy("fingerprint").agg(F.min(F.struct("node", "words"))["words"].alias("node")), "heads")
+    equal = classes.join(heads.withColumnRenamed("node", "head"), "fingerprint").where("words != head").select(F.col("head").alias("a"), F.col("words").alias("b"))
+    sure = similar(texts, links(heads, most_bits=near_bits, parts=parts).unionByName(equal), **check)
+    known = components(sure)
+    grouped = texts.join(known, F.col("words") == F.col("node"), "left").select("words", "text", F.coalesce("component", "words").alias("known"))
+    left = written(overlapping(grouped, **check), "candidates")
+    most, turns = max(at_once, classes.count() // 2), 0
+    while n := left.count():
+        if n <= most:
+            part = left
+        elif turns < 3:  # the smallest candidate of each
+            part = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        else:
+            part = left.where(F.pmod(F.xxhash64("a", "b"), F.lit(-(-n // most))) == 0)
+        part = written(part, "turn")
+        sure = written(sure.unionByName(similar(texts, part, **check)), "sure")
         known = components(sure)
-        grouped = classes.join(known, "node", "left").withColumn("known", F.coalesce("component", "node")).drop("component")
-        c = "fingerprint" + (str(k) if k else "")
-        one = grouped.groupBy(c).agg(F.min(F.struct("node", "known")).alias("s")).select(F.col(c).alias("fingerprint"), "s.node", "s.known")
-        more = similar(docs, links(written(one, "known"), most_bits=far_bits, parts=parts), **check)
-        sure = written(sure.unionByName(more), "sure")
-    copies = rows.join(classes.select("words", "node"), "words").where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    return components(sure.unionByName(copies))
-
-
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", **kinds) -> DataFrame:
-    """The rows of docs but for documents that groups() puts behind a smaller doc_id."""
-    gone = groups(docs, doc_id=doc_id, **kinds).where("node != component").select(F.col("node").alias("gone_id"))
-    return docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+        left = written(_apart(left.join(part, ["a", "b"], "left_anti"), known), "candidates")
+        turns += 1
+    own = rows.select("doc_id", "words").distinct().join(known, F.col("words") == F.col("node"), "left").select(F.col("doc_id").alias("node"), "words", F.coalesce("component", "words").alias("at"))
+    least = own.groupBy("at").agg(F.min(F.struct("node", "words")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return own.join(least, "at").select("node", "words", F.col("least.node").alias("component"), (F.struct("node", "words") == F.col("least")).alias("first"))
+
+
+def words_hash(text) -> F.Column:
+    """The `words` of fingerprints() as a column expression, at its seed of 42."""
+    plain = F.translate(F.coalesce(text, F.lit("")), ASCII_UPPER, ASCII_LOWER)
+    return F.xxhash64(F.trim(F.regexp_replace(plain, r"[\t-\r ]+", " ")))
+
+
+def deduplicated(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **kinds) -> DataFrame:
+    """The rows of docs but for documents that groups() puts behind a smaller doc_id. Of rows that share a doc_id but not the words,
+    those whose words are behind go."""
+    gone = groups(docs, text=text, doc_id=doc_id, **kinds).where("not first").select(F.col("node").alias("gone_id"), F.col("words").alias("gone_words"))
+    return docs.join(gone, (F.col(doc_id) == F.col("gone_id")) & (words_hash(F.col(text).cast("string")) == F.col("gone_words")), "left_anti")
 
 
 def hex_digits(fingerprint) -> F.Column:
