@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import bridge, fitstats, gates, metadata, models, peaktrack, samples, series, timeqc
-from ..operators.ranking import quantiles
+from ..operators.ranking import indexed, quantiles
 from .views import BINNED, BINS, CYTO, DAY, FLAGS, PULSE, SEGMENTS, cyto_events, pulse_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -461,8 +461,10 @@ def late_link(spark, d):
 @query(r"SELECT c_custkey, row_number() OVER (ORDER BY coalesce(try_cast(nullif(regexp_extract(t, '^\s*([-+]?[0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE), 1e308), c_custkey) AS rank FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'late' ELSE (c_custkey % 50)::VARCHAR || ' h' END AS t FROM customer WHERE c_custkey < 500)")
 def timepoint_sort_rank(spark, d):
     t = F.when(F.col("c_custkey") % 7 == 0, "late").otherwise(F.concat((F.col("c_custkey") % 50).cast("string"), F.lit(" h")))
-    rows = table(spark, d, "customer").where("c_custkey < 500").select("c_custkey", t.alias("t"))
-    return rows.select("c_custkey", F.row_number().over(Window.orderBy(*metadata.sort_keys("t", "c_custkey", numeric=True))).alias("rank"))
+    rows = table(spark, d, "customer").select("c_custkey", C.leading_number(t).alias("number"))
+    counts = rows.groupBy("number").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("number", (F.sum("n").over(Window.orderBy("number")) - F.col("n")).alias("before"))  # a row per distinct number
+    return indexed(rows, "number", "c_custkey", "k").join(before, "number").select("c_custkey", (F.col("before") + F.col("k") + 1).cast("int").alias("rank"))
 
 
 @query("SELECT c_mktsegment, c_custkey, k - 1 AS alternative FROM (SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k BETWEEN 2 AND 4")
