@@ -2,7 +2,6 @@
 
 import random
 
-import pytest
 from eventloom.llm import simhash
 
 LINE = " ".join(f"line{k}" for k in range(13))
@@ -59,3 +58,35 @@ def test_texts_behind_one_equal_fingerprint(spark):
     assert len(prints) < len(rows) - 4
     want = compare(spark, rows)
     assert [want[10 * k + 1] for k in range(1, 5)] == [10, 20, 30, 40] and want[0] == 0
+
+
+def test_pairs_just_over_and_under_the_similarity(spark):
+    """Random prose with words changed until Jaccard falls from 0.90 to 0.70, at random places and lengths."""
+    rnd = random.Random(5)
+    rows, near = [], 0
+    for k in range(60):
+        base = prose(rnd, rnd.randint(60, 300))
+        if k % 3 == 0:
+            base = (LINE + " ").split() * rnd.randint(1, 9) + base
+        other, least = list(base), rnd.uniform(0.7, 0.9)
+        while jaccard(shingles(" ".join(base)), shingles(" ".join(other))) > least + 0.02:
+            other[rnd.randrange(len(other))] = f"z{rnd.randint(0, 10**6)}"
+        j = jaccard(shingles(" ".join(base)), shingles(" ".join(other)))
+        near += 0.8 <= j < 0.9
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    assert near > 15
+    compare(spark, rows)
+
+
+def test_turns_of_a_few_pairs_find_the_same(spark):
+    rnd = random.Random(6)
+    base, rows = prose(rnd, 100), []
+    for k in range(40):
+        own = list(base)
+        for p in range(rnd.randint(0, 5)):
+            own[rnd.randrange(100)] = f"y{k}-{p}"
+        rows.append((k, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    got = {r.node: r.component for r in simhash.groups(df, near_bits=0, at_once=21).collect()}
+    assert {i: got.get(i, i) for i in want} == want
