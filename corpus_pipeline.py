@@ -53,7 +53,8 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: A trained classifier decides the first stage: the pipeline is tested against a brute-force version instead.
+#: A trained classifier decides the first stage: its SimHash stage is tested against all pairs by brute
+#: force, the other stages against the operator that each calls, which tests/llm/test_llm.py tests by brute force.
 ORACLE_SQL = None
 
 

@@ -90,3 +90,13 @@ def test_turns_of_a_few_pairs_find_the_same(spark):
     want = brute(rows)
     got = {r.node: r.component for r in simhash.groups(df, near_bits=0, at_once=21).collect()}
     assert {i: got.get(i, i) for i in want} == want
+
+
+def test_stage_equals_all_pairs_of_documents(spark):
+    """The pipeline's stage on documents.parquet, by brute force that shares no code with it."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = brute([(r.doc_id, r.text or "") for r in docs.collect()])
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "/root/testdata/sf0.01")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, c in want.items() if i == c)
