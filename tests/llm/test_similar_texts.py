@@ -100,3 +100,12 @@ def test_stage_equals_all_pairs_of_documents(spark):
     want = brute([(r.doc_id, r.text or "") for r in docs.collect()])
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "/root/testdata/sf0.01")
     assert sorted(r.doc_id for r in got.collect()) == sorted(i for i, c in want.items() if i == c)
+
+
+def test_rows_that_share_a_doc_id_but_not_the_words(spark):
+    rnd = random.Random(7)
+    one, two, three = (prose(rnd, 80) for _ in range(3))
+    near = [*one[:-1], "end"]
+    rows = [(1, " ".join(one)), (2, " \tEnd " + "\n".join(two) + " "), (2, " ".join(near)), (3, "end " + " ".join(two).upper().replace("W", "w")), (4, " ".join(three)), (4, " ".join(three[::-1]))]
+    kept = sorted((r.doc_id, r.text) for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted(rows[k] for k in (0, 1, 4, 5))
