@@ -502,7 +502,7 @@ def poisson_residuals(spark, d):
  SELECT sample, """ + ", ".join(f"max(v) FILTER (model = '{m}') AS \"{m}\"" for m in ("AUTOMOBILE", "BUILDING")) + " FROM f GROUP BY sample")
 def phase_fractions_pivot(spark, d):
     f = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("sample"), F.col("c_mktsegment").alias("model")).agg(_r(F.avg("c_acctbal"), 4).alias("v"))
-    return f.groupBy("sample").pivot("model", ["AUTOMOBILE", "BUILDING"]).agg(F.max("v"))
+    return f.groupBy("sample").pivot("model", ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]).agg(F.max("v"))
 
 
 @query("SELECT p_brand AS fingerprint, count(*) AS samples, round(quantile_cont(p_retailprice / 1000.0, 0.5), 6) AS centre FROM part GROUP BY 1 HAVING count(*) >= 2")
