@@ -54,7 +54,7 @@ STAGES = [
 ]
 
 #: A trained classifier decides the first stage: its SimHash stage is tested against all pairs by brute
-#: force, the other stages against the operator that each calls, which tests/llm/test_llm.py tests by brute force.
+#: force, the other stages against the operator that each calls.
 ORACLE_SQL = None
 
 
