@@ -1,7 +1,7 @@
 """Substring dedup behind a count-min prefilter: see windows.py for the passes.
 
-The merged sketches overestimate how often each window occurs; the second pass groups exactly, by 128-bit hashes, only windows
-estimated repeated. No repeated window is lost.
+The merged sketches overestimate how often each window occurs; the second pass groups only windows estimated repeated, by
+128-bit hashes, and compares the words of each with those of its group's first. No repeated window is lost.
 """
 
 from __future__ import annotations
@@ -11,7 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .shared import SPACE_TABLE, mixed, prefix_sums, ragged, range_hash, word_hashes, words_of
-from .windows import Plan, Spans, decided, marked
+from .windows import Plan, Spans, decided, equal_bytes, marked
+
+
+def _same(body: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray, rep: np.ndarray, own: np.ndarray, length: int) -> bool:
+    """Whether the windows (words at[i]:at[i] + length of span own[i]) read as windows rep. Where the windows before both were
+    compared too, only the last word is left to compare."""
+    last = at + length - 1
+    size = end[last] - start[at]
+    on = np.concatenate(([False], (own[1:] == own[:-1]) & (own[rep[1:]] == own[rep[:-1]]) & (rep[1:] == rep[:-1] + 1)))
+    one = np.where(on, start[last], start[at])
+    two = np.where(on, start[last[rep]], start[at[rep]])
+    return bool((size == size[rep]).all()) and equal_bytes(body, one, two, end[last] - one)
 
 
 def _resolve(s: Spans, length: int) -> pa.RecordBatch:
@@ -24,8 +35,15 @@ def _resolve(s: Spans, length: int) -> pa.RecordBatch:
         own = np.repeat(np.arange(len(d.n)), d.n)
         order = np.lexsort((d.doc[own], two, one))
         begin = np.concatenate(([True], (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)))
-        least = np.empty(len(order), np.int64)
-        least[order] = d.doc[own][order][np.flatnonzero(begin)][np.cumsum(begin) - 1]
+        rep = np.empty(len(order), np.int64)
+        rep[order] = order[np.flatnonzero(begin)][np.cumsum(begin) - 1]
+        least = d.doc[own][rep]
+        if not _same(d.body, start, end, at, rep, own, length):  # a hash collision: by their bytes then
+            smallest: dict[bytes, int] = {}
+            texts = [d.body[b:e].tobytes() for b, e in zip(start[at], end[at + length - 1], strict=True)]
+            for t, doc in zip(texts, d.doc[own].tolist(), strict=True):
+                smallest[t] = min(doc, smallest.get(t, doc))
+            least = np.array([smallest[t] for t in texts], np.int64)
         flags = np.zeros((len(d.n), width), bool)
         flags[own, at - first[own]] = d.doc[own] > least
         return flags
@@ -33,7 +51,7 @@ def _resolve(s: Spans, length: int) -> pa.RecordBatch:
     return decided(s, length, flags_of)
 
 
-def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = 50, gram: int | None = None, cell_bits: int = 26, hot: int = 4096) -> DataFrame:
+def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = 50, gram: int | None = None, cell_bits: int = 28, hot: int = 4096) -> DataFrame:
     """docs with `kept` (the words left, joined by one space), n_symbols (words), n_removed and n_spans.
 
     A word is removed if a window of `window` words that covers it also starts in a document with a smaller doc_id. Windows are

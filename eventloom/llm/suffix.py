@@ -133,7 +133,7 @@ def _resolve(s: Spans, length: int) -> pa.RecordBatch:
     return decided(s, length, flags_of)
 
 
-def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = 50, gram: int | None = None, cell_bits: int = 27, hot: int = 16384) -> DataFrame:
+def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", window: int = 50, gram: int | None = None, cell_bits: int = 28, hot: int = 16384) -> DataFrame:
     """docs with `kept` (binary: the bytes left), n_symbols (bytes), n_removed and n_spans (maximal removed runs).
 
     A byte of the UTF-8 text is removed if a string of `window` bytes that covers it also starts in a document with a smaller

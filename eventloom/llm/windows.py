@@ -14,10 +14,10 @@ anchor. Equal windows have equal anchors, and neighbouring windows share one, so
    and splittable joins on 128-bit hashes of spans and then of windows instead of a group in one task.
 5. marked(): the intervals found meet the texts again.
 
-The sketch has two rows of 2^cell_bits cells. With more anchors than cells, more unique windows reach step 2; results do not
-change. Everything else grows in proportion to the repeated part of the input.
+The sketch has two rows of cells, some two for each anchor of the input, but 2^cell_bits at most, so that it can be broadcast.
+With more anchors than cells, more unique windows reach step 2; results do not change. Everything else grows in proportion to the repeated part of the input.
 
-Documents are told apart by (doc_id, 32 bits of the text's hash), so rows that share a doc_id are judged row by row; a null
+Documents are told apart by (doc_id, 64 bits of the text's hash), so rows that share a doc_id are judged row by row; a null
 doc_id ranks after every other.
 """
 
@@ -29,6 +29,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,11 +46,16 @@ class Plan(NamedTuple):
     kind: str  # "bytes" or "words"
     length: int
     gram: int
-    cell_bits: int = 27
+    cell_bits: int = 28
     hot: int = 4096
     piece: int = 12288  # spans resolved at a time, about; a bucket has PIECES times as many
 
 
+def sized_cells(n: int, most_bits: int) -> int:
+    """cell_bits of a sketch of about n things: a cell for each or two, but 2^most_bits at most and a cell a shard at least."""
+    return min(most_bits, max(16, int(n).bit_length()))
+
+
 class Stream(NamedTuple):
     """Symbols of some rows. Those of row r are row_at[r]:row_at[r + 1]; symbols i:j read body[at[i] : at[j] - gap]."""
 
@@ -119,8 +125,20 @@ def _cells(h: np.ndarray, row: int, cell_bits: int) -> np.ndarray:
     return mixed(h ^ np.uint64((0xA24BAED4963EE407, 0x9FB21C651E98DF25)[row])) >> np.uint64(64 - cell_bits)
 
 
+def _smaller(bits: np.ndarray) -> np.ndarray:
+    """A bitmap of cells, or the sorted cells themselves (uint32) where that is smaller."""
+    n = int(np.bitwise_count(bits).sum(dtype=np.int64))
+    return bits if 4 * n >= len(bits) else np.concatenate([np.zeros(0, np.uint32), *(np.flatnonzero(np.unpackbits(bits[at : at + (1 << 20)], bitorder="little")).astype(np.uint32) + np.uint32(8 * at) for at in range(0, len(bits), 1 << 20))])
+
+
+def _has(cells: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    if cells.dtype == np.uint8:
+        return ((cells[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    return cells[np.minimum(np.searchsorted(cells, cell.astype(np.uint32)), len(cells) - 1)] == cell if len(cells) else np.zeros(len(cell), bool)
+
+
 class Sketch(NamedTuple):
-    """repeated[row]: a bit per cell that counted 2 or more; hot[row]: the sorted cells that counted `hot` or more."""
+    """repeated[row], hot[row]: a bit per cell that counted 2 or more, and `hot` or more, as _smaller() keeps them."""
 
     repeated: tuple[np.ndarray, np.ndarray]
     hot: tuple[np.ndarray, np.ndarray]
@@ -131,9 +149,8 @@ class Sketch(NamedTuple):
         two, hot = np.ones(len(h), bool), np.ones(len(h), bool)
         for row in (0, 1):
             cell = _cells(h, row, plan.cell_bits)
-            two &= ((self.repeated[row][(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            have = self.hot[row]
-            hot &= (have[np.minimum(np.searchsorted(have, cell), len(have) - 1)] == cell) if len(have) else False
+            two &= _has(self.repeated[row], cell)
+            hot &= _has(self.hot[row], cell)
         return two, hot
 
 
@@ -190,16 +207,15 @@ def sketch(docs: DataFrame, plan: Plan) -> Sketch:
 
     parts = docs.select("text").mapInArrow(lean(count), "shard int, cells binary").repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(merge), "shard int, repeated binary, hot binary, spans long").collect()
     unpack = zstandard.ZstdDecompressor()
-    repeated = tuple(np.zeros(1 << (plan.cell_bits - 3), np.uint8) for _ in range(2))
-    hot: tuple[list, list] = ([], [])
+    repeated, hot = (tuple(np.zeros(1 << (plan.cell_bits - 3), np.uint8) for _ in range(2)) for _ in range(2))
     spans = 0
     for shard, two, many, n in sorted(parts):
         row, k = divmod(shard, SHARDS)
-        at = k << (shard_bits - 3)
-        repeated[row][at : at + (1 << (shard_bits - 3))] = np.frombuffer(unpack.decompress(bytes(two)), np.uint8)
-        hot[row].append(np.flatnonzero(np.unpackbits(np.frombuffer(unpack.decompress(bytes(many)), np.uint8), bitorder="little")).astype(np.uint64) + np.uint64(k << shard_bits))
+        own = slice(k << (shard_bits - 3), (k + 1) << (shard_bits - 3))
+        repeated[row][own] = np.frombuffer(unpack.decompress(bytes(two)), np.uint8)
+        hot[row][own] = np.frombuffer(unpack.decompress(bytes(many)), np.uint8)
         spans += n * (row == 0)
-    return Sketch(repeated, tuple(np.concatenate([np.zeros(0, np.uint64), *x]) for x in hot), spans)
+    return Sketch(repeated, tuple(map(_smaller, hot)), spans)
 
 
 # ---------------------------------------------------------------- spans
@@ -226,7 +242,7 @@ class Spans(NamedTuple):
         return pack.compress(np.int64(len(self.n)).tobytes() + b"".join(x.astype(k).tobytes() for x, k in zip((*self[1:6], np.diff(self.at)), _WIRE, strict=True)) + self.body.tobytes())
 
 
-_WIRE = ("<i8", "<i4", "<i4", "u1", "u1", "<u4")
+_WIRE = ("<i8", "<i8", "<i4", "u1", "u1", "<u4")
 
 
 def unpacked(blobs: list[bytes], plan: Plan) -> Spans:
@@ -255,17 +271,16 @@ def unpacked(blobs: list[bytes], plan: Plan) -> Spans:
 
 
 #: (doc, tag, low, high): symbols low..high - 1 of the document are covered by windows that a smaller document has.
-FOUND = "d long, tag int, low int, high int"
+FOUND = "d long, tag long, low int, high int"
 
 
 def found_batch(doc: np.ndarray, tag: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["d", "tag", "low", "high"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["d", "tag", "low", "high"])
 
 
-def spans(docs: DataFrame, plan: Plan, counted: Sketch) -> tuple[DataFrame, DataFrame | None]:
-    """docs(text, d, tag) -> (bucket, spans) blobs of the anchors with 2 <= estimate < hot, and the hot spans, if any."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(counted)  # two rows of 2^cell_bits bits, whatever the corpus
+def spans(docs: DataFrame, plan: Plan, counted: Sketch, shared: Broadcast) -> tuple[DataFrame, DataFrame | None]:
+    """docs(text, d, tag) -> (bucket, spans) blobs of the anchors with 2 <= estimate < hot, and the hot spans, if any. shared:
+    the broadcast of `counted`."""
     buckets = max(512, -(-counted.spans // (PIECES * plan.piece)))
 
     def cold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +364,7 @@ def spans(docs: DataFrame, plan: Plan, counted: Sketch) -> tuple[DataFrame, Data
     some = docs.select("text", "d", "tag").mapInArrow(lean(cold), "bucket long, spans binary")
     if not all(len(x) for x in counted.hot):
         return some, None
-    return some, written(docs.select("text", "d", "tag").mapInArrow(lean(hot), "s1 long, s2 long, d long, tag int, lows array<int>, cover array<struct<low: int, high: int>>, windows binary"), "hot")
+    return some, written(docs.select("text", "d", "tag").mapInArrow(lean(hot), "s1 long, s2 long, d long, tag long, lows array<int>, cover array<struct<low: int, high: int>>, windows binary"), "hot")
 
 
 def hot_intervals(hot: DataFrame, length: int) -> DataFrame:
@@ -378,9 +393,14 @@ def hot_intervals(hot: DataFrame, length: int) -> DataFrame:
 
 
 def intervals(docs: DataFrame, plan: Plan, resolve: Callable[[Spans, int], pa.RecordBatch]) -> DataFrame:
-    """docs(text, d, tag) -> FOUND. resolve gets the spans of a bucket and the window length."""
+    """docs(text, d, tag) -> (cut_d, cut_tag, cut): a document's intervals, each once, as a table of its own. resolve gets the
+    spans of a bucket and the window length."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    a_step = (plan.length - plan.gram + 2) / 2 * (1 if plan.kind == "bytes" else 6)  # bytes an anchor, about
+    plan = plan._replace(cell_bits=sized_cells(int(2 * size / a_step), plan.cell_bits))
     counted = sketch(docs, plan)
-    some, hot = spans(docs, plan, counted)
+    shared = docs.sparkSession.sparkContext.broadcast(counted)  # two rows of 2^cell_bits bits at most
+    some, hot = spans(docs, plan, counted, shared)
 
     def run(table: pa.Table) -> pa.Table:
         s = unpacked(table.column("spans").to_pylist(), plan)
@@ -392,7 +412,11 @@ def intervals(docs: DataFrame, plan: Plan, resolve: Callable[[Spans, int], pa.Re
         return out
 
     out = some.groupBy("bucket").applyInArrow(run, FOUND)
-    return out if hot is None else out.unionByName(hot_intervals(hot, plan.length))
+    out = out if hot is None else out.unionByName(hot_intervals(hot, plan.length))
+    out = written(out.groupBy("d", "tag").agg(F.collect_set(F.struct("low", "high")).alias("cut")).select(F.col("d").alias("cut_d"), F.col("tag").alias("cut_tag"), "cut"), "cuts")
+    shared.destroy()
+    release()
+    return out
 
 
 def runs_of(flags: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -403,6 +427,15 @@ def runs_of(flags: np.ndarray, low: np.ndarray, length: int) -> tuple[np.ndarray
     return row, low[row] + begin, low[row] + end - 1 + length
 
 
+def equal_bytes(body: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> bool:
+    """Whether size[i] bytes from one[i] equal those from two[i], for every i."""
+    rows = np.flatnonzero(one != two)
+    for part in np.array_split(rows, max(1, int(size[rows].sum()) >> 22)):  # some 4 MB at a time
+        if (body[ragged(one[part], size[part])] != body[ragged(two[part], size[part])]).any():
+            return False
+    return True
+
+
 def decided(s: Spans, length: int, flags_of: Callable[[Spans, np.ndarray], np.ndarray]) -> pa.RecordBatch:
     """Equal spans are judged once: all but those of the smallest document are covered whole; flags_of(distinct spans, which of
     them share an anchor with another) says which windows of the smallest one a smaller document has in another span."""
@@ -414,6 +447,13 @@ def decided(s: Spans, length: int, flags_of: Callable[[Spans, np.ndarray], np.nd
     first = order[np.flatnonzero(begin)]
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(begin) - 1
+    if not equal_bytes(s.body, s.at[:-1], s.at[first][of], np.diff(s.at)):  # a hash collision: by their bytes then
+        exact: dict[tuple, int] = {}
+        keys = [(int(s.anchor[k]), int(s.n[k]), int(s.left[k]), s.body[s.at[k] : s.at[k + 1]].tobytes()) for k in range(len(order))]
+        for k in np.lexsort((s.doc, s.anchor)).tolist():  # groups in the order of their anchors
+            exact.setdefault(keys[k], k)
+        first, place = np.array(list(exact.values())), {x: k for k, x in enumerate(exact)}
+        of = np.array([place[x] for x in keys])
     whole = s.doc > s.doc[first][of]
     d = s.take(first)
     near = np.diff(d.anchor.astype(np.int64)) == 0
@@ -431,18 +471,17 @@ def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """docs(text, d, tag), as the functions above take them."""
     small_batches(docs.sparkSession)
     t = F.col(text).cast("string")
-    return docs.select(t.alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("d"), F.hash(F.xxhash64(t)).alias("tag"))
+    return docs.select(t.alias("text"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("d"), F.xxhash64(t).alias("tag"))
 
 
 def marked(docs: DataFrame, plan: Plan, resolve: Callable[[Spans, int], pa.RecordBatch], *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with `kept` (string of kept words joined by one space, or binary of kept bytes), n_symbols, n_removed and n_spans
     (runs removed). Columns of docs with these names give way."""
-    found = intervals(keyed(docs, text, doc_id), plan, resolve)
-    per_doc = found.groupBy("d", "tag").agg(F.collect_list(F.struct("low", "high")).alias("cut")).select(F.col("d").alias("cut_d"), F.col("tag").alias("cut_tag"), "cut")
+    per_doc = intervals(keyed(docs, text, doc_id), plan, resolve)
     new = ["kept", "n_symbols", "n_removed", "n_spans"]
     plain, names, columns, own = renamed(docs, text, new)
     own_id, own_text, at = F.col(names[columns.index(doc_id)]), F.col(own), plain.columns.index(own)
-    keyed_ = plain.withColumns({"own_d": F.coalesce(own_id.cast("long"), F.lit(LAST_ID)), "own_tag": F.hash(F.xxhash64(own_text))})
+    keyed_ = plain.withColumns({"own_d": F.coalesce(own_id.cast("long"), F.lit(LAST_ID)), "own_tag": F.xxhash64(own_text)})
     joined = keyed_.join(per_doc, (F.col("own_d") == F.col("cut_d")) & (F.col("own_tag") == F.col("cut_tag")), "left").select(*plain.columns, "cut")
     kept_type = T.BinaryType() if plan.kind == "bytes" else T.StringType()
     schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, plain.schema.fields, strict=False)], T.StructField("kept", kept_type), *[T.StructField(n, T.LongType()) for n in ("n_symbols", "n_removed", "n_spans")]])
