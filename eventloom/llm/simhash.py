@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_LOWER, ASCII_UPPER, LOWER_TABLE, components, forget, lean, small_batches, text_arrays, written
-from .windows import Plan, anchors, sketch, streams
+from .shared import ASCII_LOWER, ASCII_UPPER, LOWER_TABLE, components, forget, lean, release, small_batches, text_arrays, written
+from .windows import Plan, anchors, sized_cells, sketch, streams
 
 BITS = 64
 
@@ -200,15 +200,12 @@ def _masks(width: int, most: int) -> list[np.ndarray]:
     return out
 
 
-def links(distinct: DataFrame, *, most_bits: int = 4, parts: int = 4, probe_cost: float = 8.0, n: int | None = None) -> DataFrame:
-    """distinct(fingerprint, node[, known]): one row per fingerprint -> (a, b) nodes of all fingerprints within most_bits of each
-    other. With `known`, links of nodes whose known values are equal are left out.
+def links(distinct: DataFrame, *, most_bits: int = 4, parts: int = 4, probe_cost: float = 8.0) -> DataFrame:
+    """distinct(fingerprint, node): one row per fingerprint -> (a, b) nodes of all fingerprints within most_bits of each other.
 
     probe_cost: what sending one probe costs, in candidates verified."""
-    if "known" not in distinct.columns:
-        distinct = distinct.withColumn("known", F.col("fingerprint"))
     spark = distinct.sparkSession
-    n = distinct.count() if n is None else n
+    n = distinct.count()
     bits = grouped_bits(bit_cooccurrence(distinct), n, parts)
     balls = [ball_counts(h, most_bits) for h in part_histograms(distinct, bits)]
     tables = spark.sparkContext.broadcast([b.astype(np.float32) for b in balls])  # parts * (most_bits + 1) * 2^width numbers
@@ -239,12 +236,14 @@ def links(distinct: DataFrame, *, most_bits: int = 4, parts: int = 4, probe_cost
                             who.append(np.repeat(rows, len(masks[k][t])))
                             probe.append(np.ones(len(who[-1]), bool))
                 key, at_row, is_probe = np.concatenate(keys), np.concatenate(who), np.concatenate(probe)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(prints.view(np.int64)[at_row]), batch.column(1).take(pa.array(at_row)), batch.column(2).take(pa.array(at_row)), pa.array(is_probe)], names=["key", "f", "d", "known", "probe"])
-
-    sent = written(distinct.select("fingerprint", "node", "known").mapInArrow(lean(run), "key long, f long, d long, known long, probe boolean"), "probes")
-    one = sent.where("probe").select("key", F.col("f").alias("x"), F.col("d").alias("a"), F.col("known").alias("ka"))
-    two = sent.where("not probe").select("key", F.col("f").alias("y"), F.col("d").alias("b"), F.col("known").alias("kb"))
-    met = one.join(two, (one["key"] == two["key"]) & (F.col("x") > F.col("y")) & (F.col("ka") != F.col("kb")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(prints.view(np.int64)[at_row]), batch.column(1).take(pa.array(at_row)), pa.array(is_probe)], names=["key", "f", "d", "probe"])
+
+    sent = written(distinct.select("fingerprint", "node").mapInArrow(lean(run), "key long, f long, d long, probe boolean"), "probes")
+    tables.destroy()
+    release()
+    one = sent.where("probe").select("key", F.col("f").alias("x"), F.col("d").alias("a"))
+    two = sent.where("not probe").select("key", F.col("f").alias("y"), F.col("d").alias("b"))
+    met = one.join(two, (one["key"] == two["key"]) & (F.col("x") > F.col("y")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most_bits))
     return met.select("a", "b").where("a != b").distinct()
 
 
@@ -252,55 +251,31 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     """(doc_id, fingerprint long, component_id): component_id is the smallest doc_id reachable over links of fingerprints that
     differ in most_bits bits or fewer."""
     prints = written(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle, seed=seed), "prints")
-    distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "distinct")
-    named = distinct.where("node is not null")
-    found = components(links(named, most_bits=most_bits, parts=parts))
-    by_print = distinct.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    distinct = written(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
+    found = components(links(distinct.withColumn("node", F.col("fingerprint")), most_bits=most_bits, parts=parts))
+    owned = distinct.join(found, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("at"))
+    by_print = owned.join(owned.groupBy("at").agg(F.min("least").alias("component_id")), "at").select("fingerprint", "component_id")
     return prints.join(by_print, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
 
 
-def similar(texts: DataFrame, pairs: DataFrame, *, shingle: int, similarity: float, seed: int = 42) -> DataFrame:
-    """The pairs(a, b) of texts(words, text) whose sets of shingles (32-bit hashes) have a Jaccard similarity of `similarity` or
-    more, as a table of its own. Rows of texts whose words are not those of the hash beside them are left out."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, out = [], []
-            for own, t in zip(batch.column(0).to_numpy().view(np.uint64).tolist(), batch.column(1).to_pylist(), strict=True):
-                words = (t or "").encode().translate(LOWER_TABLE).split()
-                if xxhash.xxh64_intdigest(b" ".join(words), seed) == own:
-                    ids.append(own)
-                    out.append(list({xxhash.xxh32_intdigest(b" ".join(words[k : k + shingle])) - (1 << 31) for k in range(max(1, len(words) - shingle + 1))}))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(out, pa.list_(pa.int32()))], names=["id", "shingles"])
-
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("own")).unionByName(pairs.select(F.col("b").alias("own"))).distinct()
-    needed = texts.join(ids, F.col("words") == F.col("own")).select("words", "text")
-    have = written(needed.mapInArrow(lean(sets), "id long, shingles array<int>").dropDuplicates(["id"]), "shingles")
-    one = have.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    two = have.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    found = written(pairs.join(one, "a").join(two, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "similar")
-    forget(have)
-    forget(pairs)
-    return found
-
-
-def overlapping(texts: DataFrame, *, shingle: int, similarity: float, seed: int = 42, cell_bits: int = 26, hot: int = 4096) -> DataFrame:
-    """texts(words, text, known) -> (a, b): every two texts of different `known` that can have a Jaccard similarity of `similarity`
-    or more; none that has is left out.
+def shingle_sets(texts: DataFrame, *, shingle: int, similarity: float, seed: int = 42, cell_bits: int = 26, many: int = 8) -> tuple[DataFrame, DataFrame]:
+    """texts(words, text) -> sets(words, shingles) and heads(key, words, n, place), of the texts that can have a Jaccard similarity
+    of `similarity` or more with another. Rows whose words are not those of the hash beside them are left out.
 
-    Shingles are ordered by how often a count-min sketch saw them (once, more, `hot` or more), then by hash. Two sets of that
-    similarity share one among the first n - ceil(similarity * n) + 1 of each, and the first that they share leaves enough after it
-    in both. A shingle seen once is in no other text and is not sent. The sketch decides only how many candidates there are."""
-    plan = Plan("words", shingle, shingle, cell_bits, hot)
-    lower = texts.select(F.translate(F.coalesce("text", F.lit("")), ASCII_UPPER, ASCII_LOWER).alias("text"), "words", "known")
-    shared = texts.sparkSession.sparkContext.broadcast(sketch(lower, plan))  # two rows of 2^cell_bits bits, whatever the corpus
-    both = 2 * similarity / (1 + similarity)  # of the smaller set
+    Shingles (64-bit hashes) are ordered by how often a count-min sketch saw them (once, more, `many` or more), then by hash. Two
+    sets of that similarity share one among the first n - ceil(similarity * n) + 1 of each, which are the heads. A shingle seen
+    once is in no other text, so it is not sent, and a text without heads is similar to none; nor is one of fewer words than a
+    shingle, unless to one of the same words. The sketch has 2^cell_bits cells a
+    row or as few as there are bytes: it decides only how many heads there are."""
+    lower = texts.select(F.translate(F.coalesce("text", F.lit("")), ASCII_UPPER, ASCII_LOWER).alias("text"), "words")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    plan = Plan("words", shingle, shingle, sized_cells(size // 4, cell_bits), many)
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(sketch(lower, plan))  # two bits for each of two rows of 2^cell_bits cells at most
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, known = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            words = batch.column(1).to_numpy()
             for first, s in streams(batch.column(0), plan.kind):
                 found = anchors(s, plan)  # of windows as long as their anchors: each window's own hash
                 row, h = np.searchsorted(s.row_at, found.low, "right") - 1, found.hash
@@ -308,26 +283,60 @@ def overlapping(texts: DataFrame, *, shingle: int, similarity: float, seed: int
                 row, h = row[order], h[order]
                 new = np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))[: len(h)]
                 row, h = row[new], h[new]
-                two, many = shared.value.repeats(h, plan)
-                level = two.astype(np.int8) + (two & many)
+                two, often = shared.value.repeats(h, plan)
+                level = two.astype(np.int8) + (two & often)
                 order = np.lexsort((h, level, row))
                 row, h, level = row[order], h[order], level[order]
-                sizes = np.bincount(row, minlength=len(s.row_at))
-                n = sizes[row]
-                place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
-                sent = np.flatnonzero((level > 0) & (place <= n - np.ceil(similarity * n - 1e-6)))
-                own = np.unique(row[sent])
-                true = np.zeros(len(s.row_at), bool)
-                true[own] = [xxhash.xxh64_intdigest(s.body[s.at[i] : s.at[j] - s.gap].tobytes(), seed) == w for i, j, w in zip(s.row_at[own], s.row_at[own + 1], words[first + own].view(np.uint64).tolist(), strict=True)]
-                sent = sent[true[row[sent]]]
-                row, n, place = row[sent], n[sent], place[sent]
-                yield pa.RecordBatch.from_arrays([pa.array(h[sent].view(np.int64)), pa.array(words[first + row]), pa.array(known[first + row]), pa.array(n.astype(np.int32)), pa.array((n - place).astype(np.int32)), pa.array(place <= n - np.ceil(both * n - 1e-6))], names=["key", "words", "known", "n", "rest", "core"])
-
-    sent = written(lower.mapInArrow(lean(heads), "key long, words long, known long, n int, rest int, core boolean"), "heads")
-    one = sent.select("key", *[F.col(c).alias("x" + c) for c in sent.columns[1:]])
-    two = sent.select("key", *[F.col(c).alias("y" + c) for c in sent.columns[1:]])
-    fits = F.expr(f"xwords < ywords AND xknown != yknown AND IF(xn <= yn, xcore, ycore) AND least(xn, yn) >= {similarity!r}D * greatest(xn, yn) - 1e-6D AND least(xrest, yrest) >= {similarity / (1 + similarity)!r}D * (xn + yn) - 1e-6D")
-    return one.join(two, "key").where(fits).select(F.col("xwords").alias("a"), F.col("ywords").alias("b")).distinct()
+                sizes = np.bincount(row, minlength=len(s.row_at) - 1)
+                edge = np.concatenate(([0], np.cumsum(sizes)))
+                place = np.arange(len(row)) - edge[row]
+                sent = (level > 0) & (place <= sizes[row] - np.ceil(similarity * sizes[row] - 1e-6))
+                own = [r for r in np.unique(row[sent]).tolist() if xxhash.xxh64_intdigest(s.body[s.at[s.row_at[r]] : s.at[s.row_at[r + 1]] - s.gap].tobytes(), seed) == int(words[first + r : first + r + 1].view(np.uint64)[0])]
+                cuts = [slice(edge[r], edge[r + 1]) for r in own]
+                signed = h.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(words[first + np.array(own, np.int64)]), pa.array([signed[c] for c in cuts], pa.list_(pa.int64())), pa.array([place[c][sent[c]] for c in cuts], pa.list_(pa.int32()))], names=["words", "shingles", "places"])
+
+    sets = written(lower.mapInArrow(lean(heads), "words long, shingles array<long>, places array<int>"), "sets")
+    shared.destroy()
+    release()
+    sent = sets.select("words", F.size("shingles").alias("n"), "shingles", F.explode("places").alias("place")).select(F.expr("shingles[place]").alias("key"), "words", "n", "place").distinct()
+    return sets.select("words", "shingles"), written(sent, "heads")
+
+
+def similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs(a, b) whose sets(words, shingles) have a Jaccard similarity of `similarity` or more, as a table of its own; pairs
+    of which a set is missing are left out."""
+    x, y = (sets.select(F.col("words").alias(c), F.col("shingles").alias("s" + c)) for c in ("a", "b"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.select("a", "b").distinct().join(x, "a").join(y, "b").dropDuplicates(["a", "b"])
+    return written(met.where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b"), "similar")
+
+
+def _fits(similarity: float) -> F.Column:
+    """Whether heads x and y of one key can be the first that two sets of that similarity share."""
+    both = 2 * similarity / (1 + similarity)  # what the smaller set shares at least
+    core = lambda c: f"{c}.place <= {c}.n - ceil({both!r}D * {c}.n - 1e-6D)"
+    return F.expr(f"IF(x.n <= y.n, {core('x')}, {core('y')}) AND least(x.n, y.n) >= {similarity!r}D * greatest(x.n, y.n) - 1e-6D AND least(x.n - x.place, y.n - y.place) >= {similarity / (1 + similarity)!r}D * (x.n + y.n) - 1e-6D")
+
+
+def _owned(heads: DataFrame, known: DataFrame) -> DataFrame:
+    """heads with their component, of the keys that two components have."""
+    own = heads.join(known.select(F.col("node").alias("words"), "component"), "words", "left").withColumn("component", F.coalesce("component", "words"))
+    split = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    return own.join(split, "key")
+
+
+def _star(own: DataFrame, similarity: float, hub) -> DataFrame:
+    """Candidate pairs of each head with one head of its key: as many as there are heads, whatever a key's size."""
+    hubs = own.groupBy("key").agg(hub(F.struct("words", "n", "place", "component")).alias("x"))
+    met = own.select("key", F.struct("words", "n", "place", "component").alias("y")).join(hubs, "key")
+    return met.where(_fits(similarity) & F.expr("x.component != y.component")).select(F.expr("least(x.words, y.words)").alias("a"), F.expr("greatest(x.words, y.words)").alias("b")).distinct()
+
+
+def _all_pairs(own: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs of heads of one key that are in different components."""
+    x, y = own.select("key", F.struct("words", "n", "place", "component").alias("x")), own.select("key", F.struct("words", "n", "place", "component").alias("y"))
+    return x.join(y, "key").where(F.expr("x.words < y.words AND x.component != y.component") & _fits(similarity)).select(F.col("x.words").alias("a"), F.col("y.words").alias("b")).distinct()
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -342,34 +351,32 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shing
     word sequence, component the smallest doc_id of the group, first whether it is the one of the group that stays.
 
     Documents of equal words are one class. Two classes link if their Jaccard similarity is `similarity` or more. Classes whose
-    fingerprints differ by near_bits or fewer are compared first (of equal ones: with the smallest of them); then overlapping()
-    finds every pair left apart that may link, so none is missed. Pairs are compared in turns of at_once, or half as many as
-    there are classes, and those that a turn before has put in one group are passed over. Null ids are in no group; rows that
-    share doc_id and words are one document."""
-    check = {"shingle": shingle, "similarity": similarity}
+    fingerprints differ by near_bits or fewer are compared first (of equal ones: with the smallest of them). Then the heads of
+    shingle_sets() find every pair left apart that may link, so none is missed: first each head meets one hub of its key, twice,
+    which joins what is alike in a number of pairs that follows the heads; then all heads of a key that are still in different
+    components meet. Their pairs are compared in turns of at_once, or half as many as there are classes, so that what a turn ships
+    stays bounded; those that a turn before has joined are passed over. Null ids are in no group; rows that share doc_id and words
+    are one document."""
     rows = written(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle, whole=True).where("doc_id is not null"), "prints")
     classes = written(rows.groupBy("words").agg(F.min("doc_id").alias("node"), F.min("fingerprint").alias("fingerprint")), "classes")
     plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    texts = plain.join(classes.select("node", "words"), F.col("id") == F.col("node")).select("words", "text")
-    heads = written(classes.groupBy("fingerprint").agg(F.min(F.struct("node", "words"))["words"].alias("node")), "heads")
-    equal = classes.join(heads.withColumnRenamed("node", "head"), "fingerprint").where("words != head").select(F.col("head").alias("a"), F.col("words").alias("b"))
-    sure = similar(texts, links(heads, most_bits=near_bits, parts=parts).unionByName(equal), **check)
-    known = components(sure)
-    grouped = texts.join(known, F.col("words") == F.col("node"), "left").select("words", "text", F.coalesce("component", "words").alias("known"))
-    left = written(overlapping(grouped, **check), "candidates")
-    most, turns = max(at_once, classes.count() // 2), 0
-    while n := left.count():
-        if n <= most:
-            part = left
-        elif turns < 3:  # the smallest candidate of each
-            part = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        else:
-            part = left.where(F.pmod(F.xxhash64("a", "b"), F.lit(-(-n // most))) == 0)
-        part = written(part, "turn")
-        sure = written(sure.unionByName(similar(texts, part, **check)), "sure")
-        known = components(sure)
-        left = written(_apart(left.join(part, ["a", "b"], "left_anti"), known), "candidates")
-        turns += 1
+    texts = written(plain.join(classes.select("node", "words"), F.col("id") == F.col("node")).select("words", "text"), "texts")
+    sets, heads = shingle_sets(texts, shingle=shingle, similarity=similarity)
+    forget(texts)
+    prints = classes.groupBy("fingerprint").agg(F.min(F.struct("node", "words"))["words"].alias("node"))
+    one = written(prints, "heads-of-prints")
+    equal = classes.join(one.withColumnRenamed("node", "head"), "fingerprint").where("words != head").select(F.col("head").alias("a"), F.col("words").alias("b"))
+    sure = similar(sets, links(one, most_bits=near_bits, parts=parts).unionByName(equal), similarity)
+    for hub in (F.min, F.max):
+        more = similar(sets, _star(written(_owned(heads, components(sure)), "owned"), similarity, hub), similarity)
+        sure = written(sure.unionByName(more), "sure")
+    left = written(_all_pairs(written(_owned(heads, components(sure)), "owned"), similarity), "candidates")
+    turns = -(-left.count() // max(at_once, classes.count() // 2))
+    for turn in range(turns):
+        part = left.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn)
+        more = similar(sets, _apart(part, components(sure)) if turn else part, similarity)
+        sure = written(sure.unionByName(more), "sure")
+    known = written(components(sure), "known")
     own = rows.select("doc_id", "words").distinct().join(known, F.col("words") == F.col("node"), "left").select(F.col("doc_id").alias("node"), "words", F.coalesce("component", "words").alias("at"))
     least = own.groupBy("at").agg(F.min(F.struct("node", "words")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return own.join(least, "at").select("node", "words", F.col("least.node").alias("component"), (F.struct("node", "words") == F.col("least")).alias("first"))

@@ -426,3 +426,69 @@ def test_sketch_loses_no_repeat(spark):
     hashes = np.concatenate([windows.anchors(s, plan).hash for s in (next(windows.streams(df.select("text").toArrow().column(0), "words"))[1],)])
     h, n = np.unique(hashes, return_counts=True)
     assert counted.repeats(h[n > 1], plan)[0].all()
+
+
+def test_simhash_links_over_null_ids(spark):
+    """A fingerprint that only null ids have still joins its neighbours."""
+    df = spark.createDataFrame([(0, 1), (15, None), (255, 2)], "fingerprint long, doc_id long")
+    rows = df.select("doc_id", "fingerprint")
+    original, simhash.fingerprints = simhash.fingerprints, lambda docs, **_: docs
+    try:
+        got = {r.fingerprint: r.component_id for r in simhash.near_duplicates(rows).collect()}
+    finally:
+        simhash.fingerprints = original
+    assert got == {0: 1, 15: 1, 255: 1}
+
+
+def test_windows_of_equal_rows_and_of_null_ids(spark):
+    """Rows that repeat and rows without an id: equal intervals count once, and texts don't get each other's cuts."""
+    import random
+
+    rnd = random.Random(4)
+    base = " ".join(f"b{k}" for k in range(80))
+    own = [" ".join(f"o{rnd.randint(0, 10**9)}" for _ in range(60)) for _ in range(40)]
+    rows = [(1, base)] + [(2, "start " + base)] * 300 + [(None, t) for t in own] + [(None, f"x{k} {base} y{k}") for k in range(20)]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.kept) for r in got)
+    assert kept == sorted([(1, base)] + [(2, "start")] * 300 + [(-1, t) for t in own] + [(-1, f"x{k} y{k}") for k in range(20)])
+
+
+def test_colliding_hashes_are_told_apart_by_bytes(spark, monkeypatch):
+    """With hashes that hardly tell anything apart, substring and suffix dedup give the results that true ones give."""
+    import random
+
+    rnd = random.Random(9)
+    line = " ".join(f"w{k}" for k in range(70))
+    rows = [(k, " ".join([f"a{rnd.randint(0, 99)}" for _ in range(20)] + [line] * (k % 2) + [f"z{rnd.randint(0, 99)}" for _ in range(20)])) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = []
+    true = {op.__name__: sorted((r.doc_id, r.kept) for r in op.dedup(df).collect()) for op in (substring, suffix)}
+    one = substring._resolve
+
+    def weak(s, length):
+        with monkeypatch.context() as m:
+            m.setattr(windows, "mixed", lambda h: h & np.uint64(0))
+            m.setattr(substring, "mixed", lambda h: h & np.uint64(0))
+            spans.append(len(s.n))
+            return one(s, length)
+
+    # in this process: the resolver on all spans of the documents at once, weak and as it is
+    plan = windows.Plan("words", 50, 16)
+    import pyarrow as pa
+
+    found = []
+    for first, s in windows.streams(pa.array([t for _, t in rows]), "words"):
+        a = windows.anchors(s, plan)
+        row = np.searchsorted(s.row_at, a.low, "right") - 1
+        begin, end = s.at[a.low], s.at[a.high + 50] - 1
+        found.append(windows.Spans((a.hash & np.uint64(0xFFFFFFFF)).astype(np.uint32), row.astype(np.int64), row.astype(np.int64), a.low - s.row_at[row], a.high - a.low + 1, a.pos - a.low, np.concatenate(([0], np.cumsum(end - begin))), s.body[shared.ragged(begin, end - begin)]))
+    assert len(found) == 1
+
+    def covered(batch):
+        words = {}
+        for d, _, low, high in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            words.setdefault(d, set()).update(range(low, high))
+        return words
+
+    assert covered(weak(found[0], 50)) == covered(one(found[0], 50)) and spans
+    assert true["eventloom.llm.substring"][1][1] == rows[1][1] and line not in true["eventloom.llm.substring"][3][1]
