@@ -42,7 +42,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Removes a table that written() made."""
     jvm = df.sparkSession._jvm
-    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for f in {f.rpartition("/")[0] for f in df.inputFiles()}:  # none, if the table has no rows
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -221,8 +221,14 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
+def few_files(df: DataFrame, rows: int, a_file: int = 100_000) -> DataFrame:
+    """df in no more partitions than `rows` rows need: small tables in many files cost more disk and tasks than their rows do."""
+    return df.coalesce(max(1, -(-rows // a_file)))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """edges(a, b) of longs -> (node, component): for every node of an edge the smallest node that it reaches.
+    """edges(a, b) of longs -> (node, component): for every node of an edge the smallest node that it reaches, as a table of its
+    own.
 
     Alternates large-star and small-star steps, each a minimum per node and a join back, until nothing changes. Both run as
     partial aggregates and joins that Spark can split, so a hub does not land in one task; every round is written to the
@@ -230,7 +236,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     now = written(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "links")
-    seen = None
+    n, seen = now.count(), None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
@@ -238,7 +244,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = large.where("a > b")
         least = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
         small = down.join(least, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("n").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a > b").distinct()
-        after = written(small, "links")
+        after = written(few_files(small, n), "links")
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(now)
         now = after
@@ -248,4 +254,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found = written(few_files(now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots), n), "components")
+    forget(now)
+    return found

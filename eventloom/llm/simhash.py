@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_LOWER, ASCII_UPPER, LOWER_TABLE, components, forget, lean, release, small_batches, text_arrays, written
+from .shared import ASCII_LOWER, ASCII_UPPER, LOWER_TABLE, components, few_files, forget, lean, release, small_batches, text_arrays, written
 from .windows import Plan, anchors, sized_cells, sketch, streams
 
 BITS = 64
@@ -306,10 +306,11 @@ def shingle_sets(texts: DataFrame, *, shingle: int, similarity: float, seed: int
 def similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs(a, b) whose sets(words, shingles) have a Jaccard similarity of `similarity` or more, as a table of its own; pairs
     of which a set is missing are left out."""
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
     x, y = (sets.select(F.col("words").alias(c), F.col("shingles").alias("s" + c)) for c in ("a", "b"))
     common = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.select("a", "b").distinct().join(x, "a").join(y, "b").dropDuplicates(["a", "b"])
-    return written(met.where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b"), "similar")
+    met = pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9)
+    return written(few_files(met.select("a", "b").distinct(), pairs.count()), "similar")
 
 
 def _fits(similarity: float) -> F.Column:
@@ -320,15 +321,16 @@ def _fits(similarity: float) -> F.Column:
 
 
 def _owned(heads: DataFrame, known: DataFrame) -> DataFrame:
-    """heads with their component, of the keys that two components have."""
+    """heads with their component, of the keys that two components have, as a table of its own."""
     own = heads.join(known.select(F.col("node").alias("words"), "component"), "words", "left").withColumn("component", F.coalesce("component", "words"))
     split = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    return own.join(split, "key")
+    return written(own.join(split, "key"), "owned")
 
 
-def _star(own: DataFrame, similarity: float, hub) -> DataFrame:
-    """Candidate pairs of each head with one head of its key: as many as there are heads, whatever a key's size."""
-    hubs = own.groupBy("key").agg(hub(F.struct("words", "n", "place", "component")).alias("x"))
+def _star(own: DataFrame, similarity: float, most: int, seed: int) -> DataFrame:
+    """Candidate pairs of each head with at most `most` heads of its key, others for each seed and key: no more pairs than so many
+    times the heads, whatever a key's size."""
+    hubs = own.withColumn("h", F.xxhash64("words", "key", F.lit(seed))).groupBy("key", F.pmod("h", F.lit(most)).alias("b")).agg(F.min_by(F.struct("words", "n", "place", "component"), "h").alias("x")).drop("b")
     met = own.select("key", F.struct("words", "n", "place", "component").alias("y")).join(hubs, "key")
     return met.where(_fits(similarity) & F.expr("x.component != y.component")).select(F.expr("least(x.words, y.words)").alias("a"), F.expr("greatest(x.words, y.words)").alias("b")).distinct()
 
@@ -339,6 +341,11 @@ def _all_pairs(own: DataFrame, similarity: float) -> DataFrame:
     return x.join(y, "key").where(F.expr("x.words < y.words AND x.component != y.component") & _fits(similarity)).select(F.col("x.words").alias("a"), F.col("y.words").alias("b")).distinct()
 
 
+def _joined(known: DataFrame, more: DataFrame) -> DataFrame:
+    """known(node, component) after more links(a, b); a node and its component stand for all links found before."""
+    return components(known.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs(a, b) that known(node, component) doesn't have in one component."""
     for c in ("a", "b"):
@@ -346,14 +353,14 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ka", "a") != F.coalesce("kb", "b")).select("a", "b")
 
 
-def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, near_bits: int = 4, parts: int = 4, at_once: int = 20_000) -> DataFrame:
+def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, near_bits: int = 4, parts: int = 4, stars: tuple[int, ...] = (1, 32, 32), at_once: int = 20_000) -> DataFrame:
     """(node, words, component, first): documents in one group with another. node is a document's doc_id, words the hash of its
     word sequence, component the smallest doc_id of the group, first whether it is the one of the group that stays.
 
     Documents of equal words are one class. Two classes link if their Jaccard similarity is `similarity` or more. Classes whose
     fingerprints differ by near_bits or fewer are compared first (of equal ones: with the smallest of them). Then the heads of
-    shingle_sets() find every pair left apart that may link, so none is missed: first each head meets one hub of its key, twice,
-    which joins what is alike in a number of pairs that follows the heads; then all heads of a key that are still in different
+    shingle_sets() find every pair left apart that may link, so none is missed: first each head meets a few others of its key (`stars`,
+    round by round), which joins most of what is alike in a number of pairs that follows the heads; then all heads of a key that are still in different
     components meet. Their pairs are compared in turns of at_once, or half as many as there are classes, so that what a turn ships
     stays bounded; those that a turn before has joined are passed over. Null ids are in no group; rows that share doc_id and words
     are one document."""
@@ -366,17 +373,14 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shing
     prints = classes.groupBy("fingerprint").agg(F.min(F.struct("node", "words"))["words"].alias("node"))
     one = written(prints, "heads-of-prints")
     equal = classes.join(one.withColumnRenamed("node", "head"), "fingerprint").where("words != head").select(F.col("head").alias("a"), F.col("words").alias("b"))
-    sure = similar(sets, links(one, most_bits=near_bits, parts=parts).unionByName(equal), similarity)
-    for hub in (F.min, F.max):
-        more = similar(sets, _star(written(_owned(heads, components(sure)), "owned"), similarity, hub), similarity)
-        sure = written(sure.unionByName(more), "sure")
-    left = written(_all_pairs(written(_owned(heads, components(sure)), "owned"), similarity), "candidates")
+    known = components(similar(sets, links(one, most_bits=near_bits, parts=parts).unionByName(equal), similarity))
+    for seed, most in enumerate(stars):
+        known = _joined(known, similar(sets, _star(_owned(heads, known), similarity, most, seed), similarity))
+    left = written(_all_pairs(_owned(heads, known), similarity), "candidates")
     turns = -(-left.count() // max(at_once, classes.count() // 2))
     for turn in range(turns):
         part = left.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn)
-        more = similar(sets, _apart(part, components(sure)) if turn else part, similarity)
-        sure = written(sure.unionByName(more), "sure")
-    known = written(components(sure), "known")
+        known = _joined(known, similar(sets, _apart(part, known) if turn else part, similarity))
     own = rows.select("doc_id", "words").distinct().join(known, F.col("words") == F.col("node"), "left").select(F.col("doc_id").alias("node"), "words", F.coalesce("component", "words").alias("at"))
     least = own.groupBy("at").agg(F.min(F.struct("node", "words")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return own.join(least, "at").select("node", "words", F.col("least.node").alias("component"), (F.struct("node", "words") == F.col("least")).alias("first"))
