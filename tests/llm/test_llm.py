@@ -154,6 +154,39 @@ def test_counterfactuals_quiet_group_mentions(spark):
     assert out[1.0][0] - out[1.0][1] < 0.5 * (out[0.0][0] - out[0.0][1]) and out[1.0][0] < 0.5 < out[1.0][2]
 
 
+def test_counterfactuals_act_on_the_registered_documents(spark):
+    """Swaps are found in the labelled documents, and without their penalty the scores of op2 differ."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    sample = toxicity.labelled_sample(docs, labels, text="text", doc_id="doc_id", label="toxic", learn=toxicity.crc32_remainder("doc_id", 5) != 0, rows=20_000)
+    assert toxicity.fit(sample, rounds=5).swapped > 1000
+    one, other = ({r.doc_id: r.score for r in toxicity.classify(docs, labels, penalty=p).collect()} for p in (1.0, 0.0))
+    assert one == {r.doc_id: r.score for r in queries.op2_toxicity(spark, SF).collect()}
+    assert sum(abs(one[i] - other[i]) > 1e-3 for i in one) > 0.1 * len(one)
+
+
+def test_swap_groups_are_learnt_from_context(spark):
+    """Words between the same neighbours form groups; a word of one class does not."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(200):
+        noun, verb = rnd.choice(["cat", "dog", "cow"]), rnd.choice(["runs", "walks", "sleeps"])
+        rows.append((f"the {noun} {verb} here" + (" scumword" if k % 2 else ""), k % 2))
+    sample = spark.createDataFrame(rows, "text string, y int")
+    groups = toxicity.swap_groups(sample, toxicity.word_rows(sample))
+    assert {frozenset(g) for g in groups} >= {frozenset((b"cat", b"dog", b"cow")), frozenset((b"runs", b"walks", b"sleeps"))}
+    assert b"scumword" not in {w for g in groups for w in g}
+
+
+def test_swaps_are_made_in_sentences_and_without_regard_to_case(spark):
+    swaps = toxicity.swaps_of([["mädchen".encode(), b"jungen"]])
+    wanted = toxicity._of([b"jungen", "mädchen".encode()])
+    got = toxicity.counterfactuals(spark.createDataFrame([("Die MÄDCHEN da. Jungen hier.",), (None,)], "text string"), swaps, wanted, most=3, a_row=24)
+    one = {toxicity._of([b"jungen"]).tobytes()}
+    assert sum(n for _, _, n in got) == 2 and all(wanted[x].tobytes() in one for a, b, _ in got for x in (a, b) if set(wanted[x]) & set(toxicity._of([b"jungen"])))
+    with pytest.warns(UserWarning):
+        toxicity.fit(spark.createDataFrame([("x1 x2", 1), ("x3 x4", 0)], "text string, y int"))
+
+
 def test_op7_held_out(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(SF + "/labels.parquet").collect()}
     rows = queries.op7_quality(spark, SF).collect()
