@@ -148,14 +148,29 @@ def _log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(sample: DataFrame, *, rounds: int = 120, refinements: int = 2, ridge: float = 1e-4, chain: int = 128) -> Model:
+def _spread(n: int, chain: int, most: int) -> np.ndarray:
+    """Which of n lines are trained on: all, or `most` of them in chains of `chain` at even distances."""
+    if n <= most:
+        return np.arange(n)
+    starts = np.linspace(0, n - chain, most // chain).astype(np.int64)
+    return (starts[:, None] + np.arange(chain)).ravel()
+
+
+def fit(sample: DataFrame, *, rounds: int = 120, refinements: int = 2, ridge: float = 1e-4, chain: int = 128, row_lines: int = 512, fit_lines: int = 400_000) -> Model:
     """A model from sample(text, y). Executors send feature ids of lines, not texts. chain: longer documents are trained on as
-    several chains of so many lines."""
+    several chains of so many lines. The driver holds fit_lines lines: of a row with over row_lines it learns from chains at even
+    distances, and of rows with more lines together from those with the smallest hashes of their texts."""
+    h = F.xxhash64("text")
+    sizes = sample.select(h.alias("h"), F.least(F.lit(row_lines), F.size(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("n")).orderBy("h").collect()  # a number for each row of a bounded sample
+    total = np.cumsum([r.n for r in sizes])
+    if len(sizes) and total[-1] > fit_lines:
+        sample = sample.where(h <= sizes[max(0, int(np.searchsorted(total, fit_lines, "right")) - 1)].h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, line_at, ids, size in line_features(batch.column(0)):
-                own = [(ids[a:b].astype("<u2").tobytes(), size[a:b].astype("<i4").tobytes()) for a, b in zip(line_at[:-1], line_at[1:], strict=True)]
+                rows = [a + _spread(b - a, chain, row_lines) for a, b in zip(line_at[:-1], line_at[1:], strict=True)]
+                own = [(ids[r].astype("<u2").tobytes(), size[r].astype("<i4").tobytes()) for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.binary()), pa.array([s for _, s in own], pa.binary()), batch.column(1).slice(first, len(own))], names=["ids", "size", "y"])
 
     got = sample.select("text", "y").mapInArrow(lean(run), "ids binary, size binary, y int").collect()
@@ -164,7 +179,7 @@ def fit(sample: DataFrame, *, rounds: int = 120, refinements: int = 2, ridge: fl
     if not got:
         return Model(weights, steps, 1.0, 0.0)
     size = [np.frombuffer(bytes(r["size"]), "<i4").astype(np.int64) for r in got]
-    ids = np.concatenate([np.frombuffer(bytes(r.ids), "<u2").reshape(len(s), -1) for r, s in zip(got, size, strict=True)]).astype(np.int64)
+    ids = np.concatenate([np.frombuffer(bytes(r.ids), "<u2").reshape(len(s), -1) for r, s in zip(got, size, strict=True)])
     y = np.array([r.y for r in got], np.float64)
     doc_at = np.concatenate(([0], np.cumsum([len(s) for s in size])))
     size = np.concatenate(size)
