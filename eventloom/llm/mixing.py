@@ -11,6 +11,7 @@ The driver holds one row per pattern, at most most_patterns of them; everything
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from itertools import count
 
 from pyspark.sql import DataFrame, Window
@@ -44,7 +45,7 @@ def targets(sizes: dict, weights: dict, total: float, most_repeats: int) -> dict
 
 
 class Flow:
-    """Min-cost flow by successive shortest paths with potentials."""
+    """Min-cost flow."""
 
     def __init__(self):
         self.out: list[list[int]] = []
@@ -65,33 +66,65 @@ class Flow:
         return len(self.to) - 2
 
     def run(self, source: int, sink: int) -> None:
-        potential, tie = [0] * len(self.out), count()
+        """Primal-dual: after each search for least costs, as much flow as arcs of no reduced cost carry. There are as many
+        searches as paths have different costs, which are few."""
+        potential = [0] * len(self.out)
         while True:
-            far, by = {source: 0}, {}
-            heap, done = [(0, next(tie), source)], set()
+            far, heap, tie = {source: 0}, [(0, 0, source)], count(1)
             while heap:
                 d, _, a = heapq.heappop(heap)
-                if a in done:
+                if d > far[a]:
                     continue
-                done.add(a)
                 for k in self.out[a]:
-                    b = self.to[k]
-                    e = d + self.cost[k] + potential[a] - potential[b]
-                    if self.room[k] > 0 and b not in done and e < far.get(b, e + 1):
-                        far[b], by[b] = e, k
-                        heapq.heappush(heap, (e, next(tie), b))
+                    if self.room[k] > 0:
+                        e = d + self.cost[k] + potential[a] - potential[b := self.to[k]]
+                        if e < far.get(b, e + 1):
+                            far[b] = e
+                            heapq.heappush(heap, (e, next(tie), b))
             if sink not in far:
                 return
-            for a, d in far.items():
-                potential[a] += d
-            path, a = [], sink
-            while a != source:
-                path.append(by[a])
-                a = self.to[by[a] ^ 1]
-            step = min(self.room[k] for k in path)
-            for k in path:
-                self.room[k] -= step
-                self.room[k ^ 1] += step
+            for a in range(len(potential)):
+                potential[a] += min(far.get(a, far[sink]), far[sink])
+            while (level := self._levels(source, potential)).get(sink):
+                self._push(source, sink, potential, level)
+
+    def _free(self, a: int, k: int, potential: list[int]) -> bool:
+        return self.room[k] > 0 and self.cost[k] + potential[a] == potential[self.to[k]]
+
+    def _levels(self, source: int, potential: list[int]) -> dict[int, int]:
+        level, line = {source: 0}, deque([source])
+        while line:
+            a = line.popleft()
+            for k in self.out[a]:
+                if self.to[k] not in level and self._free(a, k, potential):
+                    level[self.to[k]] = level[a] + 1
+                    line.append(self.to[k])
+        return level
+
+    def _push(self, source: int, sink: int, potential: list[int], level: dict[int, int]) -> None:
+        """A blocking flow along the levels, without recursion."""
+        at = dict.fromkeys(level, 0)
+        path: list[int] = []
+        while True:
+            a = self.to[path[-1]] if path else source
+            if a == sink:
+                step = min(self.room[k] for k in path)
+                for k in path:
+                    self.room[k] -= step
+                    self.room[k ^ 1] += step
+                del path[next(i for i, k in enumerate(path) if not self.room[k]) :]
+                continue
+            while at[a] < len(self.out[a]):
+                k = self.out[a][at[a]]
+                if level.get(self.to[k]) == level[a] + 1 and self._free(a, k, potential):
+                    break
+                at[a] += 1
+            if at[a] < len(self.out[a]):
+                path.append(self.out[a][at[a]])
+            elif path:
+                at[self.to[path.pop() ^ 1]] += 1
+            else:
+                return
 
 
 def routed(patterns: dict[tuple, int], quotas: dict, most_repeats: int) -> dict[tuple, int]:
