@@ -4,6 +4,7 @@ hash arithmetic on them, and connected components."""
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,10 +24,13 @@ LAST_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; a local one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder of spark.checkpoint.dir, which every executor sees. Where it is unset, a local one on a local master, whose
+    executor is this process; on a cluster that is an error, as executors would write to their own disks."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="eventloom-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        found = "file://" + tempfile.mkdtemp(prefix="eventloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found

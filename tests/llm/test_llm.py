@@ -525,3 +525,64 @@ def test_colliding_hashes_are_told_apart_by_bytes(spark, monkeypatch):
 
     assert covered(weak(found[0], 50)) == covered(one(found[0], 50)) and spans
     assert true["eventloom.llm.substring"][1][1] == rows[1][1] and line not in true["eventloom.llm.substring"][3][1]
+
+
+def test_flow_equals_brute_force_and_takes_many_patterns():
+    """Small networks against all ways to route them; 20,000 patterns end in seconds, with all quotas met that can be."""
+    import time
+    from itertools import product
+
+    rnd = random.Random(2)
+    for _ in range(30):
+        names = ["a", "b", "c"]
+        patterns = {p: rnd.randint(0, 3) for p in [("a",), ("a", "b"), ("b", "c")][: rnd.randint(1, 3)]}
+        quotas = {n: rnd.randint(0, 5) for n in names}
+
+        def cost(n, taken):
+            return sum(k // n for k in range(taken)) if n else 0
+
+        best = (0, 0)
+        for each in product(*[[(x, y) for x in range(3 * n + 1) for y in range(3 * n + 1 - x) if len(p) > 1 or not y] for p, n in patterns.items()]):
+            got = dict.fromkeys(names, 0)
+            for p, (x, y) in zip(patterns, each, strict=True):
+                got[p[0]] += x
+                if len(p) > 1:
+                    got[p[1]] += y
+            if all(got[n] <= quotas[n] for n in names):
+                best = max(best, (sum(got.values()), -sum(cost(n, x + y) for n, (x, y) in zip(patterns.values(), each, strict=True))))
+        taken = mixing.routed(patterns, quotas, 3)
+        assert (sum(taken.values()), -sum(cost(patterns[p], t) for p, t in taken.items())) == best
+    sources = [f"s{k}" for k in range(300)]
+    many = {}
+    while len(many) < 20_000:
+        many[tuple(sorted(rnd.sample(sources, rnd.randint(1, 5))))] = rnd.randint(1, 1000)
+    quota = sum(many.values()) // 300
+    began = time.time()
+    taken = mixing.routed(many, dict.fromkeys(sources, quota), 3)
+    assert sum(taken.values()) == 300 * quota and all(t <= 3 * many[p] for p, t in taken.items()) and time.time() - began < 60
+
+
+def test_quality_learns_from_a_bounded_number_of_lines(spark):
+    rows = [("good line of text here.\n" * 3000, 1), ("bad bad bad|||\n" * 3000, 0)] + [(f"good line {k} of text.\nmore text", 1) for k in range(20)] + [("bad bad|||\n|| bad", 0)] * 20
+    sample = spark.createDataFrame(rows, "text string, y int")
+    for most in (400_000, 600, 1):
+        model = quality.fit(sample, rounds=20, fit_lines=most)
+        assert np.isfinite(model.weights).all()
+    assert quality._spread(3000, 128, 512).size == 512 and quality._spread(3000, 128, 512)[-1] == 2999
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session())
