@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_VALUES, SPACE_TABLE, forget, lean, mapped, mixed, prefix_sums, range_hash, text_arrays, with_columns, word_hashes, words_of, written
+from .shared import BYTE_VALUES, SPACE_TABLE, forget, lean, mapped, mixed, prefix_sums, range_hash, release, text_arrays, with_columns, word_hashes, words_of, written
 from .toxicity import crc32_remainder, labelled_sample
 
 _CLASS = np.full(256, 4, np.uint8)  # 0 upper, 1 lower or not ASCII, 2 digit, 3 full stop or comma, 4 other sign, 5 bar, 6 space
@@ -247,6 +247,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     repeated labels of a document count once (the largest); without any label every score is 0.5; an empty table gives an empty
     result; columns of docs named as the new ones give way, all others pass through."""
     sample = written(labelled_sample(docs, labels, text=text, doc_id=doc_id, label=label, learn=crc32_remainder(doc_id, folds) != held_out_fold, rows=fit_rows), "labelled")
-    out = score(docs, fit(sample), text=text)
+    model = fit(sample)
+    release()  # the sample's rows are gone from the driver
+    out = score(docs, model, text=text)
     forget(sample)
     return with_columns(out, held_out=crc32_remainder(doc_id, folds) == held_out_fold)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_LOWER, ASCII_UPPER, LOWER_TABLE, components, few_files, forget, lean, release, small_batches, text_arrays, written
+from .shared import ASCII_LOWER, ASCII_UPPER, LOWER_TABLE, components, forget, lean, release, small_batches, text_arrays, written
 from .windows import Plan, anchors, sized_cells, sketch, streams
 
 BITS = 64
@@ -310,7 +310,7 @@ def similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     x, y = (sets.select(F.col("words").alias(c), F.col("shingles").alias("s" + c)) for c in ("a", "b"))
     common = F.size(F.array_intersect("sa", "sb"))
     met = pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9)
-    return written(few_files(met.select("a", "b").distinct(), pairs.count()), "similar")
+    return written(met.select("a", "b").distinct().repartition(max(1, pairs.count() // 100_000)), "similar")
 
 
 def _fits(similarity: float) -> F.Column:
@@ -343,6 +343,8 @@ def _all_pairs(own: DataFrame, similarity: float) -> DataFrame:
 
 def _joined(known: DataFrame, more: DataFrame) -> DataFrame:
     """known(node, component) after more links(a, b); a node and its component stand for all links found before."""
+    if more.isEmpty():
+        return known
     return components(known.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
 
@@ -353,7 +355,7 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ka", "a") != F.coalesce("kb", "b")).select("a", "b")
 
 
-def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, near_bits: int = 4, parts: int = 4, stars: tuple[int, ...] = (1, 32, 32), at_once: int = 20_000) -> DataFrame:
+def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, near_bits: int = 4, parts: int = 4, stars: tuple[int, ...] = (4, 32), at_once: int = 50_000) -> DataFrame:
     """(node, words, component, first): documents in one group with another. node is a document's doc_id, words the hash of its
     word sequence, component the smallest doc_id of the group, first whether it is the one of the group that stays.
 

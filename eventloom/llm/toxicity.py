@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_VALUES, LOWER_TABLE, PUNCT_TABLE, forget, lean, mapped, mixed, prefix_sums, range_hash, small_batches, text_arrays, with_columns, words_of, written
+from .shared import BYTE_VALUES, LOWER_TABLE, PUNCT_TABLE, forget, lean, mapped, mixed, prefix_sums, range_hash, release, small_batches, text_arrays, with_columns, words_of, written
 
 #: Terms for groups of people, swapped for one another within a row.
 IDENTITY_TERMS = (
@@ -331,6 +331,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     ignored; repeated labels of a document count once (the largest); without any label every score is 0.5; an empty table gives
     an empty result; columns of docs named as the new ones give way, all others pass through."""
     sample = written(labelled_sample(docs, labels, text=text, doc_id=doc_id, label=label, learn=crc32_remainder(doc_id, folds) != held_out_fold, rows=fit_rows), "labelled")
-    out = score(docs, fit(sample, penalty=penalty), text=text)
+    model = fit(sample, penalty=penalty)
+    release()  # the sample's rows are gone from the driver
+    out = score(docs, model, text=text)
     forget(sample)
     return with_columns(out, held_out=crc32_remainder(doc_id, folds) == held_out_fold)
