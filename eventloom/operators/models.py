@@ -288,7 +288,7 @@ for _name, _fit in (("dean_jett", dean_jett), ("dean_jett_fox", lambda *a: dean_
     register_model(_name, _fit)
 
 PAIR = "{by}, g1 double, g2 double, sd1 double, sd2 double, confidence double, status string"
-FIT = "{by}, model string, phase_g1 double, phase_s double, phase_g2 double, converged boolean, deviance double, bic double, lag1 double, mean1 double, ratio double, cv double, cv_upper double, wave double, reasons array<string>"
+FIT = "{by}, model string, phase_g1 double, phase_s double, phase_g2 double, converged boolean, deviance double, bic double, lag1 double, mean1 double, ratio double, cv double, cv_upper double, wave double, share_aggregate double, share_debris double, reasons array<string>"
 
 
 def detected_peaks(histograms: DataFrame, by: str) -> DataFrame:

@@ -536,7 +536,7 @@ def _model(name):
     return run
 
 
-for _name in ("watson_classic", *(n for n in models.MODELS if n in (bridge.bridge.__name__, bridge.bridge_extended.__name__))):
+for _name in ("dean_jett_fox", "watson_classic", *(n for n in models.MODELS if n in (bridge.bridge.__name__, bridge.bridge_extended.__name__))):
     QUERIES[f"fit_{_name}"] = _model(_name)
 QUERIES["auto_select"] = _model("auto")
 

@@ -244,3 +244,11 @@ def test_series_model():
     counts = [np.round(4000 * series.bin_shares(t, p, centres, 80.0, 80.0, 8.0)) for t in times]
     got = series.fit_series(times, counts, 0.0, 4.0, (80.0, 80.0, 8.0), starts=1)
     assert max(np.abs(np.array(f) - series.fractions(t, p)).max() for t, f in zip(times, got["fractions"], strict=True)) < 0.1
+
+
+def test_extended_bridge_returns_its_shares(spark):
+    """Shares of aggregates and debris reach the table; models without them have none."""
+    rows = {n: catalogue.QUERIES[f"fit_{n}"](spark, SF).collect() for n in ("bridge_extended", "dean_jett_fox")}
+    tried = [r for r in rows["bridge_extended"] if not r.reasons]
+    assert tried and all(0 <= r.share_aggregate <= 1 and 0 <= r.share_debris <= 1 for r in tried)
+    assert all(r.model == "dean_jett_fox" and (r.share_debris is None or math.isnan(r.share_debris)) for r in rows["dean_jett_fox"])
