@@ -53,8 +53,8 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: A trained classifier decides the first stage: its SimHash stage is tested against all pairs by brute
-#: force, the other stages against the operator that each calls.
+#: A trained classifier decides the first stage, so SQL cannot express the rows. The SimHash stage is tested against all pairs
+#: by brute force; of the others, the operators are tested against brute force and the stages against the operator.
 ORACLE_SQL = None
 
 
