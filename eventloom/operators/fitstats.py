@@ -30,12 +30,15 @@ def residual_structure(bins: DataFrame, by: str, order: str, residual: str) -> D
     return one.join(runs.select(by, z.cast("double").alias("runs_z")), by, "left")
 
 
-def local_bias(bins: DataFrame, by: str, order: str, residual: str, width: int = 5) -> DataFrame:
-    """(by, bias, at): the largest mean, in size, of `width` neighbouring residuals, and where it starts."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(0, width - 1)
-    full = bins.withColumns({"_m": F.avg(residual).over(w), "_n": F.count(residual).over(w)}).where(F.col("_n") == width)
+def local_bias(bins: DataFrame, by: str, order: str, residual: str, width: int = 11) -> DataFrame:
+    """(by, bias, at): the largest mean, in size, of `width` neighbouring residuals over the sample's robust residual scale, and
+    where it starts. Fewer bins than `width` are one window; a scale of zero counts as 1e-12."""
+    w, sample = Window.partitionBy(by).orderBy(order).rowsBetween(0, width - 1), Window.partitionBy(by)
+    centred = bins.withColumn("_c", F.col(residual) - F.percentile(residual, F.lit(0.5)).over(sample))
+    scaled = centred.withColumn("_scale", F.greatest(1.4826 * F.percentile(F.abs("_c"), F.lit(0.5)).over(sample), F.lit(1e-12)))
+    full = scaled.withColumns({"_m": F.avg(residual).over(w), "_n": F.count(residual).over(w), "_all": F.count(residual).over(sample)}).where(F.col("_n") == F.least(F.lit(width), F.col("_all")))
     top = F.row_number().over(Window.partitionBy(by).orderBy(F.abs(F.col("_m")).desc(), order))
-    return full.withColumn("_k", top).where("_k = 1").select(by, F.abs(F.col("_m")).alias("bias"), F.col(order).alias("at"))
+    return full.withColumn("_k", top).where("_k = 1").select(by, (F.abs(F.col("_m")) / F.col("_scale")).alias("bias"), F.col(order).alias("at"))
 
 
 def component_moments(curve: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -52,10 +55,15 @@ def trapezoid(curve: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 
 def local_maxima(bins: DataFrame, by: str, order: str, y: str) -> DataFrame:
-    """Bins above the one before and not below the one after."""
-    w = Window.partitionBy(by).orderBy(order)
-    near = bins.withColumns({"_p": F.coalesce(F.lag(y).over(w), F.lit(-1)), "_n": F.coalesce(F.lead(y).over(w), F.lit(-1))})
-    return near.where((F.col(y) > F.col("_p")) & (F.col(y) >= F.col("_n"))).drop("_p", "_n")
+    """Bins above both neighbours; of equal neighbouring bins, the middle one (the lower of two). The first and the last bin are
+    none, but a plateau may reach the end. order: consecutive integers."""
+    w, island = Window.partitionBy(by).orderBy(order), Window.partitionBy(by, "_island")
+    near = bins.withColumns({"_p": F.lag(y).over(w), "_n": F.lead(y).over(w), "_end": F.max(order).over(Window.partitionBy(by))})
+    runs = near.withColumn("_island", F.sum((~F.col(y).eqNullSafe(F.col("_p"))).cast("int")).over(w))
+    edges = {"_from": F.min(order).over(island), "_to": F.max(order).over(island), "_before": F.min(F.when(F.col("_p") != F.col(y), F.col("_p"))).over(island), "_after": F.min(F.when(F.col("_n") != F.col(y), F.col("_n"))).over(island)}
+    above = (F.col(y) > F.col("_before")) & ((F.col("_to") == F.col("_end")) | (F.col(y) > F.col("_after"))) & (F.col("_from") < F.col("_end"))
+    middle = F.col(order) == F.floor((F.col("_from") + F.col("_to")) / 2)
+    return runs.withColumns(edges).where(above & middle).drop("_p", "_n", "_end", "_island", *edges)
 
 
 def peak_pairs(peaks: DataFrame, by: str, x: str, y: str, low: float = 1.8, high: float = 2.1, target: float = 2.0, width: float = 0.08) -> DataFrame:

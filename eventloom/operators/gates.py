@@ -9,11 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import is_finite
 from .compact import cells
+from .ranking import quantiles
 
 #: Fixed values.
 CHI2_95 = 5.991
 CONSISTENT = 1.4826
+LEAST_RATIO, LEAST_COVERAGE, LEAST_OFF_AXIS = 4.0, 0.05, 1e-6
 
 
 def weighted_median(x: np.ndarray, n: np.ndarray) -> float:
@@ -117,18 +120,22 @@ def apply_scatter(points: DataFrame, fits: DataFrame, by: str, x: str, y: str, c
     return points.join(gate, by, "left").withColumn("scatter_ok", inside).drop("status", "mean_x", "mean_y", "xx", "xy", "yy")
 
 
-def ridge(p: np.ndarray, n: np.ndarray, *, rounds: int = 50, tolerance: float = 1e-7, huber: float = 1.345) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """The principal line of weighted points under Huber weights: (centre, direction, median, MAD of signed distances)."""
+def ridge(p: np.ndarray, n: np.ndarray, *, rounds: int = 50, tolerance: float = 1e-7, huber: float = 1.345) -> tuple[np.ndarray, np.ndarray, float, float, np.ndarray, bool]:
+    """The principal line of weighted points under Huber weights: (centre, direction, median, MAD of signed distances,
+    eigenvalues of the covariance, smaller first, and whether it converged)."""
     centre = np.array([weighted_median(p[:, k], n) for k in (0, 1)])
     w = n.astype(float)
 
-    def axis(c: np.ndarray) -> np.ndarray:
+    def spread(c: np.ndarray) -> np.ndarray:
         d = p - c
-        s = (d * w[:, None]).T @ d / w.sum() + np.eye(2) * 1e-9
+        return (d * w[:, None]).T @ d / w.sum() + np.eye(2) * 1e-9
+
+    def axis(c: np.ndarray) -> np.ndarray:
+        s = spread(c)
         angle = 0.5 * math.atan2(2 * s[0, 1], s[0, 0] - s[1, 1])
         return np.array([math.cos(angle), math.sin(angle)])
 
-    direction = axis(centre)
+    direction, converged = axis(centre), False
     for _ in range(rounds):
         dist = (p - centre) @ np.array([-direction[1], direction[0]])
         mid = weighted_median(dist, n)
@@ -143,17 +150,19 @@ def ridge(p: np.ndarray, n: np.ndarray, *, rounds: int = 50, tolerance: float =
         moved = max(np.hypot(*(new - centre)), np.hypot(*(turned - direction)))
         centre, direction = new, turned
         if moved <= tolerance:
+            converged = True
             break
     dist = (p - centre) @ np.array([-direction[1], direction[0]])
     mid = weighted_median(dist, n)
-    return centre, direction, mid, weighted_median(np.abs(dist - mid), n)
+    return centre, direction, mid, weighted_median(np.abs(dist - mid), n), np.linalg.eigvalsh(spread(centre)), converged
 
 
-RIDGE = "{by}, n long, status string, cx double, cy double, dx double, dy double, mid double, mad double, sx double, sy double, mx double, my double"
+RIDGE = "{by}, n long, status string, cx double, cy double, dx double, dy double, mid double, mad double, sx double, sy double, mx double, my double, review array<string>"
 
 
-def fit_singlets(points: DataFrame, by: str, area: str, other: str, *, grid: int = 256, least: int = 20, reliable: int = 50) -> DataFrame:
-    """A row per sample: the ridge of area against height or width, in robust units (mx, sx, my, sy)."""
+def fit_singlets(points: DataFrame, by: str, area: str, other: str, *, grid: int = 256, least: int = 20, reliable: int = 50, k: float = 5.0) -> DataFrame:
+    """A row per sample: the ridge of area against height or width, in robust units (mx, sx, my, sy). status: fitted, skipped
+    (under `least` events), or review, with reasons; a gate under review is not applied. k: the MADs that apply_singlets() takes."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -161,18 +170,47 @@ def fit_singlets(points: DataFrame, by: str, area: str, other: str, *, grid: int
             a = np.array([(c["x"], c["y"], c["n"]) for c in found])
             p, n = a[:, :2], a[:, 2].astype(int)
             if n.sum() < least:
-                rows.append((key, int(n.sum()), "skipped", *[None] * 10))
+                rows.append((key, int(n.sum()), "skipped", *[None] * 10, []))
                 continue
-            mid = [weighted_median(p[:, k], n) for k in (0, 1)]
-            sd = [CONSISTENT * weighted_median(np.abs(p[:, k] - mid[k]), n) or p[:, k].std() or 1.0 for k in (0, 1)]
-            c, d, m, mad = ridge((p - mid) / sd, n)
-            rows.append((key, int(n.sum()), "review" if n.sum() < reliable or mad <= 0 else "fitted", *c, *d, m, mad, sd[0], sd[1], mid[0], mid[1]))
-        return pd.DataFrame(rows, columns=[by, "n", "status", "cx", "cy", "dx", "dy", "mid", "mad", "sx", "sy", "mx", "my"])
+            mid = [weighted_median(p[:, j], n) for j in (0, 1)]
+            sd = [CONSISTENT * weighted_median(np.abs(p[:, j] - mid[j]), n) or p[:, j].std() or 1.0 for j in (0, 1)]
+            z = (p - mid) / sd
+            c, d, m, mad, (minor, major), converged = ridge(z, n)
+            inside = (np.abs((z - c) @ np.array([-d[1], d[0]]) - m) <= k * mad) @ n / n.sum()
+            reasons = (("few_events", n.sum() < reliable), ("not_converged", not converged), ("poorly_identified", not major >= LEAST_RATIO * minor), ("near_collinear", not minor > LEAST_OFF_AXIS), ("zero_mad", mad <= 0), ("low_coverage", inside < LEAST_COVERAGE))
+            review = [r for r, bad in reasons if bad]
+            rows.append((key, int(n.sum()), "review" if review else "fitted", *c, *d, m, mad, sd[0], sd[1], mid[0], mid[1], review))
+        return pd.DataFrame(rows, columns=[by, "n", "status", "cx", "cy", "dx", "dy", "mid", "mad", "sx", "sy", "mx", "my", "review"])
 
     kind = dict(points.dtypes)[by]
     return cells(points, by, area, other, grid).mapInPandas(lambda it: (fit(b) for b in it), RIDGE.format(by=f"{by} {kind}"))
 
 
+def _pulse_evidence(points: DataFrame, by: str, area: str, other: str, preference: int) -> DataFrame:
+    pairs = points.where(is_finite(F.col(area)) & is_finite(F.col(other))).select(by, F.col(area).cast("double").alias("_x"), F.col(other).cast("double").alias("_y"))
+    middle = quantiles(pairs, by, "_x", [0.5]).select(by, F.col("q").alias("_mx")).join(quantiles(pairs, by, "_y", [0.5]).select(by, F.col("q").alias("_my")), by)
+    dx, dy = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
+    sums = pairs.join(middle, by).groupBy(by).agg(F.count(F.lit(1)).alias("_f"), F.count_if((F.col("_x") > 0) & (F.col("_y") > 0)).alias("_pos"), F.sum(dx * dy).alias("_xy"), F.sum(dx * dx).alias("_xx"), F.sum(dy * dy).alias("_yy"))
+    each = points.groupBy(by).agg(F.count(F.lit(1)).alias("_all")).join(sums, by, "left")
+    spread = (F.col("_f") >= 3) & (F.col("_xx") > 0) & (F.col("_yy") > 0)
+    correlation = F.when(spread, F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))).otherwise(0.0)
+    finite, positive = F.coalesce(F.col("_f") / F.col("_all"), F.lit(0.0)), F.coalesce(F.col("_pos") / F.col("_f"), F.lit(0.0))
+    score = finite + 0.25 * F.abs(correlation) + 0.05 * positive + 1e-6 * preference
+    return each.select(by, F.lit(other).alias("channel"), finite.alias("finite"), positive.alias("positive"), correlation.alias("correlation"), score.alias("score"))
+
+
+def pulse_channel_choice(points: DataFrame, by: str, area: str, height: str | None, width: str | None) -> DataFrame:
+    """(by, channel, finite, positive, correlation, score): per sample the channel, height or width, to hold against area: the one
+    with more finite pairs, a stronger correlation about the medians and more positive pairs; height if equal. A channel that
+    is None is no candidate; a sample without finite pairs scores zero."""
+    found = [_pulse_evidence(points, by, area, c, preference) for c, preference in ((height, 1), (width, 0)) if c is not None]
+    if not found:
+        raise ValueError("pulse_channel_choice: neither a height nor a width channel")
+    every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    best = F.max_by(F.struct("channel", "finite", "positive", "correlation", "score"), "score").alias("_best")
+    return every.groupBy(by).agg(best).select(by, "_best.*")
+
+
 def ridge_distance(area: Column, other: Column) -> Column:
     """The signed distance from a ridge of fit_singlets() in the same row."""
     x, y = (area - F.col("mx")) / F.col("sx") - F.col("cx"), (other - F.col("my")) / F.col("sy") - F.col("cy")
@@ -181,7 +219,7 @@ def ridge_distance(area: Column, other: Column) -> Column:
 
 def apply_singlets(points: DataFrame, fits: DataFrame, by: str, area: str, other: str, k: float = 5.0) -> DataFrame:
     """points with singlet_ok: within k MADs of the ridge; null where the sample's gate is skipped or under review."""
-    gate = fits.drop("n")
+    gate = fits.drop("n", "review")
     near = F.abs(ridge_distance(F.col(area), F.col(other)) - F.col("mid")) <= k * F.col("mad")
     inside = F.when(F.col("status") == "fitted", F.coalesce(near, F.lit(False)))
     return points.join(gate, by, "left").withColumn("singlet_ok", inside).drop(*[c for c in gate.columns if c != by])

@@ -351,8 +351,9 @@ def runs_test_z(spark, d):
     return fitstats.residual_structure(f, "sample_id", "bin", "r").select("sample_id", _r("runs_z").alias("runs_z"))
 
 
-@query(_FIT + """, m AS (SELECT sample_id, bin, avg(y - mu) OVER w AS m, count(*) OVER w AS n FROM f WINDOW w AS (PARTITION BY sample_id ORDER BY bin ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
- SELECT sample_id, round(max(abs(m)), 6) AS bias FROM m WHERE n = 5 GROUP BY 1""")
+@query(_FIT + """, m AS (SELECT sample_id, bin, avg(y - mu) OVER w AS m, count(*) OVER w AS n FROM f WINDOW w AS (PARTITION BY sample_id ORDER BY bin ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING)),
+ mid AS (SELECT sample_id, median(y - mu) AS c FROM f GROUP BY 1), sc AS (SELECT sample_id, greatest(1.4826 * median(abs(y - mu - c)), 1e-12) AS scale FROM f JOIN mid USING (sample_id) GROUP BY 1)
+ SELECT sample_id, round(max(abs(m)) / any_value(scale), 6) AS bias FROM m JOIN sc USING (sample_id) WHERE n = 11 GROUP BY 1""")
 def local_bias(spark, d):
     f = _fitted(spark, d).withColumn("r", F.col("y") - F.col("mu"))
     return fitstats.local_bias(f, "sample_id", "bin", "r").select("sample_id", _r("bias").alias("bias"))
@@ -368,12 +369,22 @@ def trapezoid_area(spark, d):
     return fitstats.trapezoid(_fitted(spark, d), "sample_id", "bin", "y").select("sample_id", _r("area", 4).alias("area"))
 
 
-@query(_FIT + """, n AS (SELECT sample_id, bin, mu, coalesce(lag(mu) OVER w, -1) AS p, coalesce(lead(mu) OVER w, -1) AS q FROM f WINDOW w AS (PARTITION BY sample_id ORDER BY bin)), k AS (SELECT sample_id, bin + 1 AS x, mu FROM n WHERE mu > p AND mu >= q),
- s AS (SELECT a.sample_id, a.x AS x1, b.x AS x2, b.x / a.x AS ratio, sqrt(a.mu * b.mu) * exp(-0.5 * pow((b.x / a.x - 2.0) / 0.08, 2)) AS score FROM k a JOIN k b ON a.sample_id = b.sample_id AND b.x > a.x AND b.x / a.x BETWEEN 1.8 AND 2.1)
+@query(_FIT + """, j AS (SELECT sample_id, bin, y, CASE WHEN y = lag(y) OVER w THEN 0 ELSE 1 END AS j FROM f WINDOW w AS (PARTITION BY sample_id ORDER BY bin)),
+ i AS (SELECT *, sum(j) OVER (PARTITION BY sample_id ORDER BY bin) AS i FROM j), r AS (SELECT sample_id, i, any_value(y) AS y, min(bin) AS a, max(bin) AS b FROM i GROUP BY 1, 2),
+ n AS (SELECT *, lag(y) OVER w AS p, lead(y) OVER w AS q, max(b) OVER (PARTITION BY sample_id) AS z FROM r WINDOW w AS (PARTITION BY sample_id ORDER BY i)), k AS (SELECT sample_id, (a + b) // 2 + 1 AS x, y FROM n WHERE y > p AND (q IS NULL OR y > q) AND a < z),
+ s AS (SELECT a.sample_id, a.x AS x1, b.x AS x2, b.x / a.x AS ratio, sqrt(a.y * b.y) * exp(-0.5 * pow((b.x / a.x - 2.0) / 0.08, 2)) AS score FROM k a JOIN k b ON a.sample_id = b.sample_id AND b.x > a.x AND b.x / a.x BETWEEN 1.8 AND 2.1)
  SELECT sample_id, x1, x2, round(score, 6) AS score FROM s""")
 def candidate_peak_pairs(spark, d):
-    peaks = fitstats.local_maxima(_fitted(spark, d), "sample_id", "bin", "mu").withColumn("x", F.col("bin") + 1)
-    return fitstats.peak_pairs(peaks, "sample_id", "x", "mu").select("sample_id", "x1", "x2", _r("score").alias("score"))
+    peaks = fitstats.local_maxima(_fitted(spark, d), "sample_id", "bin", "y").withColumn("x", F.col("bin") + 1)
+    return fitstats.peak_pairs(peaks, "sample_id", "x", "y").select("sample_id", "x1", "x2", _r("score").alias("score"))
+
+
+_PULSE_SCORE = "SELECT sample_id, '{0}' AS channel, 1 + 0.25 * abs(sum((dna_a - a) * ({0} - b)) / sqrt(sum((dna_a - a) * (dna_a - a)) * sum(({0} - b) * ({0} - b)))) + 0.05 * avg((dna_a > 0 AND {0} > 0)::INT) + {1} AS score FROM pulse JOIN (SELECT sample_id, median(dna_a) AS a, median({0}) AS b FROM pulse GROUP BY 1) USING (sample_id) GROUP BY 1"
+
+
+@query(f"WITH {PULSE}, e AS ({_PULSE_SCORE.format('dna_h', '1e-6')} UNION ALL {_PULSE_SCORE.format('fsc_a', '0')}) SELECT sample_id, arg_max(channel, score) AS channel, round(max(score), 6) AS score FROM e GROUP BY 1")
+def pulse_channel_choice(spark, d):
+    return gates.pulse_channel_choice(pulse_events(spark, d), "sample_id", "dna_a", "dna_h", "fsc_a").select("sample_id", "channel", _r("score").alias("score"))
 
 
 _ERF = "(CASE WHEN {0} < 0 THEN -1 ELSE 1 END) * (1 - ((((1.061405429 * (1 / (1 + 0.3275911 * abs({0}))) - 1.453152027) * (1 / (1 + 0.3275911 * abs({0}))) + 1.421413741) * (1 / (1 + 0.3275911 * abs({0}))) - 0.284496736) * (1 / (1 + 0.3275911 * abs({0}))) + 0.254829592) * (1 / (1 + 0.3275911 * abs({0}))) * exp(-({0}) * ({0})))"
