@@ -26,16 +26,19 @@ def indexed(df: DataFrame, by: str, order: str, name: str, block: int = 1 << 20)
 
 def _located(values: DataFrame, by: str, wanted: DataFrame, cells: int) -> DataFrame:
     """values(by, _x), wanted(by, _k, _at: 0-based rank) -> (by, _k, _at, _x at that rank). One pass counts cells of equal width
-    between the smallest and the largest value; only cells that hold a wanted rank are sorted."""
+    between the smallest and the largest value; only the distinct values of cells that hold a wanted rank are sorted."""
     bounds = values.groupBy(by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     wide = (F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor(wide * cells), F.lit(cells - 1))).otherwise(0)
     put = values.join(bounds, by).select(by, "_x", cell.alias("_cell"))
     counts = put.groupBy(by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(by).orderBy("_cell")) - F.col("_n"))
-    hits = before.join(wanted, by).where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_n")))
-    ranked = put.join(hits.select(by, "_cell", "_before").distinct(), [by, "_cell"]).withColumn("_rank", F.row_number().over(Window.partitionBy(by, "_cell").orderBy("_x")) - 1 + F.col("_before"))
-    return ranked.join(hits.select(by, "_cell", "_k", "_at"), [by, "_cell"]).where("_rank = _at").select(by, "_k", "_at", "_x")
+    hits = before.join(wanted, by).where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_n"))).select(by, "_cell", "_before", "_k", "_at")
+    # equal values are counted before the shuffle: a cell's window holds its distinct values only
+    distinct = put.join(hits.select(by, "_cell").distinct(), [by, "_cell"], "left_semi").groupBy(by, "_cell", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    upto = distinct.withColumn("_upto", F.sum("_n").over(Window.partitionBy(by, "_cell").orderBy("_x")))
+    at = F.col("_at") - F.col("_before")
+    return upto.join(hits, [by, "_cell"]).where((at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_n"))).select(by, "_k", "_at", "_x")
 
 
 def quantiles(df: DataFrame, by: str, value: str, shares: Sequence[float], *, nearest_rank: bool = False, cells: int = 4096) -> DataFrame:

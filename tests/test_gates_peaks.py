@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from eventloom.operators import fitstats, gates
+from eventloom.operators.ranking import quantiles
 from eventloom.plans import catalogue
 
 
@@ -50,3 +51,14 @@ def test_singlet_gate_review(spark):
     got = {r.k: (r.status, r.review) for r in gates.fit_singlets(df, "k", "x", "y").collect()}
     assert got["fitted"] == ("fitted", []) and got["blob"][0] == "review" and "poorly_identified" in got["blob"][1]
     assert got["line"][0] == "review" and "near_collinear" in got["line"][1]
+
+
+@pytest.mark.parametrize("nearest", [False, True])
+def test_quantiles_of_ties_and_an_outlier(spark, nearest):
+    x = np.concatenate([np.repeat([3.0, 7.0, -0.0, 0.0], [500, 400, 2, 3]), np.random.default_rng(9).normal(5, 1, 200), [1e12]])
+    shares = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    df = spark.createDataFrame([("a", float(v)) for v in x], "k string, x double")
+    got = {r.p: r.q for r in quantiles(df, "k", "x", shares, nearest_rank=nearest).collect()}
+    s = np.sort(x)
+    want = {p: s[int(np.floor((len(s) - 1) * p + 0.5))] if nearest else np.quantile(x, p) for p in shares}
+    assert got == {p: pytest.approx(v) for p, v in want.items()}
