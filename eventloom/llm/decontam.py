@@ -1,13 +1,12 @@
-"""Benchmark decontamination over a positional inverted index, in DataFrame operations.
+"""Benchmark decontamination: seek on the rarest term of each benchmark phrase, then verify, in DataFrame operations.
 
-The index stores postings (term, document, position) of every token that is the rarest term of some benchmark phrase, by counts
-over all documents. Intersection starts there: a posting at position p of a term that stands at offset q of an item fixes the
-one alignment p - q at which the item's other terms must stand. Alignments are then intersected term by term on the document's
-own token list, which gives the exact phrase occurrences, and for proximity() the occurrences whose terms all stand within a
-slop.
+Of each phrase the term that is rarest by counts over all documents is sought in the documents. Its position p there and its offset
+q in the item fix the one alignment p - q at which the item's other terms must stand; they are compared there, word by word, with
+the document's own words. This gives the exact phrase occurrences, and for proximity() the occurrences whose terms all stand
+within a slop. Postings of documents are neither stored nor intersected list by list.
 
-What is broadcast (terms and items of the benchmark) is checked against broadcast_bytes first; a larger benchmark is joined by
-shuffle. Documents are only shuffled by their key, and a term's postings stay where their documents are.
+What is broadcast (terms and items of the benchmark) is checked against broadcast_bytes first. A larger benchmark is joined by
+shuffle, in which the documents' words move to their term; below that, documents are only shuffled by their key.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ class Index:
         items = benchmark.select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("terms")).where("size(terms) > 0")
         # items that read alike are one item of the index
         self.items = written(items.groupBy("terms").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.xxhash64("terms").alias("i"), "terms", "items", F.size("terms").alias("n")), "items")
-        size = self.items.agg(F.coalesce(F.sum(F.length(F.array_join("terms", " ")) + 16 * F.col("n")), F.lit(0))).first()[0]
+        size = self.items.agg(F.coalesce(F.sum(F.octet_length(F.array_join("terms", " ")) + 16 * F.col("n")), F.lit(0))).first()[0]
         self.fits = size <= broadcast_bytes
         vocabulary = self.items.select(F.explode("terms").alias("term")).distinct()
         tokens = self.docs.select(F.explode(words(F.col("text"))).alias("term"))

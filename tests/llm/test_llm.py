@@ -3,6 +3,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from eventloom.llm import chat, decontam, embeddings, mixing, quality, queries, shared, simhash, substring, suffix, tokens, toxicity, windows
 
 SF = "/root/testdata/sf0.01"
+#: The sf tables hold no near vectors; these hold groups of them.
+CHECK = "/root/testdata/check_s"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -318,6 +321,28 @@ def test_op5_equals_library(spark, docs):
 # ---------------------------------------------------------------- op6
 
 
+@pytest.mark.skipif(not Path(CHECK).exists(), reason="the table with near vectors is absent")
+def test_op6_query_recall_on_all_pairs(spark):
+    """The registered query against every pair of one label in the table."""
+    rows = spark.read.parquet(CHECK + "/embeddings.parquet").toPandas()
+    got = {r.vec_id: r.n_links for r in queries.op6_embeddings(spark, CHECK).collect()}
+    assert len(got) == len(rows)
+    truth = dict.fromkeys(rows["vec_id"].tolist(), 0)
+    for _, part in rows[rows["label"].notna() & rows["embedding"].notna()].groupby("label"):
+        good = part["embedding"].map(lambda v: len(v) > 0 and bool(np.isfinite(np.asarray(v, dtype=np.float64)).all()))
+        part = part[good]
+        if part.empty:
+            continue
+        x = np.stack(part["embedding"].tolist()).astype(np.float64)
+        unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+        near = unit @ unit.T >= 0.93
+        np.fill_diagonal(near, False)
+        truth |= dict(zip(part["vec_id"].tolist(), near.sum(axis=1).tolist(), strict=True))
+    total = sum(truth.values())
+    print("pairs", total, "found", sum(got.values()))
+    assert total > 0 and all(got[k] <= n for k, n in truth.items()) and sum(got.values()) >= 0.9 * total
+
+
 def test_op6_recall_and_precision(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(120, 64))
@@ -586,3 +611,13 @@ def test_no_local_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         shared.shared_dir(Session())
+
+
+def test_op8_shuffled_benchmark_with_a_stop_word(spark):
+    """A benchmark over the broadcast bound is joined by shuffle: the same rows, also for an item that is one common word."""
+    docs = spark.createDataFrame([(k, "the cat and the dog of the house " * (k % 5) + ("a b c d e f g h i j k l m n" if k % 3 == 0 else "")) for k in range(60)] + [(None, "the"), (60, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([("stop", "The"), ("long", "a b c d e f g h i j k l m"), ("absent", "zebra"), ("empty", "")], "item_id string, text string")
+    found = [sorted(map(str, decontam.contamination(docs, bench, broadcast_bytes=most).select("doc_id", "n_words", "n_hit", "items", "contaminated").collect())) for most in (8 << 20, 0)]
+    assert found[0] == found[1]
+    rows = {r.doc_id: r for r in decontam.contamination(docs, bench, broadcast_bytes=0).collect()}
+    assert rows[3].n_hit == 9 + 13 and rows[3]["items"] == ["long", "stop"] and rows[1].n_hit == 3 and rows[5].n_hit == 0 and rows[None].contaminated and rows[60].n_words == 0
