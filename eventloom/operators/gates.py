@@ -218,8 +218,9 @@ def ridge_distance(area: Column, other: Column) -> Column:
 
 
 def apply_singlets(points: DataFrame, fits: DataFrame, by: str, area: str, other: str, k: float = 5.0) -> DataFrame:
-    """points with singlet_ok: within k MADs of the ridge; null where the sample's gate is skipped or under review."""
+    """points with singlet_ok: within k MADs of the ridge; null where the sample's gate, as singlet_status says, is skipped or
+    under review."""
     gate = fits.drop("n", "review")
     near = F.abs(ridge_distance(F.col(area), F.col(other)) - F.col("mid")) <= k * F.col("mad")
     inside = F.when(F.col("status") == "fitted", F.coalesce(near, F.lit(False)))
-    return points.join(gate, by, "left").withColumn("singlet_ok", inside).drop(*[c for c in gate.columns if c != by])
+    return points.join(gate, by, "left").withColumns({"singlet_ok": inside, "singlet_status": F.col("status")}).drop(*[c for c in gate.columns if c != by])

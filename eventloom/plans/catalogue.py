@@ -410,7 +410,7 @@ def gmm_gate(spark, d):
 def ridge_fit(spark, d):
     events = pulse_events(spark, d)
     fits = gates.fit_singlets(events, "sample_id", "dna_a", "dna_h")
-    return gates.apply_singlets(events, fits, "sample_id", "dna_a", "dna_h").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("singlet_ok").alias("kept"))
+    return gates.apply_singlets(events, fits, "sample_id", "dna_a", "dna_h").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("singlet_ok").alias("kept"), F.first("singlet_status").alias("status"))
 
 
 def _arrays(spark, d):
