@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embeddings, mixing, quality, simhash, sql, substring, suffix, tokens, toxicity
+from . import chat, decontam, embeddings, mixing, quality, resampling, simhash, sql, substring, suffix, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,9 +81,15 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its features, weight and score towards the benchmark's words, and its rank among those drawn."""
+    found = resampling.resampled(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_chat, op4_mixing, op5_tokens, op6_embeddings, op7_quality, op8_decontamination, op9_substring, op10_suffix)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_chat, op4_mixing, op5_tokens, op6_embeddings, op7_quality, op8_decontamination, op9_substring, op10_suffix, op11_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": sql.OP3, "op8_decontamination": sql.OP8, "op9_substring": sql.OP9}
+    return {"op3_chat": sql.OP3, "op8_decontamination": sql.OP8, "op9_substring": sql.OP9, "op11_resampling": sql.OP11}

@@ -34,3 +34,26 @@ OP9 = r"""WITH d AS (SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text
  kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1),
  n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+#: CRC-32 in SQL: the table of 256 remainders, the bytes of a string, and one step a byte.
+_CRC = """crc_table AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) ORDER BY b) AS entries FROM (SELECT unnest(range(256)) AS b))"""
+
+
+def _crc(text: str, entries: str = "entries") -> str:
+    at = f"list_transform(range(0, length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({at}, lambda c, b: xor(c // 256, {entries}[xor(c % 256, b) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+_WORDS11 = rf"[x FOR x IN string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> '']"
+OP11 = rf"""WITH {_CRC}, d AS (SELECT doc_id, {_WORDS11} AS w FROM documents), i AS (SELECT {_WORDS11} AS w FROM benchmark),
+ dw AS (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY ALL), iw AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM i) GROUP BY ALL),
+ v AS (SELECT x, {_crc("x")} % 10000 AS bucket FROM (SELECT x FROM dw UNION SELECT x FROM iw), crc_table),
+ s AS (SELECT bucket, sum(n)::DOUBLE AS s FROM dw JOIN v USING (x) GROUP BY 1), t AS (SELECT bucket, sum(n)::DOUBLE AS t FROM iw JOIN v USING (x) GROUP BY 1),
+ z AS (SELECT coalesce((SELECT sum(s) FROM s), 0) + 10000 AS ss, coalesce((SELECT sum(t) FROM t), 0) + 10000 AS tt),
+ g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ss / ((coalesce(s, 0) + 1) * tt)))::BIGINT AS gain FROM s FULL JOIN t USING (bucket), z),
+ f AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM dw JOIN v USING (x) JOIN g USING (bucket) GROUP BY 1),
+ h AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN f USING (doc_id)),
+ k AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM h),
+ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM k WHERE n_features >= 20)
+SELECT k.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM k LEFT JOIN r USING (doc_id)"""
