@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embeddings, mixing, quality, resampling, simhash, sql, substring, suffix, tokens, toxicity
+from . import chat, decontam, embeddings, mixing, quality, repair, resampling, simhash, sql, substring, suffix, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,9 +87,15 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, once damaged, its faults, the cheapest edits that repair it, and a digest of the repaired turns."""
+    turns = _table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(turns), turns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_chat, op4_mixing, op5_tokens, op6_embeddings, op7_quality, op8_decontamination, op9_substring, op10_suffix, op11_resampling)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_chat, op4_mixing, op5_tokens, op6_embeddings, op7_quality, op8_decontamination, op9_substring, op10_suffix, op11_resampling, op12_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": sql.OP3, "op8_decontamination": sql.OP8, "op9_substring": sql.OP9, "op11_resampling": sql.OP11}
+    return {"op3_chat": sql.OP3, "op8_decontamination": sql.OP8, "op9_substring": sql.OP9, "op11_resampling": sql.OP11, "op12_repair": sql.OP12}

@@ -57,3 +57,27 @@ OP11 = rf"""WITH {_CRC}, d AS (SELECT doc_id, {_WORDS11} AS w FROM documents), i
  k AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM h),
  r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM k WHERE n_features >= 20)
 SELECT k.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM k LEFT JOIN r USING (doc_id)"""
+
+_KEY12 = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+OP12 = rf"""WITH RECURSIVE {_CRC}, base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc(_KEY12)} % 20 AS fate FROM conversations, crc_table),
+ hurt AS (SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+   unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy FROM base WHERE fate <> 0),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM hurt),
+ met AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS seen, left(role, 1) AS i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS mark FROM placed),
+ rows_ AS (SELECT *, CASE WHEN mark = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN mark NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM met),
+ ins(i, j, cost, audit, rep) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', chr(10) || 'user:'), (1, 2, 2, 'I', chr(10) || 'user:'), (3, 2, 2, 'I', chr(10) || 'user:'),
+   (2, 3, 2, 'I', chr(10) || 'assistant:'), (0, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+ keep(i, role, j) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+ edit AS (SELECT conv_id, k, e.i, e.j, e.cost, e.audit, e.rep FROM rows_ r, LATERAL (
+   SELECT s AS i, s AS j, 3 AS cost, 'D' AS audit, '' AS rep FROM range(4) t(s)
+   UNION ALL SELECT s, CASE s WHEN 2 THEN 3 ELSE 2 END, 2 + (r.fault = 't')::INT, 'R', chr(10) || CASE s WHEN 2 THEN 'assistant:' ELSE 'user:' END || r.text FROM range(4) t(s) WHERE r.fault NOT IN ('b', 'd')
+   UNION ALL SELECT keep.i, keep.j, (r.fault = 't')::INT, 'K', chr(10) || r.role || ':' || r.text FROM keep WHERE keep.role = r.i AND r.fault NOT IN ('b', 'd')) e),
+ walk AS (SELECT DISTINCT conv_id, 1::BIGINT AS k, 0::BIGINT AS j, {{'cost': 0::BIGINT, 'audit': '', 'rep': ''}} AS v FROM hurt
+  UNION ALL SELECT w.conv_id, w.k + 1, e.j::BIGINT, min({{'cost': w.v.cost + n.cost + e.cost, 'audit': w.v.audit || n.audit || e.audit, 'rep': w.v.rep || n.rep || e.rep}}) FROM walk w JOIN ins n ON n.i = w.j JOIN edit e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.k = w.k AND e.i = n.j GROUP BY w.conv_id, w.k, e.j),
+ ends AS (SELECT conv_id, max(k) AS k FROM walk GROUP BY conv_id),
+ best AS (SELECT w.conv_id, min({{'cost': w.v.cost + n.cost, 'audit': w.v.audit || n.audit, 'rep': w.v.rep || n.rep}}) AS v FROM walk w JOIN ends e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.k = w.k JOIN ins n ON n.i = w.j WHERE n.j IN (0, 3) GROUP BY w.conv_id),
+ c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+   count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM rows_ GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ coalesce(b.v.cost, 0)::BIGINT AS cost, coalesce(b.v.audit, '') AS audit, sha256(substr(coalesce(b.v.rep, ''), 2)) AS repaired_sha256
+ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id"""
