@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embeddings, mixing, quality, repair, resampling, simhash, sql, substring, suffix, tokens, toxicity
+from . import chat, decontam, embeddings, mixing, quality, repair, resampling, simhash, sql, substring, suffix, tokens, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,9 +93,16 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damaged(turns), turns)
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page its payload's size and digest and its record, as read back from the archives."""
+    pages = _table(spark, sf_dir, "pages")
+    number = lambda c: F.col(c).cast(pages.schema["page_id"].dataType).alias(c)
+    return warc.records(warc.archived(pages)).select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_chat, op4_mixing, op5_tokens, op6_embeddings, op7_quality, op8_decontamination, op9_substring, op10_suffix, op11_resampling, op12_repair)}
+    return {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_chat, op4_mixing, op5_tokens, op6_embeddings, op7_quality, op8_decontamination, op9_substring, op10_suffix, op11_resampling, op12_repair, op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": sql.OP3, "op8_decontamination": sql.OP8, "op9_substring": sql.OP9, "op11_resampling": sql.OP11, "op12_repair": sql.OP12}
+    return {"op3_chat": sql.OP3, "op8_decontamination": sql.OP8, "op9_substring": sql.OP9, "op11_resampling": sql.OP11, "op12_repair": sql.OP12, "op13_warc": sql.OP13}

@@ -81,3 +81,7 @@ OP12 = rf"""WITH RECURSIVE {_CRC}, base AS (SELECT conv_id, turn, coalesce(role,
 SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
  coalesce(b.v.cost, 0)::BIGINT AS cost, coalesce(b.v.audit, '') AS audit, sha256(substr(coalesce(b.v.rep, ''), 2)) AS repaired_sha256
  FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+OP13 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), c AS (SELECT h, max(page_id) AS last FROM p WHERE strlen(h) >= 1000 GROUP BY h),
+ r AS (SELECT page_id, p.h, last, last IS NOT NULL AND page_id IS DISTINCT FROM last AS again FROM p LEFT JOIN c USING (h))
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to FROM r"""
