@@ -11,13 +11,19 @@ from ..functions.columns import is_finite
 from .ranking import quantiles
 
 
+def channel_stats(events: DataFrame, by: str, channels: Sequence[str]) -> DataFrame:
+    """(by, channel, n, mean, sd, min, max, median): of finite values from zero up the count, mean, population deviance, ends and
+    exact median, all channels in the same passes. A sample without such values has n 0 and nulls."""
+    melted = F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("_x")) for c in channels]))
+    good = events.select(by, *[F.when(is_finite(F.col(c)) & (F.col(c) >= 0), F.col(c)).alias(c) for c in channels])
+    moments = good.select(by, melted).groupBy(by, "channel").agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd"), F.min("_x").alias("min"), F.max("_x").alias("max"))
+    middle = quantiles(good, by, list(channels), [0.5]).select(by, F.col("column").alias("channel"), F.col("q").alias("median"))
+    return moments.join(middle, [by, "channel"], "left")
+
+
 def column_stats(events: DataFrame, by: str, value: str) -> DataFrame:
-    """Count, mean, population deviance, exact median, minimum and maximum of finite values from zero up. A sample without such
-    values has n 0 and nulls."""
-    x = F.col(value)
-    good = events.withColumn("_x", F.when(is_finite(x) & (x >= 0), x))
-    moments = good.groupBy(by).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("sd"), F.min("_x").alias("min"), F.max("_x").alias("max"))
-    return moments.join(quantiles(good, by, "_x", [0.5]).select(by, F.col("q").alias("median")), by, "left")
+    """channel_stats() of one channel."""
+    return channel_stats(events, by, [value]).drop("channel")
 
 
 def spread(events: DataFrame, by: str, value: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Acquisition-time quality control: segments, equal-count bins, robust scores of bins, intervals and masks.
 
-A sample's events are ordered by event_index. Windows run per sample, as order decides segments; the sorted column is two numbers
-wide.
+A sample's events are ordered by event_index, and order decides segments. It is a prefix scan of two levels: windows run over
+blocks of event_index; what a block carries to the next (its last time, segments opened, wraps and the latest time since the last
+opening) is combined over a sample's blocks, a row each, and then applied. No window holds a sample.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite, robust_z, safe_divide
+from .ranking import indexed
 
 #: Fixed values.
 BACKWARD = 1e-6
@@ -19,35 +21,68 @@ WRAP_FROM, WRAP_TO = 0.8, 0.2
 CONSISTENT = 1.4826
 
 
-def segments(events: DataFrame, by: str, index: str, time: str, timer_range: float) -> DataFrame:
+def segments(events: DataFrame, by: str, index: str, time: str, timer_range: float, *, block: int = 1 << 18, blocks: bool = False) -> DataFrame:
     """events with segment (0-based; null for invalid times) and unwrapped time. Time going back opens a segment, unless it goes
-    from above 0.8 to below 0.2 of the timer's range, which is a wrap."""
-    order = Window.partitionBy(by).orderBy(index)
-    t = F.when(is_finite(F.col(time)) & (F.col(time) >= 0), F.col(time))
-    step = events.withColumn("_t", t).withColumn("_p", F.lag("_t").over(order))
-    back = F.coalesce(F.col("_t") < F.col("_p") - BACKWARD, F.lit(False))
-    wrap = back & (F.col("_p") > WRAP_FROM * timer_range) & (F.col("_t") < WRAP_TO * timer_range)
-    new = F.col("_t").isNotNull() & (F.col("_p").isNull() | (back & ~wrap))
-    marked = step.withColumns({"_wrap": wrap.cast("int"), "_new": new.cast("int")}).withColumn("segment", F.when(F.col("_t").isNotNull(), F.sum("_new").over(order) - 1))
-    inside = Window.partitionBy(by, "segment").orderBy(index)
-    offset = F.col("_t") + timer_range * F.sum(F.when(F.col("_new") == 1, 0).otherwise(F.col("_wrap"))).over(inside)
-    return marked.withColumn("_u", offset).withColumn("unwrapped", F.when(F.col("segment").isNotNull(), F.max("_u").over(inside))).drop("_t", "_p", "_wrap", "_new", "_u")
-
-
-def equal_count_bins(events: DataFrame, by: str, index: str, target: int = 500) -> DataFrame:
-    """Valid events with bin: each segment in max(1, round(n / target)) bins of sizes that differ by one at most."""
-    w = Window.partitionBy(by, "segment")
-    n = events.where(F.col("segment").isNotNull()).withColumns({"_n": F.count(F.lit(1)).over(w), "_r": F.row_number().over(w.orderBy(index)) - 1})
+    from above 0.8 to below 0.2 of the timer's range, which is a wrap; so does the first valid time after an invalid one. Blocks
+    are of `block` consecutive indexes; with `blocks` the result keeps them as _block, which bins can use."""
+    order, t = Window.partitionBy(by, "_block").orderBy(index), F.col("_t")
+
+    def steps(before: Column, now: Column) -> tuple[Column, Column]:
+        """(whether a segment opens, whether the timer wraps) between two neighbours."""
+        back = F.coalesce(now < before - BACKWARD, F.lit(False))
+        wrap = back & (before > WRAP_FROM * timer_range) & (now < WRAP_TO * timer_range)
+        return (now.isNotNull() & (before.isNull() | (back & ~wrap))).cast("int"), wrap.cast("int")
+
+    rows = events.withColumns({"_block": F.floor(F.col(index) / block), "_t": F.when(is_finite(F.col(time)) & (F.col(time) >= 0), F.col(time))})
+    rows = rows.withColumns({"_p": F.lag("_t").over(order), "_k": F.row_number().over(order)})
+    new, wrap = (F.when(F.col("_k") > 1, x).otherwise(0) for x in steps(F.col("_p"), t))  # a block's first event waits for the block before
+    rows = rows.withColumns({"_new": new, "_wrap": wrap}).withColumn("_s", F.sum("_new").over(order))
+    inside = Window.partitionBy(by, "_block", "_s").orderBy(index)
+    rows = rows.withColumn("_w", F.sum(F.when(F.col("_new") == 1, 0).otherwise(F.col("_wrap"))).over(inside)).withColumn("_m", F.max(t + timer_range * F.col("_w")).over(inside))
+
+    last = F.struct("_s", "_w", "_m", "_t")
+    each = rows.groupBy(by, "_block").agg(F.min_by(F.struct("_t"), index)["_t"].alias("_first"), F.max_by(last, index).alias("_end"))
+    along = Window.partitionBy(by).orderBy("_block")
+    opens, wraps = steps(F.lag("_end._t").over(along), F.col("_first"))
+    each = each.withColumns({"_opens": opens, "_wraps": F.when(opens == 1, 0).otherwise(wraps)}).withColumn("_breaks", (F.col("_opens") + F.col("_end._s") > 0).cast("int"))
+    # blocks since the last one in which a segment opens share its wraps and its latest time
+    each = each.withColumns({"_before": F.coalesce(F.sum(F.col("_opens") + F.col("_end._s")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_open": F.sum("_breaks").over(along)})
+    since = Window.partitionBy(by, "_open").orderBy("_block")
+    own = F.col("_end._w") + F.when(F.col("_end._s") > 0, 0).otherwise(F.col("_wraps"))
+    each = each.withColumn("_upto", F.sum(own).over(since)).withColumn("_shift", F.when(F.col("_end._s") > 0, 0).when(F.col("_opens") == 1, 0).otherwise(F.col("_upto") - F.col("_end._w")))
+    each = each.withColumn("_latest", F.max(F.col("_end._m") + timer_range * F.col("_shift")).over(since))
+    carry = each.select(
+        by, "_block", (F.col("_before") + F.col("_opens")).alias("_seen"),
+        F.when(F.col("_opens") == 1, 0).otherwise(F.coalesce(F.lag("_upto").over(along), F.lit(0)) + F.col("_wraps")).alias("_turns"),
+        F.when(F.col("_opens") == 0, F.lag("_latest").over(along)).alias("_most"),
+    )
+
+    segment = F.when(t.isNotNull(), F.col("_seen") + F.col("_s") - 1)
+    unwrapped = F.when(F.col("_s") > 0, F.col("_m")).otherwise(F.greatest(F.col("_most"), F.col("_m") + timer_range * F.col("_turns")))
+    out = rows.join(carry, [by, "_block"]).withColumns({"segment": segment, "unwrapped": F.when(t.isNotNull(), unwrapped)})
+    out = out.drop("_t", "_p", "_k", "_new", "_wrap", "_s", "_w", "_m", "_seen", "_turns", "_most")
+    return out if blocks else out.drop("_block")
+
+
+def _ranked(events: DataFrame, by: str, index: str, mask: Column | None) -> DataFrame:
+    """Events of a segment (and of the mask, if there is one) with their rank _r and the number _n of such events of it."""
+    good = events.where(F.col("segment").isNotNull() if mask is None else F.col("segment").isNotNull() & mask)
+    return indexed(good, [by, "segment"], index, "_r", 1 << 18, cut="_block" if "_block" in events.columns else None, total="_n").drop("_block")
+
+
+def equal_count_bins(events: DataFrame, by: str, index: str, target: int = 500, *, mask: Column | None = None) -> DataFrame:
+    """Valid events (of the mask, if there is one) with bin: each segment in max(1, round(n / target)) bins of sizes that differ
+    by one at most."""
     bins = F.greatest(F.lit(1), F.floor(F.col("_n") / target + 0.5))
-    return n.withColumn("_bins", bins).withColumn("bin", F.floor(((F.col("_r") + 1) * F.col("_bins") - 1) / F.col("_n"))).drop("_n", "_r", "_bins")
+    n = _ranked(events, by, index, mask).withColumn("_bins", bins)
+    return n.withColumn("bin", F.floor(((F.col("_r") + 1) * F.col("_bins") - 1) / F.col("_n"))).drop("_n", "_r", "_bins")
 
 
-def overlapping_bins(events: DataFrame, by: str, index: str, size: int, overlap: float = 0.5) -> DataFrame:
+def overlapping_bins(events: DataFrame, by: str, index: str, size: int, overlap: float = 0.5, *, mask: Column | None = None) -> DataFrame:
     """Valid events, once for each bin that they are in: bins of `size` events at steps of round(size * (1 - overlap)); a last
     bin of under half the size joins the one before."""
     step = max(1, int(size * (1 - overlap) + 0.5))
-    w = Window.partitionBy(by, "segment")
-    n = events.where(F.col("segment").isNotNull()).withColumns({"_n": F.count(F.lit(1)).over(w), "_r": F.row_number().over(w.orderBy(index)) - 1})
+    n = _ranked(events, by, index, mask)
     last = F.greatest(F.lit(0), F.ceil((F.col("_n") - size) / step))
     short = (last > 0) & (F.col("_n") - last * step < max(1, size // 2))
     top = F.when(short, last - 1).otherwise(last)

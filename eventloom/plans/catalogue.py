@@ -43,10 +43,8 @@ def column_stats(spark, d):
 
 @query(f"""WITH {PULSE} SELECT sample_id, """ + ", ".join(f"round(avg({c}), 6) AS \"{c}:mean\", round(quantile_cont({c}, 0.5), 6) AS \"{c}:median\"" for c in ("dna_a", "dna_h", "fsc_a")) + """ FROM pulse GROUP BY 1""")
 def stats_wide(spark, d):
-    events, parts = pulse_events(spark, d), []
-    for c in ("dna_a", "dna_h", "fsc_a"):
-        parts.append(samples.column_stats(events, "sample_id", c).select("sample_id", F.lit(c).alias("channel"), _r("mean").alias("mean"), _r("median").alias("median")))
-    return samples.stats_wide(parts[0].unionByName(parts[1]).unionByName(parts[2]), "sample_id", "channel", ("mean", "median"))
+    stats = samples.channel_stats(pulse_events(spark, d), "sample_id", ["dna_a", "dna_h", "fsc_a"])
+    return samples.stats_wide(stats.select("sample_id", "channel", _r("mean").alias("mean"), _r("median").alias("median")), "sample_id", "channel", ("mean", "median"))
 
 
 @query(f"""WITH {CYTO} SELECT sample_id, p, round(q, 6) AS q FROM (SELECT sample_id, unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS p, unnest(quantile_cont(dna_a, [0.25, 0.5, 0.75])) AS q FROM cyto GROUP BY 1)""")
@@ -144,7 +142,7 @@ def recommended_bins(spark, d):
 
 
 def _segmented(spark, d):
-    return timeqc.segments(cyto_events(spark, d), "sample_id", "event_index", "time", DAY)
+    return timeqc.segments(cyto_events(spark, d), "sample_id", "event_index", "time", DAY, blocks=True)
 
 
 def _binned(spark, d):

@@ -49,7 +49,7 @@ def test_quantiles_against_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.lognormal(size=3001)
     df = spark.createDataFrame([("a", float(v)) for v in x], "k string, x double")
-    got = [r.q for r in quantiles(df, "k", "x", [0.01, 0.3, 0.99], cells=64).orderBy("p").collect()]
+    got = [r.q for r in quantiles(df, "k", "x", [0.01, 0.3, 0.99], accuracy=64).orderBy("p").collect()]
     assert np.allclose(got, np.quantile(x, [0.01, 0.3, 0.99]))
 
 
