@@ -1,6 +1,6 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, exact rerank.
 
-Equal vectors of a label are one representative with a multiplicity. A rotation of the principal axes that balances the signs is
+Equal vectors of a label are one class with a multiplicity and a number of its own, as rows may share a vec_id. A rotation of the principal axes that balances the signs is
 learnt on a bounded sample; the signs of a rotated vector are its code. The code is split into `tables` substrings, each with a
 hash table per label; a vector probes all substrings within `radius` bits of its own. A pair is verified in the first table
 that brings it together, so no pair is sent twice, and reranked by the cosine of the original vectors in double precision.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, lean, written
+from .shared import components, forget, lean, written
 
 
 def learn_rotation(x: np.ndarray, bits: int, rounds: int = 40, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -57,14 +57,14 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     plain = F.transform(e, lambda v: v.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(F.coalesce(good, F.lit(False)), F.struct(F.col(label).cast("string").alias("label"), plain.alias("v"))).alias("s")).select("vec_id", "s.label", "s.v", F.xxhash64("s.label", "s.v").alias("h1"), F.xxhash64(F.lit(1), "s.v", "s.label").alias("h2"))
     usable = rows.where("v is not null")
-    classes = written(usable.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "v")).alias("s"), F.count(F.lit(1)).alias("mult")).select("h1", "h2", F.col("s.vec_id").alias("rep"), "s.label", "s.v", "mult"), "classes")
+    classes = written(usable.groupBy("h1", "h2").agg(F.min(F.struct("vec_id", "label", "v")).alias("s"), F.count(F.lit(1)).alias("mult")).select("h1", "h2", F.monotonically_increasing_id().alias("rep"), F.col("s.vec_id").alias("least"), "s.label", "s.v", "mult"), "classes")
 
     lengths = [r[0] for r in classes.select(F.size("v")).distinct().limit(65).collect()]
     if len(lengths) > 64:
         raise ValueError("embeddings of over 64 different lengths")
     fits = {}
     for d in lengths:
-        sample = classes.where(F.size("v") == d).orderBy(F.xxhash64("rep"), "rep").limit(fit_rows).select("v").toArrow().column(0).combine_chunks()
+        sample = classes.where(F.size("v") == d).orderBy(F.xxhash64("least"), "least", "h1").limit(fit_rows).select("v").toArrow().column(0).combine_chunks()
         fits[d] = learn_rotation(_matrix(sample), min(bits, d))
     shared = spark.sparkContext.broadcast(fits)
     width = {d: [len(p) for p in np.array_split(np.arange(min(bits, d)), tables)] for d in lengths}
@@ -129,8 +129,11 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     right = classes.select(F.col("rep").alias("y"), F.col("v").alias("vy"), F.col("mult").alias("my"))
     links = written(pairs.join(left, "x").join(right, "y").select("x", "y", "vx", "vy", "mx", "my").mapInArrow(lean(rerank), "x long, y long, mx long, my long"), "links")
     degree = links.select(F.col("x").alias("rep"), F.col("my").alias("n")).unionByName(links.select(F.col("y").alias("rep"), F.col("mx").alias("n"))).groupBy("rep").agg(F.sum("n").alias("n"))
+    forget(dealt)
     found = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("rep"), "component")
-    by_class = classes.select("h1", "h2", "rep", "mult").join(degree, "rep", "left").join(found, "rep", "left").select("h1", "h2", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    least = found.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id"))
+    reached = found.join(least, "component").select("rep", "component_id")
+    by_class = classes.select("h1", "h2", "rep", "least", "mult").join(degree, "rep", "left").join(reached, "rep", "left").select("h1", "h2", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     linked = usable.select("vec_id", "h1", "h2").join(by_class, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
