@@ -4,22 +4,32 @@
     spark.read.format("fcs").load("dir/*.fcs")                                  # a row per event, a column per parameter
     spark.read.format("fcs").option("channels", "DNA-A,Time").load(...)         # only these are decoded
     spark.read.format("fcs").option("mode", "header").load(...)                 # a row per file; DATA is not read
-
-Records have a fixed width, so a file is read in parallel by ranges of events. Files are opened through pyarrow's file systems
-(local, HDFS, S3, ...). With mode "header" a file that can't be read is a row with error_code; reading events of it fails.
+    spark.read.format("fcs").option("quarantine", "true").load(...)             # files that can't be read are rows with _error
+    events, errors = load_events(spark, "dir")                                  # the same, apart, with the cohort's channels
+
+Planning only lists files: a file is cut by bytes, and each task reads the header of its file and those records that begin within its
+cut. Files are opened through pyarrow's file systems (local, HDFS, S3, ...). With mode "header" a file that can't be read is a row
+with error_code. With "quarantine" it is one row whose _error is struct(path, code, detail), with null events; a read that fails
+half-way is such a row too, after the events that were read. Otherwise reading it fails. "missing" = "error" treats a file without
+one of the channels as one that can't be read, else such channels are null.
 """
 
 from __future__ import annotations
 
 import glob
+import os
 import posixpath
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, LongType, MapType, StringType, StructField, StructType
 
 #: Limits of a file, and the versions that are read.
@@ -201,10 +211,27 @@ def decode(raw: bytes, s: Summary, columns: list[int]) -> list[np.ndarray]:
     return out
 
 
-def encode(names: list[str], columns: list[np.ndarray], *, kind: str = "F", little: bool = True, bits: list[int] | None = None, extra: dict[str, str] | None = None, version: str = "FCS3.1", mark: str = "/") -> bytes:
-    """A file of these columns, for tests and export."""
-    n = len(names)
-    bits = bits or [64 if kind == "D" else 32] * n
+def header(names: list[str], events: int, *, kind: str = "F", little: bool = True, bits: list[int] | None = None, extra: dict[str, str] | None = None, version: str = "FCS3.1", mark: str = "/") -> bytes:
+    """HEADER and TEXT of a file of so many events; DATA follows them. Offsets that HEADER has no room for are in TEXT alone."""
+    bits = bits or [64 if kind == "D" else 32] * len(names)
+    size = events * sum(b // 8 for b in bits)
+    meta = {"$PAR": len(names), "$TOT": events, "$DATATYPE": kind, "$BYTEORD": LITTLE[0] if little else BIG[0], "$MODE": "L", "$NEXTDATA": 0}
+    for k, name in enumerate(names, 1):
+        meta |= {f"$P{k}N": name, f"$P{k}B": bits[k - 1], f"$P{k}R": 262144, f"$P{k}E": "0,0", f"$P{k}G": 1}
+    meta |= extra or {}
+    written = lambda more: (mark + "".join(f"{k}{mark}{str(v).replace(mark, mark * 2)}{mark}" for k, v in (meta | more).items())).encode()
+    raw = written({})
+    begin = 58 + len(raw)
+    at = (begin, begin + size - 1)
+    if at[1] > 99_999_999:
+        begin = 58 + len(written({"$BEGINDATA": "0" * 15, "$ENDDATA": "0" * 15}))
+        raw, at = written({"$BEGINDATA": f"{begin:015}", "$ENDDATA": f"{begin + size - 1:015}"}), (0, 0)
+    return (f"{version:<10}" + "".join(f"{x:>8}" for x in (58, begin - 1, *at, 0, 0))).encode() + raw
+
+
+def records(columns: list[np.ndarray], *, kind: str = "F", little: bool = True, bits: list[int] | None = None) -> bytes:
+    """DATA of these columns."""
+    bits = bits or [64 if kind == "D" else 32] * len(columns)
     parts = []
     for c, b in zip(columns, bits, strict=True):
         if kind == "I":
@@ -212,25 +239,23 @@ def encode(names: list[str], columns: list[np.ndarray], *, kind: str = "F", litt
             parts.append(raw[:, : b // 8] if little else raw[:, 8 - b // 8 :])
         else:
             parts.append(np.ascontiguousarray(np.asarray(c).astype(("<" if little else ">") + ("f4" if kind == "F" else "f8"))).view(np.uint8).reshape(len(c), -1))
-    data = np.concatenate(parts, axis=1).tobytes()
-    meta = {"$PAR": n, "$TOT": len(columns[0]), "$DATATYPE": kind, "$BYTEORD": LITTLE[0] if little else BIG[0], "$MODE": "L", "$NEXTDATA": 0}
-    for k, name in enumerate(names, 1):
-        meta |= {f"$P{k}N": name, f"$P{k}B": bits[k - 1], f"$P{k}R": 262144, f"$P{k}E": "0,0", f"$P{k}G": 1}
-    meta |= extra or {}
-    text = mark + "".join(f"{k}{mark}{str(v).replace(mark, mark * 2)}{mark}" for k, v in meta.items())
-    raw = text.encode()
-    d0 = 58 + len(raw)
-    return (f"{version:<10}" + "".join(f"{x:>8}" for x in (58, d0 - 1, d0, d0 + len(data) - 1, 0, 0))).encode() + raw + data
+    return np.concatenate(parts, axis=1).tobytes()
+
+
+def encode(names: list[str], columns: list[np.ndarray], *, kind: str = "F", little: bool = True, bits: list[int] | None = None, **more) -> bytes:
+    """A file of these columns, in memory."""
+    return header(names, len(columns[0]), kind=kind, little=little, bits=bits, **more) + records(columns, kind=kind, little=little, bits=bits)
 
 
-def _files(path: str) -> list[str]:
-    if "://" not in path:
-        return sorted(glob.glob(path)) if any(c in path for c in "*?[") else [path]
-    fs, inner = pyarrow.fs.FileSystem.from_uri(path)
+def _files(path: str) -> list[tuple[str, int]]:
+    """(file, size) of a file, the .fcs files of a directory, or those that a pattern of local names matches; -1: unknown size."""
+    if "://" not in path and any(c in path for c in "*?["):
+        return [(p, os.path.getsize(p)) for p in sorted(glob.glob(path))]
+    fs, inner = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
     info = fs.get_file_info(inner)
     if info.type == pyarrow.fs.FileType.Directory:
-        return sorted(path.rstrip("/") + "/" + posixpath.basename(f.path) for f in fs.get_file_info(pyarrow.fs.FileSelector(inner)) if f.path.lower().endswith(".fcs"))
-    return [path]
+        return sorted((path.rstrip("/") + "/" + posixpath.basename(f.path), f.size) for f in fs.get_file_info(pyarrow.fs.FileSelector(inner)) if f.path.lower().endswith(".fcs"))
+    return [(path, info.size if info.size is not None else -1)]
 
 
 def _open(path: str):
@@ -246,12 +271,17 @@ def _summary(path: str) -> Summary:
 
 
 @dataclass
-class EventRange(InputPartition):
+class FileCut(InputPartition):
+    """The records of a file that begin at the bytes first..last - 1; the first cut answers for the file's errors."""
+
     path: str
     first: int
     last: int
 
 
+ERROR = StructType([StructField("path", StringType()), StructField("code", StringType()), StructField("detail", StringType())])
+
+
 HEADER_SCHEMA = StructType([StructField("path", StringType()), StructField("sample_id", StringType()), StructField("version", StringType()), StructField("events", LongType()), StructField("labels", ArrayType(StringType())), StructField("eligibility", ArrayType(StringType())), StructField("metadata", MapType(StringType(), StringType())), StructField("error_code", StringType())])
 
 
@@ -268,18 +298,25 @@ class FcsSource(DataSource):
         return "fcs"
 
     def _labels(self) -> list[str]:
+        """The channels asked for. Else those of every file, whose headers are read here, one by one: for many files ask for
+        channels, or use load_events()."""
         wanted = [x.strip() for x in self.options.get("channels", "").split(",") if x.strip()]
         if wanted:
             return wanted
         seen: dict[str, None] = {}
-        for path in _files(self.options["path"]):
-            seen |= dict.fromkeys(_summary(path).labels)
+        for path, _ in _files(self.options["path"]):
+            try:
+                seen |= dict.fromkeys(_summary(path).labels)
+            except (FcsError, OSError):
+                if self.options.get("quarantine") != "true":
+                    raise
         return list(seen)
 
     def schema(self) -> StructType:
         if self.options.get("mode") == "header":
             return HEADER_SCHEMA
-        return StructType([StructField("sample_id", StringType()), StructField("event_index", LongType()), *(StructField(x, DoubleType()) for x in self._labels())])
+        error = [StructField("_error", ERROR)] if self.options.get("quarantine") == "true" else []
+        return StructType([StructField("sample_id", StringType()), StructField("event_index", LongType()), *(StructField(x, DoubleType()) for x in self._labels()), *error])
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return FcsReader(self.options, schema)
@@ -288,36 +325,63 @@ class FcsSource(DataSource):
 class FcsReader(DataSourceReader):
     def __init__(self, options, schema: StructType):
         self.options, self.schema = dict(options), schema
-        self.rows = int(options.get("events_per_partition", 1_000_000))
+        self.bytes = int(options.get("split_bytes", 64 << 20))
+        self.quarantine = options.get("quarantine") == "true" and options.get("mode") != "header"
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for path in _files(self.options["path"]):
-            if self.options.get("mode") == "header":
-                out.append(EventRange(path, 0, 0))
-                continue
-            n = _summary(path).events
-            out += [EventRange(path, k, min(k + self.rows, n)) for k in range(0, n, self.rows)]
-        return out or [EventRange("", 0, 0)]
+        for path, size in _files(self.options["path"]):
+            ends = [0] if self.options.get("mode") == "header" or size <= 0 else [*range(0, size, self.bytes)]
+            out += [FileCut(path, a, b) for a, b in zip(ends, [*ends[1:], 1 << 62], strict=True)]
+        return out or [FileCut("", 0, 0)]
 
-    def read(self, partition: EventRange) -> Iterator:
+    def read(self, partition: FileCut) -> Iterator:
         if not partition.path:
             return
         if self.options.get("mode") == "header":
             yield self._header(partition.path)
             return
-        s = _summary(partition.path)
-        labels = [f.name for f in self.schema.fields[2:]]
+        begun = False
+        try:
+            for batch in self._events(partition):
+                begun = True
+                yield batch
+        except (FcsError, OSError) as e:
+            if not self.quarantine:
+                raise
+            if partition.first == 0 or begun or not isinstance(e, FcsError):  # a bad header is told once, by the first cut
+                yield self._error(partition.path, getattr(e, "code", "FCS_UNREADABLE"), str(e))
+
+    def _events(self, cut: FileCut) -> Iterator[pa.RecordBatch]:
+        s = _summary(cut.path)
+        labels = [f.name for f in self.schema.fields[2:] if f.name != "_error"]
         have = {x: k for k, x in reversed(list(enumerate(s.labels)))}
         have |= {x: k for k, x in reversed(list(enumerate(s.names))) if x and x not in have}
-        f, _ = _open(partition.path)
+        lost = [x for x in labels if x not in have]
+        if lost and self.options.get("missing") == "error":
+            raise FcsError("FCS_CHANNEL_MISSING", ", ".join(lost))
+        first, last = (min(s.events, max(0, -(-(at - s.begin) // s.width))) for at in (cut.first, cut.last))
+        if first == last:
+            return
+        f, _ = _open(cut.path)
         step = max(1, (8 << 20) // s.width)
         with f:
-            for at in range(partition.first, partition.last, step):
-                n = min(step, partition.last - at)
-                columns = decode(f.read_at(n * s.width, s.begin + at * s.width), s, [have[x] for x in labels if x in have])
+            for at in range(first, last, step):
+                n = min(step, last - at)
+                raw = f.read_at(n * s.width, s.begin + at * s.width)
+                if len(raw) < n * s.width:
+                    raise FcsError("FCS_DATA_TRUNCATED", f"{len(raw)} of {n * s.width} bytes at event {at}")
+                columns = decode(raw, s, [have[x] for x in labels if x in have])
                 found = dict(zip([x for x in labels if x in have], columns, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([sample_name(partition.path)] * n), pa.array(np.arange(at, at + n)), *(pa.array(found[x]) if x in found else pa.nulls(n, pa.float64()) for x in labels)], names=[f.name for f in self.schema.fields])
+                values = [pa.array([sample_name(cut.path)] * n), pa.array(np.arange(at, at + n)), *(pa.array(found[x]) if x in found else pa.nulls(n, pa.float64()) for x in labels)]
+                yield self._batch(values + ([pa.nulls(n, to_arrow_type(ERROR))] if self.quarantine else []))
+
+    def _error(self, path: str, code: str, detail: str) -> pa.RecordBatch:
+        error = pa.array([{"path": path, "code": code, "detail": detail}], to_arrow_type(ERROR))
+        return self._batch([pa.array([sample_name(path)]), pa.nulls(1, pa.int64()), *[pa.nulls(1, pa.float64())] * (len(self.schema.fields) - 3), error])
+
+    def _batch(self, values: list[pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(values, names=[f.name for f in self.schema.fields])
 
     def _header(self, path: str) -> tuple:
         try:
@@ -325,3 +389,58 @@ class FcsReader(DataSourceReader):
         except (FcsError, OSError) as e:
             return (path, sample_name(path), None, None, None, None, None, getattr(e, "code", "FCS_UNREADABLE"))
         return (path, sample_name(path), s.version, s.events, s.labels, [eligibility(s, k) for k in range(len(s.labels))], s.metadata, None)
+
+
+def load_events(spark: SparkSession, path: str, channels: list[str] | None = None, *, missing: str = "null", split_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """(events, errors) of a cohort's files. Errors (path, code, detail) has a row for each file that can't be read; the others'
+    events are all there. Without channels, those of all readable headers, which tasks read."""
+    spark.dataSource.register(FcsSource)
+    if channels is None:
+        heads = spark.read.format("fcs").option("mode", "header").load(path)
+        found = heads.select(F.posexplode("labels").alias("at", "label")).groupBy("label").agg(F.min("at").alias("at"))
+        channels = [r.label for r in found.orderBy("at", "label").limit(MOST["parameters"] + 1).collect()]
+        if len(channels) > MOST["parameters"]:
+            raise FcsError("FCS_PARAMETER_LIMIT_EXCEEDED", "the files have too many different channels: name some")
+        if not channels:
+            channels = ["Time"]  # no file can be read: the errors say why
+    rows = spark.read.format("fcs").option("channels", ",".join(channels)).option("quarantine", "true").option("missing", missing).option("split_bytes", split_bytes).load(path)
+    return rows.where("_error IS NULL").drop("_error"), rows.where("_error IS NOT NULL").select("_error.*")
+
+
+def write_events(events: DataFrame, by: str, index: str, channels: list[str], folder: str) -> DataFrame:
+    """Writes a file of doubles per sample, named after it, and returns (sample, path, events), a row a file.
+
+    A task streams a sample's events, in order, into a file of another name, which it renames when all are there: a lost task
+    leaves no half-written file under the sample's name, and its repetition replaces what it wrote.
+    """
+    counts = events.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    rows = events.select(F.col(by).cast("string").alias("sample"), F.col(index).cast("long").alias("i"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(channels)])
+    whole = rows.join(counts.select(F.col(by).cast("string").alias("sample"), "_n"), "sample").select("sample", "_n", "i", *[f"c{k}" for k in range(len(channels))])
+    most = MOST["events"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder)
+        fs.create_dir(base, recursive=True)
+        now, out, temporary, left = None, None, "", 0
+        for batch in batches:
+            sample = np.asarray(batch.column(0).to_pylist(), object)
+            edges = [0, *(np.flatnonzero(sample[1:] != sample[:-1]) + 1).tolist(), len(sample)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if sample[a] != now:
+                    now, left = sample[a], batch.column(1)[a].as_py()
+                    if left > most:
+                        raise FcsError("FCS_EVENT_LIMIT_EXCEEDED", f"{now}: {left}")
+                    temporary = f"{base}/.{uuid.uuid4().hex}.tmp"
+                    out = fs.open_output_stream(temporary, compression=None)
+                    out.write(header(channels, left, kind="D"))
+                    total = left
+                out.write(records([batch.column(k)[a:b].to_numpy(zero_copy_only=False).astype(np.float64) for k in range(3, batch.num_columns)], kind="D"))
+                left -= b - a
+                if not left:
+                    out.close()
+                    fs.move(temporary, f"{base}/{now}.fcs")
+                    yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([f"{folder}/{now}.fcs"]), pa.array([total])], names=["sample", "path", "events"])
+
+    return whole.repartition("sample").sortWithinPartitions("sample", "i").mapInArrow(write, "sample string, path string, events long")

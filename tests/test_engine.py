@@ -110,7 +110,7 @@ def test_fcs_round_trip(spark, kind, little, bits):
             with open(os.path.join(d, name), "wb") as f:
                 f.write(fcs.encode(["DNA-A", "FSC/A", "Time"], columns, kind=kind, little=little, bits=bits))
         spark.dataSource.register(fcs.FcsSource)
-        got = spark.read.format("fcs").option("channels", "Time,DNA-A").option("events_per_partition", 20).load(d + "/*.fcs").where("sample_id = 'a'").orderBy("event_index").toPandas()
+        got = spark.read.format("fcs").option("channels", "Time,DNA-A").option("split_bytes", 200).load(d + "/*.fcs").where("sample_id = 'a'").orderBy("event_index").toPandas()
         assert np.allclose(got["Time"], columns[2]) and np.allclose(got["DNA-A"], columns[0]) and list(got["event_index"]) == list(range(50))
         head = spark.read.format("fcs").option("mode", "header").load(d + "/*.fcs").collect()
         assert [h.labels for h in head] == [["DNA-A", "FSC/A", "Time"]] * 2 and head[0].eligibility == ["linear"] * 3
