@@ -130,10 +130,14 @@ def near_duplicates(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: st
     links = written(pairs.join(left, "x").join(right, "y").select("x", "y", "vx", "vy", "mx", "my").mapInArrow(lean(rerank), "x long, y long, mx long, my long"), "links")
     degree = links.select(F.col("x").alias("rep"), F.col("my").alias("n")).unionByName(links.select(F.col("y").alias("rep"), F.col("mx").alias("n"))).groupBy("rep").agg(F.sum("n").alias("n"))
     forget(dealt)
-    found = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("rep"), "component")
+    found_table = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    found = found_table.select(F.col("node").alias("rep"), "component")
     least = found.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id"))
     reached = found.join(least, "component").select("rep", "component_id")
     by_class = classes.select("h1", "h2", "rep", "least", "mult").join(degree, "rep", "left").join(reached, "rep", "left").select("h1", "h2", (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    by_class = written(by_class, "linked")
+    for table in (found_table, links, classes):
+        forget(table)
     linked = usable.select("vec_id", "h1", "h2").join(by_class, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
