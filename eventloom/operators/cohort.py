@@ -32,8 +32,8 @@ def shared_regions(rows: DataFrame, by: str, order: str) -> DataFrame:
     for g in ("g1", "g2"):
         part = part.withColumns({f"{g}_c": (F.col(f"{g}_left") + F.col(f"{g}_right")) / (2 * F.col("range")), f"{g}_w": (F.col(f"{g}_right") - F.col(f"{g}_left")) / F.col("range")})
     out = rows.groupBy(by).agg(F.count(F.lit(1)).alias("samples"), F.min_by("range", order).alias("range")).where("samples >= 2")
-    for c in ("g1_c", "g1_w", "g2_c", "g2_w"):
-        out = out.join(quantiles(part, by, c, [0.5]).select(by, F.col("q").alias(c)), by)
+    middle = quantiles(part, by, ["g1_c", "g1_w", "g2_c", "g2_w"], [0.5]).groupBy(by).agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(c) for c in ("g1_c", "g1_w", "g2_c", "g2_w")])
+    out = out.join(middle, by)
     ends = [((F.col(f"{g}_c") + side * F.col(f"{g}_w") / 2) * F.col("range")).alias(f"{g}_{end}") for g in ("g1", "g2") for side, end in ((-1, "left"), (1, "right"))]
     return out.select(by, "samples", *ends).where("g1_left < g1_right AND g1_right <= g2_left AND g2_left < g2_right")
 

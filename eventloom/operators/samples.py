@@ -35,13 +35,13 @@ def spread(events: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def structural_mask(channels: dict[str, Column | float | None]) -> Column:
-    """Every present channel finite, from zero up, and below its ceiling if it has one."""
+    """Every present channel finite, from zero up, and below its ceiling if it has one: a number, or a column, null for none."""
     ok = F.lit(True)
     for name, ceiling in channels.items():
         x = F.col(name)
         one = is_finite(x) & (x >= 0)
         if ceiling is not None:
-            one = one & (x < ceiling)
+            one = one & F.coalesce(x < ceiling, F.lit(True))
         ok = ok & one
     return F.coalesce(ok, F.lit(False))
 

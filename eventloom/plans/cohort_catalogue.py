@@ -76,12 +76,6 @@ def region_draft_validation(spark, d):
     return table(spark, d, "part").withColumn("r", regions).select("p_partkey", F.array_join(F.array_sort(cohort.invalid_region_keys(F.col("r"))), ",").alias("invalid"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_size % 3 = 0 AND p_retailprice / 2000.0 >= 0.65")
-def share_eligibility(spark, d):
-    rows = table(spark, d, "part")
-    return rows.where(cohort.can_share(F.when(F.col("p_size") % 3 == 0, "detected").otherwise("ambiguous"), F.col("p_retailprice") / 2000.0)).select("p_partkey")
-
-
 _OUTCOME = "['converged_reportable', 'computed_nonconverged', 'detection_failed', 'fit_failed', 'cancelled', 'skipped']"
 
 
