@@ -6,9 +6,10 @@ import posixpath
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import calibration, qcrun, samples, statsplan
+from ..operators import calibration, qcrun, regions, samples, statsplan
 from ..operators.cohort import can_share
 from ..operators.qcrun import Filter
 from ..sources import fcs
@@ -194,3 +195,68 @@ def fit_all_outcomes(spark, d):
 @query(_FIT_ALL + " SELECT p_brand, count(*) AS attempted, count(*) FILTER (oc[1] = 'converged_reportable') AS success, count(*) FILTER (oc[1] IN ('computed_nonconverged', 'detection_failed', 'fit_failed')) AS failed, count(*) FILTER (oc[1] = 'skipped') AS skipped, count(*) FILTER (oc[1] = 'cancelled') AS cancelled, count(*) FILTER (shared) AS shared FROM o GROUP BY 1")
 def fit_all_accounting(spark, d):
     return calibration.accounted(calibration.fit_all(_proposals(spark, d), "p_brand", "p_partkey"), "p_brand")
+
+
+# ---------------------------------------------------------------- regions
+
+BINNED64 = f"""WITH {CYTO}, e AS (SELECT sample_id, min(dna_a) AS lo, max(dna_a) AS hi FROM cyto GROUP BY 1), q AS (SELECT sample_id, bin, lo + bin * ((hi - lo) / 64) AS "left", lo + (bin + 1) * ((hi - lo) / 64) AS "right" FROM e, generate_series(0, 63) t(bin)),
+ h AS (SELECT sample_id, least(floor((dna_a - lo) / ((hi - lo) / 64)), 63)::BIGINT AS bin, count(*) AS n FROM cyto JOIN e USING (sample_id) GROUP BY ALL), y AS (SELECT q.*, coalesce(n, 0)::DOUBLE AS y FROM q LEFT JOIN h USING (sample_id, bin)),
+ b AS (SELECT y.sample_id, y.bin, y."left" AS l, y."right" AS r, (y."left" + y."right") / 2 AS c, sum(exp(-0.5 * pow((o.bin - y.bin) / 2.0, 2)) * o.y) / sum(exp(-0.5 * pow((o.bin - y.bin) / 2.0, 2))) AS v FROM y JOIN y o ON o.sample_id = y.sample_id AND abs(o.bin - y.bin) <= 8 GROUP BY ALL),
+ nb AS (SELECT *, v > lag(v) OVER w AND v > lead(v) OVER w AS hill FROM b WINDOW w AS (PARTITION BY sample_id ORDER BY bin)),
+ pk AS (SELECT sample_id, 'g1' AS g, coalesce(arg_min(bin, (-v, bin)) FILTER (hill AND bin < 24), 8) AS p FROM nb GROUP BY 1 UNION ALL SELECT sample_id, 'g2', coalesce(arg_min(bin, (-v, bin)) FILTER (hill AND bin >= 24), 32) FROM nb GROUP BY 1),
+ m1 AS (SELECT sample_id, g, p, max(v) FILTER (bin = p) AS top, coalesce(min((v, bin)) FILTER (bin BETWEEN p - 24 AND p - 1), (max(v) FILTER (bin = p), p)) AS lb, coalesce(min((v, bin)) FILTER (bin BETWEEN p + 1 AND p + 24), (max(v) FILTER (bin = p), p)) AS rb FROM pk JOIN b USING (sample_id) GROUP BY sample_id, g, p),
+ m2 AS (SELECT *, greatest(lb[1], rb[1]) AS base, top - 0.5 * greatest(0, top - greatest(lb[1], rb[1])) AS level FROM m1),
+ m3 AS (SELECT m2.sample_id, g, p, top, base, level, max(bin) FILTER (v <= level AND bin <= p) AS a, min(bin) FILTER (v <= level AND bin >= p) AS z, sum(greatest(0, v - base)) FILTER (bin BETWEEN lb[2] AND rb[2]) AS area FROM m2 JOIN b USING (sample_id) GROUP BY ALL),
+ m4 AS (SELECT m3.*, CASE WHEN a IS NULL THEN 0 WHEN a = p THEN p ELSE a + CASE WHEN abs(a2.v - a1.v) < 1e-12 THEN 0.5 ELSE greatest(0, least(1, (level - a1.v) / (a2.v - a1.v))) END END AS lc,
+   CASE WHEN z IS NULL THEN 63 WHEN z = p THEN p ELSE z - CASE WHEN abs(z2.v - z1.v) < 1e-12 THEN 0.5 ELSE greatest(0, least(1, (level - z1.v) / (z2.v - z1.v))) END END AS rc
+   FROM m3 LEFT JOIN b a1 ON a1.sample_id = m3.sample_id AND a1.bin = a LEFT JOIN b a2 ON a2.sample_id = m3.sample_id AND a2.bin = a + 1 LEFT JOIN b z1 ON z1.sample_id = m3.sample_id AND z1.bin = z LEFT JOIN b z2 ON z2.sample_id = m3.sample_id AND z2.bin = z - 1),
+ mm AS (SELECT *, greatest(0.5, (p - lc) / sqrt(2 * ln(2))) AS sl, greatest(0.5, (rc - p) / sqrt(2 * ln(2))) AS sr FROM m4)"""
+
+
+def _smooth(spark, d):
+    h = samples.histogram(cyto_events(spark, d), "sample_id", "dna_a", 64)
+    return regions.smoothed(h.select("sample_id", "bin", "left", "right", F.col("count").cast("double").alias("y")), "sample_id")
+
+
+def _pairs(spark, d):
+    """The highest local maximum below bin 24 and from it on; the upper one counts as found in samples whose name has an even length."""
+    w = Window.partitionBy("sample_id").orderBy("bin")
+    hills = _smooth(spark, d).withColumn("hill", (F.col("smooth") > F.lag("smooth").over(w)) & (F.col("smooth") > F.lead("smooth").over(w)))
+    best = lambda inside, other: F.coalesce(F.min(F.when(F.col("hill") & inside, F.struct((-F.col("smooth")).alias("v"), "bin")))["bin"], F.lit(other).cast("long"))
+    one = hills.groupBy("sample_id").agg(best(F.col("bin") < 24, 8).alias("g1"), best(F.col("bin") >= 24, 32).alias("g2"))
+    return one.withColumns({"g1_found": F.lit(True), "g2_found": F.length("sample_id") % 2 == 0})
+
+
+@query(BINNED64 + " SELECT sample_id, g, p::BIGINT AS peak, round(greatest(0, top - base), 4) AS prominence, round(lc, 4) AS left_crossing, round(rc, 4) AS right_crossing, round(sl, 4) AS sigma_left, round(sr, 4) AS sigma_right, round(area, 4) AS area FROM mm")
+def peak_widths(spark, d):
+    each = _pairs(spark, d).select("sample_id", F.inline(F.array(*[F.struct(F.lit(g).alias("g"), F.col(g).alias("peak")) for g in ("g1", "g2")])))
+    found = regions.measured(_smooth(spark, d), each, "sample_id")
+    return found.select("sample_id", "g", "peak", *[_r(c, 4).alias(c) for c in ("prominence", "left_crossing", "right_crossing", "sigma_left", "sigma_right", "area")])
+
+
+_REGION_SQL = BINNED64 + """, w AS (SELECT sample_id, median(r - l) AS w, min(l) AS lo, max(r) AS hi FROM b GROUP BY 1),
+ j AS (SELECT a.sample_id, w.*, ca.c AS c1, cz.c AS c2, a.sl AS s1, length(a.sample_id) % 2 = 0 AS found2, CASE WHEN length(a.sample_id) % 2 = 0 THEN z.sr ELSE a.sl END AS s2 FROM mm a JOIN mm z ON z.sample_id = a.sample_id AND a.g = 'g1' AND z.g = 'g2' JOIN w ON w.sample_id = a.sample_id
+   JOIN b ca ON ca.sample_id = a.sample_id AND ca.bin = a.p JOIN b cz ON cz.sample_id = a.sample_id AND cz.bin = z.p),
+ k AS (SELECT *, greatest(lo, least(hi, c1 - greatest(1.5 * w, 2.75 * s1 * w))) AS l1, greatest(lo, least(hi, c1 + greatest(1.5 * w, 1.5 * s1 * w))) AS r1, greatest(lo, least(hi, c2 - greatest(1.5 * w, 1.5 * s2 * w))) AS l2, greatest(lo, least(hi, c2 + greatest(1.5 * w, 2.75 * s2 * w))) AS r2, (c1 + c2) / 2 AS mid FROM j),
+ region AS (SELECT sample_id, l1 AS g1_left, CASE WHEN r1 >= l2 THEN least(r1, mid) ELSE r1 END AS g1_right, CASE WHEN r1 >= l2 THEN greatest(l2, mid) ELSE l2 END AS g2_left, r2 AS g2_right, found2 FROM k)"""
+
+
+@query(_REGION_SQL + " SELECT sample_id, round(g1_left, 4) AS g1_left, round(g1_right, 4) AS g1_right, round(g2_left, 4) AS g2_left, round(g2_right, 4) AS g2_right, CASE WHEN found2 THEN 'detected' ELSE 'inferred' END AS g2_source FROM region")
+def region_proposal(spark, d):
+    found = regions.proposed(_smooth(spark, d), _pairs(spark, d), "sample_id")
+    return found.select("sample_id", *[_r(c, 4).alias(c) for c in ("g1_left", "g1_right", "g2_left", "g2_right")], "g2_source")
+
+
+@query(_REGION_SQL + """, rg AS (SELECT sample_id, 'g1' AS label, g1_left AS a, g1_right AS z, 'left' AS clean FROM region UNION ALL SELECT sample_id, 'g2', g2_left, g2_right, 'right' FROM region),
+ i AS (SELECT rg.*, b.bin, b.c, b.v FROM rg JOIN b ON b.sample_id = rg.sample_id AND b.c BETWEEN a AND z),
+ t AS (SELECT sample_id, label, a, z, clean, arg_min(bin, (-v, bin)) AS p, max(v) AS top, arg_min(c, (-v, bin)) AS mean, min(bin) AS f, max(bin) AS e, arg_min(v, bin) AS vf, arg_max(v, bin) AS ve FROM i GROUP BY ALL),
+ s AS (SELECT t.*, max(bin) FILTER (bin < p AND v <= 0.5 * top) AS lx, min(bin) FILTER (bin > p AND v <= 0.5 * top) AS rx, sum(greatest(0, v - (vf + (bin - f) / greatest(1, e - f) * (ve - vf)))) AS s0,
+   sum(greatest(0, v - (vf + (bin - f) / greatest(1, e - f) * (ve - vf))) * (c - mean)) AS s1, sum(greatest(0, v - (vf + (bin - f) / greatest(1, e - f) * (ve - vf))) * (c - mean) * (c - mean)) AS s2 FROM t JOIN i USING (sample_id, label) GROUP BY ALL),
+ x AS (SELECT s.*, w, CASE WHEN clean = 'right' THEN rx - p ELSE p - lx END / sqrt(-2 * ln(0.5)) * w AS flank, CASE WHEN s0 > 1e-12 THEN sqrt(greatest(1e-12, s2 / s0 - pow(s1 / s0, 2))) END AS moment FROM s JOIN w USING (sample_id)),
+ u AS (SELECT *, CASE WHEN flank > 0 THEN flank WHEN moment > 0 THEN moment ELSE greatest(w, (z - a) / 4) END AS sigma, CASE WHEN flank > 0 THEN 'flank' WHEN moment > 0 THEN 'moment' ELSE 'span' END AS method FROM x)
+ SELECT sample_id, label, p::BIGINT AS peak, round(mean, 4) AS mean, round(sigma, 4) AS sigma, round(sigma / mean, 4) AS cv, round(greatest(1, greatest(0, top - least(vf, ve)) * sqrt(2 * pi()) * sigma / w), 3) AS area, method FROM u""")
+def region_estimate(spark, d):
+    found = regions.proposed(_smooth(spark, d), _pairs(spark, d), "sample_id")
+    each = found.select("sample_id", F.inline(F.array(*[F.struct(F.lit(g).alias("label"), F.col(f"{g}_left").alias("left"), F.col(f"{g}_right").alias("right"), F.lit(side).alias("clean")) for g, side in (("g1", "left"), ("g2", "right"))])))
+    out = regions.estimated(_smooth(spark, d), each, "sample_id")
+    return out.select("sample_id", "label", "peak", *[_r(c, 4).alias(c) for c in ("mean", "sigma", "cv")], _r("area", 3).alias("area"), "method")
