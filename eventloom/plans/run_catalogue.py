@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import calibration, qcrun, regions, samples, statsplan
 from ..operators.cohort import can_share
 from ..operators.qcrun import Filter
-from ..sources import fcs
+from ..sources import fcs, session
 from ..sources.scratch import scratch
 from .catalogue import _r, query
 from .cohort_catalogue import REGIONS, _regions
@@ -260,3 +260,30 @@ def region_estimate(spark, d):
     each = found.select("sample_id", F.inline(F.array(*[F.struct(F.lit(g).alias("label"), F.col(f"{g}_left").alias("left"), F.col(f"{g}_right").alias("right"), F.lit(side).alias("clean")) for g, side in (("g1", "left"), ("g2", "right"))])))
     out = regions.estimated(_smooth(spark, d), each, "sample_id")
     return out.select("sample_id", "label", "peak", *[_r(c, 4).alias(c) for c in ("mean", "sigma", "cv")], _r("area", 3).alias("area"), "method")
+
+
+# ---------------------------------------------------------------- sessions
+
+
+@query("""SELECT c_name AS name, c_mktsegment AS segment, c_nationkey::VARCHAR AS nation, CASE WHEN c_custkey % 4 = 0 THEN round(1.0 + c_custkey % 50, 2)::DOUBLE END AS g1_left, c_custkey % 3 = 0 AS selected FROM customer""")
+def session_restore(spark, d):
+    """A session of a file per customer, collected into its document and restored from it."""
+    k = F.col("c_custkey")
+    files = table(spark, d, "customer").select(F.col("c_name").alias("name"), "c_mktsegment", "c_nationkey", k)
+    cells = files.select("name", F.inline(F.array(F.struct(F.lit("segment").alias("field"), F.col("c_mktsegment").alias("value")), F.struct(F.lit("nation").alias("field"), F.col("c_nationkey").cast("string").alias("value")))))
+    left = 1.0 + k % 50
+    tables = {
+        "files": files.select("name", k.cast("long").alias("size")), "metadata": cells,
+        "metadata_columns": spark.createDataFrame([("segment", "Segment", ""), ("nation", "Nation", "")], session.SCHEMAS["metadata_columns"]),
+        "modeling": files.where(k % 4 == 0).select("name", F.lit("auto").alias("model"), left.alias("g1_left"), (left + 5).alias("g1_right"), (left + 9).alias("g2_left"), (left + 12).alias("g2_right")),
+        "table": files.where(k % 3 == 0).select(F.col("name").alias("selected")),
+    }
+    folder = scratch(spark, "session")
+    done = session.restore(spark, session.collected(tables), folder)
+    if done.status != "restored":
+        raise RuntimeError(done.reason)
+    read = lambda s: session.restored(spark, folder, s)
+    pick = lambda f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
+    wide = read("metadata").groupBy("name").agg(pick("segment"), pick("nation"))
+    chosen = read("table").select(F.col("selected").alias("name"), F.lit(True).alias("selected"))
+    return wide.join(read("modeling").select("name", "g1_left"), "name", "left").join(chosen, "name", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
