@@ -14,20 +14,20 @@ def linked(records: DataFrame, files: DataFrame, key: str, record_order: str, fi
     """records with file (the linked file's `file_order`) and link: matched, duplicate (an earlier record has the file),
     unmatched, or empty (no key). The first file of a key counts, and each is linked once."""
     first = files.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.min(file_order).alias("file"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(record_order))
-    joined = records.withColumn("_rank", rank).join(first, key, "left")
+    own = records.groupBy(key).agg(F.min(record_order).alias("_own"))  # the record that may have the file
+    joined = records.join(own.join(first, key), key, "left")
     empty = F.col(key).isNull() | (F.col(key) == "")
-    link = F.when(empty, "empty").when(F.col("file").isNull(), "unmatched").when(F.col("_rank") > 1, "duplicate").otherwise("matched")
-    return joined.withColumn("link", link).withColumn("file", F.when(F.col("link") == "matched", F.col("file"))).drop("_rank")
+    link = F.when(empty, "empty").when(F.col("file").isNull(), "unmatched").when(F.col(record_order) != F.col("_own"), "duplicate").otherwise("matched")
+    return joined.withColumn("link", link).withColumn("file", F.when(F.col("link") == "matched", F.col("file"))).drop("_own")
 
 
 def late_linked(table: DataFrame, arrived: DataFrame, key: str, order: str, file: str = "file") -> DataFrame:
     """table in which the first unlinked row of each key takes the file that arrived under it (key, new_file)."""
     open_ = F.col(file).isNull()
-    rank = F.sum(open_.cast("int")).over(Window.partitionBy(key).orderBy(order))
+    first = table.where(open_).groupBy(key).agg(F.min(order).alias("_first"))
     come = arrived.groupBy(key).agg(F.min("new_file").alias("new_file"))
-    joined = table.withColumn("_rank", rank).join(come, key, "left")
-    return joined.withColumn(file, F.when(open_ & (F.col("_rank") == 1), F.col("new_file")).otherwise(F.col(file))).drop("_rank", "new_file")
+    joined = table.join(first.join(come, key), key, "left")
+    return joined.withColumn(file, F.when(open_ & (F.col(order) == F.col("_first")), F.col("new_file")).otherwise(F.col(file))).drop("_first", "new_file")
 
 
 def overlaid(table: DataFrame, saved: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -407,8 +407,8 @@ def gmm_gate(spark, d):
 @query()
 def ridge_fit(spark, d):
     events = pulse_events(spark, d)
-    fits = gates.fit_singlets(events, "sample_id", "dna_a", "dna_h")
-    return gates.apply_singlets(events, fits, "sample_id", "dna_a", "dna_h").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("singlet_ok").alias("kept"), F.first("singlet_status").alias("status"))
+    fits = gates.fit_singlets(events, "sample_id", "dna_a", "dna_w")
+    return gates.apply_singlets(events, fits, "sample_id", "dna_a", "dna_w").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("singlet_ok").alias("kept"), F.first("singlet_status").alias("status"))
 
 
 def _arrays(spark, d):
@@ -460,11 +460,11 @@ def bin_event_rate(spark, d):
 
 
 @query("""WITH t AS (SELECT doc_id AS ord, lang AS key, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS file FROM documents), a AS (SELECT 'en' AS key, -1 AS nf UNION ALL SELECT 'de', -2),
- r AS (SELECT *, sum(CASE WHEN file IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ord) AS k FROM t) SELECT ord, coalesce(file, CASE WHEN k = 1 THEN nf END)::BIGINT AS file FROM r LEFT JOIN a USING (key) WHERE file IS NOT NULL OR (k = 1 AND nf IS NOT NULL)""")
+ r AS (SELECT *, sum(CASE WHEN file IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ord) AS k FROM t) SELECT ord, coalesce(file, CASE WHEN k = 1 THEN nf END)::BIGINT AS file FROM r LEFT JOIN a USING (key)""")
 def late_link(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("lang").alias("key"), F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).alias("file"))
     arrived = spark.sql("SELECT * FROM VALUES ('en', -1L), ('de', -2L) t(key, new_file)")
-    return metadata.late_linked(rows, arrived, "key", "ord").where("file IS NOT NULL").select("ord", "file")
+    return metadata.late_linked(rows, arrived, "key", "ord").select("ord", "file")
 
 
 @query(r"SELECT c_custkey, row_number() OVER (ORDER BY coalesce(try_cast(nullif(regexp_extract(t, '^\s*([-+]?[0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE), 1e308), c_custkey) AS rank FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'late' ELSE (c_custkey % 50)::VARCHAR || ' h' END AS t FROM customer)")

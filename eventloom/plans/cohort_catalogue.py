@@ -68,11 +68,11 @@ def shared_regions(spark, d):
     return cohort.shared_regions(_regions(spark, d), "p_brand", "p_partkey").select("p_brand", "samples", *[_r(c).alias(c) for c in ("g1_left", "g1_right", "g2_left", "g2_right")])
 
 
-@query("""SELECT p_partkey, array_to_string(list_distinct(list_concat(CASE WHEN l1 >= r1 THEN ['g1_left', 'g1_right'] ELSE [] END, CASE WHEN r1 > l2 THEN ['g1_right', 'g2_left'] ELSE [] END)).list_sort(), ',') AS invalid
- FROM (SELECT p_partkey, (p_partkey % 7)::DOUBLE AS l1, 4.0 AS r1, (p_partkey % 5)::DOUBLE AS l2 FROM part)""")
+@query("""SELECT p_partkey, array_to_string(list_distinct(list_concat(CASE WHEN l1 >= r1 THEN ['g1_left', 'g1_right'] ELSE [] END, CASE WHEN l2 >= r2 THEN ['g2_left', 'g2_right'] ELSE [] END, CASE WHEN r1 > l2 THEN ['g1_right', 'g2_left'] ELSE [] END)).list_sort(), ',') AS invalid
+ FROM (SELECT p_partkey, (p_partkey % 7)::DOUBLE AS l1, 4.0 AS r1, (p_partkey % 5)::DOUBLE AS l2, (p_partkey % 3 * 3)::DOUBLE AS r2 FROM part)""")
 def region_draft_validation(spark, d):
     k = F.col("p_partkey")
-    regions = F.struct((k % 7).cast("double").alias("g1_left"), F.lit(4.0).alias("g1_right"), (k % 5).cast("double").alias("g2_left"), F.lit(9.0).alias("g2_right"))
+    regions = F.struct((k % 7).cast("double").alias("g1_left"), F.lit(4.0).alias("g1_right"), (k % 5).cast("double").alias("g2_left"), (k % 3 * 3).cast("double").alias("g2_right"))
     return table(spark, d, "part").withColumn("r", regions).select("p_partkey", F.array_join(F.array_sort(cohort.invalid_region_keys(F.col("r"))), ",").alias("invalid"))
 
 

@@ -9,7 +9,7 @@ import pyarrow.fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import calibration, qcrun, regions, samples, statsplan
+from ..operators import calibration, preflight, qcrun, regions, samples, statsplan
 from ..operators.cohort import can_share
 from ..operators.qcrun import Filter
 from ..sources import fcs, session
@@ -287,3 +287,33 @@ def session_restore(spark, d):
     wide = read("metadata").groupBy("name").agg(pick("segment"), pick("nation"))
     chosen = read("table").select(F.col("selected").alias("name"), F.lit(True).alias("selected"))
     return wide.join(read("modeling").select("name", "g1_left"), "name", "left").join(chosen, "name", "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
+# ---------------------------------------------------------------- preflight
+
+_PREFLIGHT = f"""WITH {LOTS}, e AS (SELECT sample_id, min(dna_a) AS lo, max(dna_a) AS hi FROM lots GROUP BY 1), h AS (SELECT sample_id, least(floor((dna_a - lo) / ((hi - lo) / 32)), 31)::BIGINT AS bin, lo, hi, count(*) AS n FROM lots JOIN e USING (sample_id) WHERE sample_id % 21 > 0 GROUP BY ALL),
+ s AS (SELECT s_suppkey AS k, 20000.0 + s_suppkey % 7 * 100 AS a, 30000.0 AS b, CASE WHEN s_suppkey % 13 = 0 THEN 29000.0 ELSE 60000.0 END AS c, CASE WHEN s_suppkey % 17 = 0 THEN 60100.0 ELSE 80000.0 END AS d, s_suppkey % 11 > 0 AS placed FROM supplier),
+ f AS (SELECT sample_id, sum(n) AS retained, count(*) AS nonempty, sum(n) FILTER (lo + (bin + 0.5) * ((hi - lo) / 32) BETWEEN a AND b) AS g1, sum(n) FILTER (lo + (bin + 0.5) * ((hi - lo) / 32) BETWEEN c AND d) AS g2 FROM h JOIN s ON k = sample_id GROUP BY 1),
+ r AS (SELECT k, sample_id IS NOT NULL AS found, retained, nonempty, coalesce(g1, 0) AS g1, coalesce(g2, 0) AS g2, placed, c, d FROM s LEFT JOIN f ON k = sample_id)
+ SELECT k AS sample_id, array_to_string(list_sort(list_distinct(list_filter([CASE WHEN NOT found THEN 'histogram_missing' END, CASE WHEN found AND k % 9 * 0.04 > 0.25 THEN 'dna_ineligible' END, CASE WHEN found AND k % 6 = 0 THEN 'histogram_stale' END, CASE WHEN NOT placed THEN 'regions_missing' END,
+   CASE WHEN placed AND (30000.0 > c OR c >= d) THEN 'constraint_invalid' END, CASE WHEN placed AND k % 5 = 0 THEN 'regions_unreviewed' END, CASE WHEN k % 19 = 0 THEN 'regions_stale' END, CASE WHEN k % 23 = 0 THEN 'dna_ineligible' END, CASE WHEN k % 29 = 0 THEN 'logarithmic' END,
+   CASE WHEN k % 29 > 0 AND k % 31 = 0 THEN 'fcs_transform_state_invalid' END, CASE WHEN found AND retained < 100 THEN 'events_insufficient' END, CASE WHEN found AND nonempty < 5 THEN 'histogram_support_insufficient' END, CASE WHEN found AND placed AND least(g1, g2) < 10 THEN 'peak_support_insufficient' END,
+   CASE WHEN k % 4 = 1 OR k % 8 = 2 THEN 'qc_not_passed' END, CASE WHEN k % 10 = 7 THEN 'qc_critical_removal' END, CASE WHEN k % 37 = 0 THEN 'configuration_invalid' END], lambda x: x IS NOT NULL))), ',') AS reasons, coalesce(retained, 0)::BIGINT AS retained FROM r"""
+
+
+@query(_PREFLIGHT)
+def preflight_reasons(spark, d):
+    """Every reason against a fit of each supplier's lots."""
+    bins = samples.histogram(_lots(spark, d).where(F.col("sample_id") % 21 > 0), "sample_id", "dna_a", 32)
+    k = F.col("s_suppkey")
+    ends = F.struct((20000.0 + k % 7 * 100).alias("g1_left"), F.lit(30000.0).alias("g1_right"), F.when(k % 13 == 0, 29000.0).otherwise(60000.0).alias("g2_left"), F.when(k % 17 == 0, 60100.0).otherwise(80000.0).alias("g2_right"))
+    stage = lambda name, required, status, percent: F.struct(F.lit(name).alias("name"), F.lit(required).alias("required"), status.alias("status"), percent.cast("double").alias("percent"), F.lit(False).alias("acknowledged"))
+    qc = F.array(stage("structural", True, F.when(k % 4 == 1, "degraded").otherwise("applied"), F.lit(10)), stage("time", False, F.when(k % 8 == 2, "failed").otherwise("skipped"), F.when(k % 10 == 7, 60).otherwise(1)))
+    rows = table(spark, d, "supplier").select(
+        k.alias("sample_id"), F.lit(100).alias("mask_retained"), (k % 9 * 4).alias("rejected"), F.when(k % 11 > 0, ends).alias("regions"), (k % 5 > 0).alias("reviewed"), (k % 19 == 0).alias("stale"),
+        F.when(k % 23 > 0, "DNA-A").alias("channel"), F.when(k % 29 == 0, "logarithmic").otherwise("linear").alias("eligibility"), F.when(k % 31 == 0, 1).otherwise(0).alias("transforms"), qc.alias("qc"),
+        F.create_map(F.lit("cv"), F.when(k % 37 > 0, 0.05).otherwise(float("nan"))).alias("config"),
+    )
+    known = preflight.histogram_fingerprint(bins, "sample_id").withColumn("seen_fingerprint", F.when(F.col("sample_id") % 6 == 0, "old").otherwise(F.col("fingerprint"))).drop("fingerprint")
+    found = preflight.preflight(bins, rows.join(known, "sample_id", "left"), "sample_id")
+    return found.select("sample_id", F.array_join(F.array_sort("reasons"), ",").alias("reasons"), "retained")

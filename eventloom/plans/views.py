@@ -21,8 +21,8 @@ def cyto_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pulse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as events of several channels."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sample_id"), F.col("l_extendedprice").alias("dna_a"), F.col("l_quantity").alias("dna_h"), F.col("l_discount").alias("fsc_a"), F.col("l_tax").alias("ssc_a"))
+    """lineitem as events of several channels; dna_w follows dna_a."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sample_id"), F.col("l_extendedprice").alias("dna_a"), F.col("l_quantity").alias("dna_h"), F.col("l_discount").alias("fsc_a"), F.col("l_tax").alias("ssc_a"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("dna_w"))
 
 
 CYTO = """cyto AS (SELECT event_type AS sample_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS event_index,
