@@ -3,8 +3,9 @@
 A pre-token here is a maximal run without ASCII white space: a tokenizer whose pre-tokenizer drops white space gives a text the
 tokens of its pre-tokens, one after another. The first pass counts pre-tokens in each task and sends only the task's most
 frequent ones; the driver encodes the most frequent of all and broadcasts their lengths, a table of at most table_rows entries.
-The second pass looks pre-tokens up there, then in a cache of the worker, and encodes what neither has. Pre-tokens themselves
-are never shuffled, and no result depends on what the table or a cache holds.
+The second pass looks pre-tokens up there, then in a cache of the worker, and encodes what neither has. What is shuffled is each
+task's summary, sent_rows pre-tokens with counts at most, to be added up for the table; the pre-tokens of texts never are, and no
+result depends on what the table or a cache holds.
 """
 
 from __future__ import annotations
