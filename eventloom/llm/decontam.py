@@ -1,7 +1,7 @@
 """Benchmark decontamination with a positional inverted index of the documents, in DataFrame operations.
 
 The index stores, for each document and each term that the benchmark has, the rising list of the term's places. It is a table bucketed
-by (document, term) and sorted, with delta-coded lists, so that a list is joined to where it lies: the index is written once and not
+by (document, term) with delta-coded lists, so that a list is joined to where it lies: the index is written once and not
 shuffled again, and the lists of a frequent term are spread over all buckets by document. Of each benchmark phrase the two rarest
 terms, by the counts that the index itself gives, are sought: their lists, each shifted by the term's offset in the item, are
 intersected. What is left are the places at which the item may lie; there the lists of its other terms are intersected in the same
@@ -49,10 +49,11 @@ class Index:
         self.fits = size <= broadcast_bytes
         vocabulary = self.items.select(F.explode("terms").alias("term")).distinct()
         tokens = docs.select(*document_key(doc_id, text), F.posexplode(words(F.col(text))).alias("p", "term"))
-        lists = tokens.join(self._small(vocabulary), "term").groupBy(*DOCUMENT, "term").agg(F.array_sort(F.array_distinct(F.collect_list("p"))).alias("at"))
+        # k decides nearly every comparison of keys in sorts at once, in one number
+        lists = tokens.join(self._small(vocabulary), "term").groupBy(F.xxhash64(*DOCUMENT, "term").alias("k"), *DOCUMENT, "term").agg(F.array_sort(F.array_distinct(F.collect_list("p"))).alias("at"))
         self._name, self._path = f"postings_{uuid.uuid4().hex}", f"{shared_dir(self.spark).rstrip('/')}/postings-{uuid.uuid4().hex}"
-        buckets, keys = int(self.spark.conf.get("spark.sql.shuffle.partitions")), [*DOCUMENT, "term"]
-        lists.write.format("parquet").option("path", self._path).option("parquet.writer.version", "PARQUET_2_0").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(self._name)
+        buckets, keys = int(self.spark.conf.get("spark.sql.shuffle.partitions")), ["k", *DOCUMENT, "term"]
+        lists.write.format("parquet").option("path", self._path).option("parquet.writer.version", "PARQUET_2_0").bucketBy(buckets, *keys).saveAsTable(self._name)
         self.postings = self.spark.table(self._name)
         counts = self.postings.groupBy("term").agg(F.sum(F.size("at")).alias("df"))
         places = self.items.select("i", "n", F.posexplode("terms").alias("q", "term")).join(counts, "term")
@@ -71,8 +72,10 @@ class Index:
 
     def _lists(self, rows: DataFrame, term: str, name: str) -> DataFrame:
         """rows(doc, th, term, ...) with the list of that term in that document as `name`; without it, the row goes."""
-        own = self.postings.select(*[F.col(c).alias(f"_{c}") for c in (*DOCUMENT, "term")], F.col("at").alias(name))
-        return rows.join(own, (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")) & (F.col(term) == F.col("_term"))).drop("_doc", "_th", "_term")
+        own = self.postings.select(*[F.col(c).alias(f"_{c}") for c in ("k", *DOCUMENT, "term")], F.col("at").alias(name))
+        # what is asked for is hashed, a bucket's share at a time, and the index streams past it, neither shuffled nor sorted
+        asked = rows.withColumn("k", F.xxhash64(*DOCUMENT, term)).hint("shuffle_hash")
+        return asked.join(own, (F.col("k") == F.col("_k")) & (F.col("doc") == F.col("_doc")) & (F.col("th") == F.col("_th")) & (F.col(term) == F.col("_term"))).drop("k", "_k", "_doc", "_th", "_term")
 
     def starts(self) -> DataFrame:
         """(doc, th, i, starts): where item i may start in a document, by the two rarest terms of some phrase."""
