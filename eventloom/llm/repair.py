@@ -34,6 +34,8 @@ AFTER = {"s": (1, None, None, None), "u": (2, 2, None, 2), "a": (None, None, 3,
 ROLE = ("user", "user", "assistant", "user")  # what an inserted or reroled turn is in each state
 NEXT = (2, 2, 3, 2)
 BLOCK, FAN = 12, 6  # bits: turns of a block, matrices merged at once
+#: Rows of the table of repeated hashes that are broadcast at most, some 24 bytes each; beyond, the join shuffles the turns.
+MOST_BROADCAST = 500_000
 
 Entry = tuple[int, str] | None
 Matrix = tuple[Entry, ...]
@@ -168,7 +170,8 @@ def in_order(turns: DataFrame) -> DataFrame:
     base = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), blank("role"), blank("text")).withColumn("h", F.xxhash64("role", "text"))
     # only turns whose hash comes more than once in a conversation are compared by text
     many = base.groupBy("conv_id", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("conv_id").alias("c"), F.col("h").alias("g"), F.lit(True).alias("many"))
-    marked = base.join(many, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("g")), "left")
+    many = written(many, "repeated")
+    marked = base.join(F.broadcast(many) if many.count() <= MOST_BROADCAST else many, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("h") == F.col("g")), "left")
     alone = marked.where("many IS NULL").select("conv_id", "turn", "role", "text", F.lit(1).cast("long").alias("n"), F.lit(True).alias("fresh"))
     equal = marked.where("many").groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
     first = equal.groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("text").alias("t")).agg(F.min(F.struct(F.col("turn").isNotNull(), "turn"))["turn"].alias("first"))

@@ -67,7 +67,9 @@ def conversations(n=60, most=4):
     return {k: [(rnd.choice([None, *range(6)]), rnd.choice(roles), rnd.choice(texts)) for _ in range(rnd.randint(1, most))] for k in [None, *range(n)]}
 
 
-def test_equals_trying_every_edit(spark):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_equals_trying_every_edit(spark, monkeypatch, most):
+    monkeypatch.setattr(repair, "MOST_BROADCAST", most)
     rows = conversations()
     df = spark.createDataFrame([(c, *t) for c, turns in rows.items() for t in turns], SCHEMA)
     every = spark.createDataFrame([(c,) for c in [*rows, 1000]], "conv_id long")
