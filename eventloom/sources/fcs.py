@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_type
@@ -412,16 +412,19 @@ def write_events(events: DataFrame, by: str, index: str, channels: list[str], fo
 
     A task streams a sample's events, in order, into a file of another name, which it renames when all are there: a lost task
     leaves no half-written file under the sample's name, and its repetition replaces what it wrote.
+
+    A window, not a repartition, brings a sample together: of a repartition after a join by the same key nothing may be left in the
+    plan, and then adaptive execution is free to split a sample over tasks. That a sample is whole and in order is checked.
     """
     counts = events.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
     rows = events.select(F.col(by).cast("string").alias("sample"), F.col(index).cast("long").alias("i"), *[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(channels)])
-    whole = rows.join(counts.select(F.col(by).cast("string").alias("sample"), "_n"), "sample").select("sample", "_n", "i", *[f"c{k}" for k in range(len(channels))])
+    whole = rows.join(counts.select(F.col(by).cast("string").alias("sample"), "_n"), "sample").select("sample", "_n", F.row_number().over(Window.partitionBy("sample").orderBy("i")).alias("_at"), *[f"c{k}" for k in range(len(channels))])
     most = MOST["events"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), folder)
         fs.create_dir(base, recursive=True)
-        now, out, temporary, left = None, None, "", 0
+        now, out, temporary, left, total = None, None, "", 0, 0
         for batch in batches:
             sample = np.asarray(batch.column(0).to_pylist(), object)
             edges = [0, *(np.flatnonzero(sample[1:] != sample[:-1]) + 1).tolist(), len(sample)]
@@ -436,11 +439,15 @@ def write_events(events: DataFrame, by: str, index: str, channels: list[str], fo
                     out = fs.open_output_stream(temporary, compression=None)
                     out.write(header(channels, left, kind="D"))
                     total = left
+                if batch.column(2)[a].as_py() != total - left + 1:
+                    raise FcsError("FCS_DATA_LENGTH_MISMATCH", f"{now}: events are not in one task or not in order")
                 out.write(records([batch.column(k)[a:b].to_numpy(zero_copy_only=False).astype(np.float64) for k in range(3, batch.num_columns)], kind="D"))
                 left -= b - a
                 if not left:
                     out.close()
                     fs.move(temporary, f"{base}/{now}.fcs")
                     yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([f"{folder}/{now}.fcs"]), pa.array([total])], names=["sample", "path", "events"])
+        if left:
+            raise FcsError("FCS_DATA_LENGTH_MISMATCH", f"{now}: {left} events are missing")
 
-    return whole.repartition("sample").sortWithinPartitions("sample", "i").mapInArrow(write, "sample string, path string, events long")
+    return whole.mapInArrow(write, "sample string, path string, events long")

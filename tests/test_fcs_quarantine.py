@@ -68,3 +68,24 @@ def test_offsets_that_do_not_fit_the_header():
     raw = fcs.header(["A"] * 4, 5_000_000, kind="D")
     s = fcs.summarize(lambda at, n: raw[at : at + n], len(raw) + 5_000_000 * 32)
     assert (s.begin, s.end) == (len(raw), len(raw) + 5_000_000 * 32 - 1)
+
+
+def test_samples_are_written_whole_whatever_becomes_of_the_shuffle(spark, tmp_path):
+    """The counts are broadcast once they are seen to be few: nothing else than the writer then asks for a sample in one task."""
+    rows = spark.range(0, 40_000, 1, 8).select((F.col("id") % 3).cast("string").alias("s"), F.floor(F.col("id") / 3).alias("i"), F.col("id").cast("double").alias("x"))
+    rows = rows.repartition(8, "i")
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        files = fcs.write_events(rows, "s", "i", ["x"], f"file://{tmp_path}/f")
+        plan = files._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert "MapInArrow" in plan[0] and any("Window" in line for line in plan[1:3])  # which asks for whole samples; a repartition doesn't
+        written = files.collect()
+        assert sorted((r["sample"], r["events"]) for r in written) == [("0", 13334), ("1", 13333), ("2", 13333)]
+        events, errors = fcs.load_events(spark, f"file://{tmp_path}/f")
+        assert errors.count() == 0 and events.where("x <> event_index * 3 + cast(sample_id as int)").count() == 0 and events.count() == 40_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        for k in list(conf)[1:]:
+            spark.conf.unset(k)
