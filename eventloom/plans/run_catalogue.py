@@ -267,7 +267,7 @@ def region_estimate(spark, d):
 
 @query("""SELECT c_name AS name, c_mktsegment AS segment, c_nationkey::VARCHAR AS nation, CASE WHEN c_custkey % 4 = 0 THEN round(1.0 + c_custkey % 50, 2)::DOUBLE END AS g1_left, c_custkey % 3 = 0 AS selected FROM customer""")
 def session_restore(spark, d):
-    """A session of a file per customer, collected into its document and restored from it."""
+    """A session of a file per customer, collected into its document, in parts, and restored from it."""
     k = F.col("c_custkey")
     files = table(spark, d, "customer").select(F.col("c_name").alias("name"), "c_mktsegment", "c_nationkey", k)
     cells = files.select("name", F.inline(F.array(F.struct(F.lit("segment").alias("field"), F.col("c_mktsegment").alias("value")), F.struct(F.lit("nation").alias("field"), F.col("c_nationkey").cast("string").alias("value")))))
@@ -279,7 +279,7 @@ def session_restore(spark, d):
         "table": files.where(k % 3 == 0).select(F.col("name").alias("selected")),
     }
     folder = scratch(spark, "session")
-    done = session.restore(spark, session.collected(tables), folder)
+    done = session.restore_parts(spark, session.collected_parts(tables, scratch(spark, "document")), folder)
     if done.status != "restored":
         raise RuntimeError(done.reason)
     read = lambda s: session.restored(spark, folder, s)

@@ -4,6 +4,9 @@ Restoring stages every section as a table of its own version: rows are typed, ch
 sections by joins, and written. Only when all are there a pointer file is renamed into place, which names the version that readers
 take. If a section is broken, the pointer and with it every table stay as they were, the staged ones go, and the report names the
 section, the rule and examples.
+
+A document of text is read by the driver, so it is bounded. One of any size is in parts: a folder with lines of JSON per section, a
+row of its table each, which tasks write and read; its rules, staging and pointer are the same.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.statsplan import METRICS
+from .scratch import stored
 from .tables import read_session, write_session
 
 POINTER = "current.json"
+HEAD = "session.json"  # of a document in parts, written last
 #: Rows of the tables, by section; of "metadata" also the columns.
 SCHEMAS = {
     "files": "name string, size long, digest string",
@@ -89,6 +94,30 @@ def _typed(spark: SparkSession, section: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(out, schema)
 
 
+def _parts(spark: SparkSession, parts: str) -> list[str]:
+    """The sections of a document in parts, all of them; unknown sections and versions are errors."""
+    fs, path = _files(spark, parts)
+    if not fs.exists(path(HEAD)):
+        raise ValueError("not a session in parts")
+    if json.loads(spark.read.text(str(path(HEAD)), wholetext=True).first()[0]).get("version") != 1:
+        raise ValueError("unknown session version")
+    found = {f.getPath().getName() for f in fs.listStatus(path(".")) if f.isDirectory()}
+    if unknown := found - set(SCHEMAS):
+        raise ValueError(f"unknown sections: {sorted(unknown)}")
+    return list(SCHEMAS)
+
+
+def _read_part(spark: SparkSession, parts: str, section: str) -> DataFrame:
+    fs, path = _files(spark, parts)
+    if not fs.exists(path(section)):
+        return spark.createDataFrame([], SCHEMAS[section])
+    rows = spark.read.schema(f"{SCHEMAS[section]}, _wrong string").option("columnNameOfCorruptRecord", "_wrong").json(str(path(section)))
+    wrong = stored(rows, "session-part")  # Spark answers no question about broken lines alone from the file itself
+    if found := wrong.where("_wrong IS NOT NULL").limit(EXAMPLES).collect():
+        raise BrokenSection(section, "a line is not a row of its table", [r["_wrong"] for r in found])
+    return wrong.drop("_wrong")
+
+
 def _rules(t: dict[str, DataFrame]) -> list[tuple[str, str, DataFrame]]:
     """(section, rule, rows that break it)."""
     repeated = lambda s, *c: t[s].groupBy(*c).count().where("count > 1").drop("count")
@@ -149,13 +178,31 @@ def _promote(spark: SparkSession, folder: str, version: str) -> None:
 def restore(spark: SparkSession, document: str, folder: str, before_promotion: Callable[[], None] | None = None) -> Report:
     """Restores a document's tables under folder. before_promotion runs when all sections are staged; what it raises fails the
     restore like a broken section."""
+
+    def sections():
+        for section, rows in _rows(read_session(document)).items():
+            yield section, lambda section=section, rows=rows: _typed(spark, section, rows)
+
+    return _restore(spark, sections, folder, before_promotion)
+
+
+def restore_parts(spark: SparkSession, parts: str, folder: str, before_promotion: Callable[[], None] | None = None) -> Report:
+    """restore() of a document in parts. Numbers in place of a text are read as their text."""
+
+    def sections():
+        for section in _parts(spark, parts):
+            yield section, lambda section=section: _read_part(spark, parts, section)
+
+    return _restore(spark, sections, folder, before_promotion)
+
+
+def _restore(spark: SparkSession, sections: Callable[[], Iterator[tuple[str, Callable[[], DataFrame]]]], folder: str, before_promotion: Callable[[], None] | None) -> Report:
     version, section = uuid.uuid4().hex, "document"
     fs, path = _files(spark, folder)
     try:
-        parsed = read_session(document)
         staged = {}
-        for section, rows in _rows(parsed).items():
-            staged[section] = _typed(spark, section, rows)
+        for section, typed in sections():
+            staged[section] = typed()
             staged[section].write.parquet(f"{folder.rstrip('/')}/{version}/{section}")
         staged = {s: spark.read.schema(SCHEMAS[s]).parquet(f"{folder.rstrip('/')}/{version}/{s}") for s in staged}
         for section, rule, broken in _rules(staged):
@@ -207,3 +254,20 @@ def collected(tables: Mapping[str, DataFrame], most_bytes: int = 16 << 20) -> st
     if len(text.encode()) > most_bytes:
         raise ValueError("session is too large")
     return text
+
+
+def collected_parts(tables: Mapping[str, DataFrame], parts: str) -> str:
+    """Writes the document of tables by section in parts, in a new folder, and returns it: no row comes to the driver."""
+    if unknown := set(tables) - set(SCHEMAS):
+        raise ValueError(f"unknown sections: {sorted(unknown)}")
+    spark = next(iter(tables.values())).sparkSession
+    for section, table in tables.items():
+        fields = [f for f in T._parse_datatype_string(SCHEMAS[section]).fields if f.name in table.columns]
+        cells = {f.name: F.col(f.name).cast(f.dataType) for f in fields}
+        cells |= {f.name: F.when(~F.isnan(cells[f.name]), cells[f.name]) for f in fields if isinstance(f.dataType, T.DoubleType)}
+        table.select(*[c.alias(k) for k, c in cells.items()]).write.json(f"{parts.rstrip('/')}/{section}")
+    fs, path = _files(spark, parts)
+    out = fs.create(path(HEAD), False)
+    out.write(json.dumps({"version": 1}).encode())
+    out.close()
+    return parts

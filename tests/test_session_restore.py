@@ -62,3 +62,29 @@ def test_collected_tables_restore_to_themselves(spark, tmp_path):
     assert session.restore(spark, text, two).status == "restored" and contents(spark, one) == contents(spark, two)
     with pytest.raises(ValueError, match="too large"):
         session.collected({"files": session.restored(spark, one, "files")}, most_bytes=10)
+
+
+def test_a_document_in_parts_restores_like_one_of_text(spark, tmp_path):
+    one, two, parts = (f"file://{tmp_path}/{k}" for k in ("one", "two", "parts"))
+    session.restore(spark, document(), one)
+    tables = {s: session.restored(spark, one, s) for s in session.SCHEMAS}
+    done = session.restore_parts(spark, session.collected_parts(tables, parts), two)
+    assert done.status == "restored" and done.rows["files"] == 2 and contents(spark, one) == contents(spark, two)
+    before = contents(spark, two)
+    (tmp_path / "parts/files/x.json").write_text('{"name":"c.fcs","size":"big"}\n')
+    wrong = session.restore_parts(spark, parts, two)
+    assert (wrong.status, wrong.failed_section, wrong.version) == ("failed", "files", done.version) and "big" in wrong.reason
+    (tmp_path / "parts/files/x.json").write_text('{"name":"a.fcs"}\n')
+    assert session.restore_parts(spark, parts, two).reason.startswith("files: a name comes twice")
+    (tmp_path / "parts/files/x.json").unlink()
+    (tmp_path / "parts/other").mkdir()
+    assert session.restore_parts(spark, parts, two).failed_section == "document"
+    assert session.restore_parts(spark, f"{parts}-none", two).failed_section == "document" and contents(spark, two) == before
+
+
+def test_a_session_of_more_rows_than_a_text_holds(spark, tmp_path):
+    names = spark.range(300_000).selectExpr("concat('a-long-name-of-a-sample-file-', id, '.fcs') AS name", "id AS size")
+    with pytest.raises(ValueError, match="too large"):
+        session.collected({"files": names})
+    done = session.restore_parts(spark, session.collected_parts({"files": names}, f"file://{tmp_path}/parts"), f"file://{tmp_path}/s")
+    assert done.status == "restored" and done.rows["files"] == 300_000
