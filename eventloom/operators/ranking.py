@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite
+from .beside import beside
 
 
 def indexed(df: DataFrame, by: str | Sequence[str], order: str, name: str, block: int = 1 << 20, *, cut: str | None = None, total: str | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def quantiles(df: DataFrame, by: str, value: str | Sequence[str], shares: Sequen
     small = F.col("_n") <= accuracy
     low = [F.when(small, float("-inf")).otherwise(F.col("_e")[2 * k]).alias(f"_a{k}") for k in range(len(shares))]
     high = [F.when(small, float("inf")).otherwise(F.col("_e")[2 * k + 1]).alias(f"_b{k}") for k in range(len(shares))]
-    placed = values.join(sketch.select(*keys, *low, *high), keys)
+    placed = beside(values, sketch.select(*keys, *low, *high), keys, ["_x"])
     x, cell, inside = F.col("_x"), F.lit(0), F.lit(False)
     for k in range(len(shares)):
         cell = cell + (x >= F.col(f"_a{k}")).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite
+from .beside import beside
 from .ranking import quantiles
 
 
@@ -29,7 +30,7 @@ def column_stats(events: DataFrame, by: str, value: str) -> DataFrame:
 def spread(events: DataFrame, by: str, value: str) -> DataFrame:
     """(by, median, mad, robust_sd) of finite values: the median of distances from the median, and 1.4826 times it."""
     centre = quantiles(events, by, value, [0.5]).select(by, F.col("q").alias("median"))
-    away = events.join(centre, by).withColumn("_d", F.abs(F.col(value) - F.col("median")))
+    away = beside(events, centre, by, [value]).withColumn("_d", F.abs(F.col(value) - F.col("median")))
     mad = quantiles(away, by, "_d", [0.5]).select(by, F.col("q").alias("mad"))
     return centre.join(mad, by).withColumn("robust_sd", 1.4826 * F.col("mad"))
 
@@ -90,7 +91,7 @@ def histogram(events: DataFrame, by: str, value: str, bins: int, *, low: float |
         ends = usable.select(by).distinct().withColumns({"_a": F.lit(float(low)), "_b": F.lit(float(high))})
     a, b = resolved_range(F.col("_a"), F.col("_b"))
     ends = ends.select(by, a.alias("_a"), b.alias("_b")).withColumn("_w", (F.col("_b") - F.col("_a")) / bins)
-    put = usable.join(ends, by).where((F.col("_x") >= F.col("_a")) & (F.col("_x") <= F.col("_b")))
+    put = beside(usable, ends, by, ["_x"]).where((F.col("_x") >= F.col("_a")) & (F.col("_x") <= F.col("_b")))
     counts = put.groupBy(by, F.least(F.floor((F.col("_x") - F.col("_a")) / F.col("_w")), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = ends.select(by, "_a", "_w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     return grid.join(counts, [by, "bin"], "left").select(by, "bin", F.coalesce("count", F.lit(0)).alias("count"), (F.col("_a") + F.col("bin") * F.col("_w")).alias("left"), (F.col("_a") + (F.col("bin") + 1) * F.col("_w")).alias("right"))

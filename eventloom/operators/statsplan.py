@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite
+from .beside import beside
 from .ranking import quantiles
 
 PLAN = "channel string, metric string, mask string"
@@ -68,8 +69,10 @@ def computed(events: DataFrame, by: str, plan: DataFrame, masks: dict[str, Colum
 
 def replayed(events: DataFrame, by: str, plan: DataFrame, done: DataFrame, masks: dict[str, Column] | None = None) -> DataFrame:
     """done, rows of computed(), and the plan's statistics of the samples that it lacks."""
-    have = done.select(F.col(by).alias("_done")).distinct()
-    return done.unionByName(computed(events.join(have, F.col(by).eqNullSafe(F.col("_done")), "left_anti"), by, plan, masks))
+    channels = {r.channel.lower() for r in plan.select("channel").distinct().limit(MOST + 1).collect()}
+    over = [c for c in events.columns if c.lower() in channels] or [by]
+    fresh = beside(events, done.select(by).distinct(), by, over, "left_anti", null_safe=True)
+    return done.unionByName(computed(fresh, by, plan, masks))
 
 
 def new_files(spark: SparkSession, folder: str, done: DataFrame, by: str) -> list[str]:
