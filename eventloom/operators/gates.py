@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_finite
+from .beside import beside
 from .compact import cells
 from .ranking import quantiles
 
@@ -117,7 +118,7 @@ def apply_scatter(points: DataFrame, fits: DataFrame, by: str, x: str, y: str, c
     d2 = (F.col("yy") * dx * dx - 2 * F.col("xy") * dx * dy + F.col("xx") * dy * dy) / (F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy"))
     gate = fits.select(by, "status", "mean_x", "mean_y", "xx", "xy", "yy")
     inside = F.when(F.col("status") == "fitted", F.coalesce(d2 <= limit, F.lit(False)))
-    return points.join(gate, by, "left").withColumn("scatter_ok", inside).drop("status", "mean_x", "mean_y", "xx", "xy", "yy")
+    return beside(points, gate, by, [x, y], "left").withColumn("scatter_ok", inside).drop("status", "mean_x", "mean_y", "xx", "xy", "yy")
 
 
 def ridge(p: np.ndarray, n: np.ndarray, *, rounds: int = 50, tolerance: float = 1e-7, huber: float = 1.345) -> tuple[np.ndarray, np.ndarray, float, float, np.ndarray, bool]:
@@ -223,4 +224,4 @@ def apply_singlets(points: DataFrame, fits: DataFrame, by: str, area: str, other
     gate = fits.drop("n", "review")
     near = F.abs(ridge_distance(F.col(area), F.col(other)) - F.col("mid")) <= k * F.col("mad")
     inside = F.when(F.col("status") == "fitted", F.coalesce(near, F.lit(False)))
-    return points.join(gate, by, "left").withColumns({"singlet_ok": inside, "singlet_status": F.col("status")}).drop(*[c for c in gate.columns if c != by])
+    return beside(points, gate, by, [area, other], "left").withColumns({"singlet_ok": inside, "singlet_status": F.col("status")}).drop(*[c for c in gate.columns if c != by])

@@ -408,7 +408,7 @@ def gmm_gate(spark, d):
 def ridge_fit(spark, d):
     events = pulse_events(spark, d)
     fits = gates.fit_singlets(events, "sample_id", "dna_a", "dna_w")
-    return gates.apply_singlets(events, fits, "sample_id", "dna_a", "dna_w").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("singlet_ok").alias("kept"), F.first("singlet_status").alias("status"))
+    return gates.apply_singlets(events, fits, "sample_id", "dna_a", "dna_w").groupBy("sample_id", F.col("singlet_status").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.count_if("singlet_ok").alias("kept")).select("sample_id", "n", "kept", "status")
 
 
 def _arrays(spark, d):
