@@ -191,7 +191,7 @@ def _pulse_evidence(points: DataFrame, by: str, area: str, other: str, preferenc
     pairs = points.where(is_finite(F.col(area)) & is_finite(F.col(other))).select(by, F.col(area).cast("double").alias("_x"), F.col(other).cast("double").alias("_y"))
     middle = quantiles(pairs, by, ["_x", "_y"], [0.5]).groupBy(by).agg(*[F.max(F.when(F.col("column") == c, F.col("q"))).alias(m) for c, m in (("_x", "_mx"), ("_y", "_my"))])
     dx, dy = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my")
-    sums = pairs.join(middle, by).groupBy(by).agg(F.count(F.lit(1)).alias("_f"), F.count_if((F.col("_x") > 0) & (F.col("_y") > 0)).alias("_pos"), F.sum(dx * dy).alias("_xy"), F.sum(dx * dx).alias("_xx"), F.sum(dy * dy).alias("_yy"))
+    sums = beside(pairs, middle, by, ["_x", "_y"]).groupBy(by).agg(F.count(F.lit(1)).alias("_f"), F.count_if((F.col("_x") > 0) & (F.col("_y") > 0)).alias("_pos"), F.sum(dx * dy).alias("_xy"), F.sum(dx * dx).alias("_xx"), F.sum(dy * dy).alias("_yy"))
     each = points.groupBy(by).agg(F.count(F.lit(1)).alias("_all")).join(sums, by, "left")
     spread = (F.col("_f") >= 3) & (F.col("_xx") > 0) & (F.col("_yy") > 0)
     correlation = F.when(spread, F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy"))).otherwise(0.0)
