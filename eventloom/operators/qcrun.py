@@ -9,6 +9,7 @@ is joined to its events.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from decimal import Decimal
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,13 @@ class Filter(NamedTuple):
     needs: dict[str, Callable[[Column], Column]] = {}
 
 
+def mean_at_least(x: Column, least: str, places: int = 6) -> Column:
+    """Whether the mean of x, rounded to so many places, is `least` (a decimal number) or more; null without values. Sums are of
+    decimals: those of doubles depend on the order of rows, and a mean that equals the limit would fall to either side of it. Values that no such decimal holds leave the mean of doubles."""
+    exact = x.try_cast(f"decimal(18,{places})")
+    return F.when(F.count(exact) == F.count(x), F.sum(exact) >= F.count(x) * F.lit(Decimal(least))).otherwise(F.avg(x) >= float(least))
+
+
 def _mask(k: int, f: Filter) -> Column:
     """A filter's mask where it was applied, else null; an event for which the mask is null is kept."""
     return F.when(F.col(f"_status{k}") == APPLIED, F.coalesce(f.mask, F.lit(True)))

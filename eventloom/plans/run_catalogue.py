@@ -66,7 +66,7 @@ def _filters():
     return [
         Filter("structural", samples.structural_mask({"dna_a": F.col("ceiling_dna_a"), "dna_h": F.col("ceiling_dna_h")}), {"NO_EVENTS": lambda kept: F.count_if(kept) > 0}),
         Filter("pulse", F.col("dna_h") < 45, {"HEIGHT_OUT_OF_RANGE": lambda kept: F.avg(F.when(kept, F.col("dna_h"))) <= 25.5}),
-        Filter("scatter", F.col("ssc_a") > 0.01, {"SCATTER_TOO_LOW": lambda kept: F.avg(F.when(kept, F.col("fsc_a"))) >= 0.0499}),
+        Filter("scatter", F.col("ssc_a") > 0.01, {"SCATTER_TOO_LOW": lambda kept: qcrun.mean_at_least(F.when(kept, F.col("fsc_a")), "0.0499")}),
     ]
 
 

@@ -95,3 +95,17 @@ def test_waivers_need_a_reason_for_every_open_filter(spark):
     waivers = spark.createDataFrame([("a", "time", "known"), ("b", "time", "known"), ("a", "cell", " ")], "s string, name string, reason string")
     got = {(r.s, r["name"]): (r.waiver, r.approved) for r in calibration.waived(steps, waivers, "s").collect()}
     assert got == {("a", "time"): ("known", False), ("a", "cell"): (None, False), ("b", "time"): ("known", True)}
+
+
+def test_a_mean_that_equals_its_limit_meets_it_in_any_order_of_rows(spark):
+    rows = spark.createDataFrame([("a", x) for x in [0.05] * 490 + [0.04] * 5 + [0.05] * 5] + [("b", x) for x in [0.05] * 494 + [0.04] * 6] + [("c", None), ("d", float("nan")), ("e", 1e300)], "s string, x double")
+    whole = lambda df: {r.s: r.ok for r in df.groupBy("s").agg(qcrun.mean_at_least(F.col("x"), "0.0499").alias("ok")).collect()}
+    assert whole(rows) == whole(rows.coalesce(1).orderBy("x")) == {"a": True, "b": False, "c": None, "d": True, "e": True}
+    masked, steps = qcrun.run(rows, "s", [Filter("mean", F.lit(True), {"LOW": lambda kept: qcrun.mean_at_least(F.when(kept, F.col("x")), "0.0499")})])
+    assert {r.s: r.status for r in steps.collect()} == {"a": "applied", "b": "failed", "c": "failed", "d": "applied", "e": "applied"}
+
+
+def test_the_scatter_filter_of_the_query_is_exact(spark):
+    rows = spark.createDataFrame([("a", x) for x in [0.02, 0.08] * 247 + [0.04] * 5 + [0.05]], "sample_id string, fsc_a double").coalesce(1).selectExpr("*", "0.05D AS ssc_a")
+    steps = qcrun.run(rows, "sample_id", run_catalogue._filters()[2:])[1]
+    assert [r.status for r in steps.collect()] == ["applied"] and rows.agg(F.avg("fsc_a")).first()[0] < 0.0499
