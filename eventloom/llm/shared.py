@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Removes a table that written() made."""
-    jvm = df.sparkSession._jvm
     for f in {f.rpartition("/")[0] for f in df.inputFiles()}:  # none, if the table has no rows
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        removed(df.sparkSession, f)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Removes a folder and what is in it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a query go when it has ended. Else they stay until the driver collects its garbage, which it does
+    by its own memory: with the same number of queries over larger tables, ever more of them lie on the disks at once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def with_columns(df: DataFrame, **new) -> DataFrame:

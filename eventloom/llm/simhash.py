@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ASCII_LOWER, ASCII_UPPER, LOWER_TABLE, components, forget, lean, release, small_batches, text_arrays, written
-from .windows import Plan, anchors, sized_cells, sketch, streams
+from .shared import ASCII_LOWER, ASCII_UPPER, LOWER_TABLE, components, dropped_shuffles, forget, lean, release, small_batches, text_arrays, written
+from .shingles import shingle_sets
 
 BITS = 64
 
@@ -258,59 +258,16 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return prints.join(by_print, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
 
 
-def shingle_sets(texts: DataFrame, *, shingle: int, similarity: float, seed: int = 42, cell_bits: int = 26, many: int = 8) -> tuple[DataFrame, DataFrame]:
-    """texts(words, text) -> sets(words, shingles) and heads(key, words, n, place), of the texts that can have a Jaccard similarity
-    of `similarity` or more with another. Rows whose words are not those of the hash beside them are left out.
-
-    Shingles (64-bit hashes) are ordered by how often a count-min sketch saw them (once, more, `many` or more), then by hash. Two
-    sets of that similarity share one among the first n - ceil(similarity * n) + 1 of each, which are the heads. A shingle seen
-    once is in no other text, so it is not sent, and a text without heads is similar to none; nor is one of fewer words than a
-    shingle, unless to one of the same words. The sketch has 2^cell_bits cells a
-    row or as few as there are bytes: it decides only how many heads there are."""
-    lower = texts.select(F.translate(F.coalesce("text", F.lit("")), ASCII_UPPER, ASCII_LOWER).alias("text"), "words")
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    plan = Plan("words", shingle, shingle, sized_cells(size // 4, cell_bits), many)
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(sketch(lower, plan))  # two bits for each of two rows of 2^cell_bits cells at most
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(1).to_numpy()
-            for first, s in streams(batch.column(0), plan.kind):
-                found = anchors(s, plan)  # of windows as long as their anchors: each window's own hash
-                row, h = np.searchsorted(s.row_at, found.low, "right") - 1, found.hash
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
-                new = np.concatenate(([True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])))[: len(h)]
-                row, h = row[new], h[new]
-                two, often = shared.value.repeats(h, plan)
-                level = two.astype(np.int8) + (two & often)
-                order = np.lexsort((h, level, row))
-                row, h, level = row[order], h[order], level[order]
-                sizes = np.bincount(row, minlength=len(s.row_at) - 1)
-                edge = np.concatenate(([0], np.cumsum(sizes)))
-                place = np.arange(len(row)) - edge[row]
-                sent = (level > 0) & (place <= sizes[row] - np.ceil(similarity * sizes[row] - 1e-6))
-                own = [r for r in np.unique(row[sent]).tolist() if xxhash.xxh64_intdigest(s.body[s.at[s.row_at[r]] : s.at[s.row_at[r + 1]] - s.gap].tobytes(), seed) == int(words[first + r : first + r + 1].view(np.uint64)[0])]
-                cuts = [slice(edge[r], edge[r + 1]) for r in own]
-                signed = h.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(words[first + np.array(own, np.int64)]), pa.array([signed[c] for c in cuts], pa.list_(pa.int64())), pa.array([place[c][sent[c]] for c in cuts], pa.list_(pa.int32()))], names=["words", "shingles", "places"])
-
-    sets = written(lower.mapInArrow(lean(heads), "words long, shingles array<long>, places array<int>"), "sets")
-    shared.destroy()
-    release()
-    sent = sets.select("words", F.size("shingles").alias("n"), "shingles", F.explode("places").alias("place")).select(F.expr("shingles[place]").alias("key"), "words", "n", "place").distinct()
-    return sets.select("words", "shingles"), written(sent, "heads")
-
-
 def similar(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs(a, b) whose sets(words, shingles) have a Jaccard similarity of `similarity` or more, as a table of its own; pairs
-    of which a set is missing are left out."""
+    """The pairs(a, b) whose sets(words, n, shingles) have a Jaccard similarity of `similarity` or more, as a table of its own; n is
+    the size of a set, shingles those of it that others may have. Pairs of which a set is missing are left out."""
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    x, y = (sets.select(F.col("words").alias(c), F.col("shingles").alias("s" + c)) for c in ("a", "b"))
+    x, y = (sets.select(F.col("words").alias(c), F.col("n").alias("n" + c), F.col("shingles").alias("s" + c)) for c in ("a", "b"))
     common = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9)
-    return written(met.select("a", "b").distinct().repartition(max(1, pairs.count() // 100_000)), "similar")
+    met = pairs.join(x, "a").join(y, "b").where(common >= similarity * (F.col("na") + F.col("nb") - common) - 1e-9)
+    found = written(met.select("a", "b").distinct().repartition(max(1, pairs.count() // 100_000)), "similar")
+    forget(pairs)
+    return found
 
 
 def _fits(similarity: float) -> F.Column:
@@ -342,10 +299,15 @@ def _all_pairs(own: DataFrame, similarity: float) -> DataFrame:
 
 
 def _joined(known: DataFrame, more: DataFrame) -> DataFrame:
-    """known(node, component) after more links(a, b); a node and its component stand for all links found before."""
+    """known(node, component) after more links(a, b); a node and its component stand for all links found before. Both tables go where
+    a new one is made."""
     if more.isEmpty():
+        forget(more)
         return known
-    return components(known.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    now = components(known.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    for table in (known, more):
+        forget(table)
+    return now
 
 
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -356,7 +318,7 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8, near_bits: int = 4, parts: int = 4, stars: tuple[int, ...] = (4, 32), at_once: int = 50_000) -> DataFrame:
-    """(node, words, component, first): documents in one group with another. node is a document's doc_id, words the hash of its
+    """(node, words, component, first): documents in one group with another, as a table of its own. node is a document's doc_id, words the hash of its
     word sequence, component the smallest doc_id of the group, first whether it is the one of the group that stays.
 
     Documents of equal words are one class. Two classes link if their Jaccard similarity is `similarity` or more. Classes whose
@@ -366,26 +328,37 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shing
     components meet. Their pairs are compared in turns of at_once, or half as many as there are classes, so that what a turn ships
     stays bounded; those that a turn before has joined are passed over. Null ids are in no group; rows that share doc_id and words
     are one document."""
-    rows = written(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle, whole=True).where("doc_id is not null"), "prints")
-    classes = written(rows.groupBy("words").agg(F.min("doc_id").alias("node"), F.min("fingerprint").alias("fingerprint")), "classes")
-    plain = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    texts = written(plain.join(classes.select("node", "words"), F.col("id") == F.col("node")).select("words", "text"), "texts")
-    sets, heads = shingle_sets(texts, shingle=shingle, similarity=similarity)
-    forget(texts)
-    prints = classes.groupBy("fingerprint").agg(F.min(F.struct("node", "words"))["words"].alias("node"))
-    one = written(prints, "heads-of-prints")
-    equal = classes.join(one.withColumnRenamed("node", "head"), "fingerprint").where("words != head").select(F.col("head").alias("a"), F.col("words").alias("b"))
-    known = components(similar(sets, links(one, most_bits=near_bits, parts=parts).unionByName(equal), similarity))
-    for seed, most in enumerate(stars):
-        known = _joined(known, similar(sets, _star(_owned(heads, known), similarity, most, seed), similarity))
-    left = written(_all_pairs(_owned(heads, known), similarity), "candidates")
-    turns = -(-left.count() // max(at_once, classes.count() // 2))
-    for turn in range(turns):
-        part = left.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn)
-        known = _joined(known, similar(sets, _apart(part, known) if turn else part, similarity))
-    own = rows.select("doc_id", "words").distinct().join(known, F.col("words") == F.col("node"), "left").select(F.col("doc_id").alias("node"), "words", F.coalesce("component", "words").alias("at"))
-    least = own.groupBy("at").agg(F.min(F.struct("node", "words")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return own.join(least, "at").select("node", "words", F.col("least.node").alias("component"), (F.struct("node", "words") == F.col("least")).alias("first"))
+    with dropped_shuffles(docs.sparkSession):
+        rows = written(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle, whole=True).where("doc_id is not null"), "prints")
+        classes = written(rows.groupBy("words").agg(F.min("doc_id").alias("node"), F.min("fingerprint").alias("fingerprint")), "classes")
+        sets, heads = shingle_sets(docs, classes, text=text, doc_id=doc_id, shingle=shingle, similarity=similarity)
+        one = written(classes.groupBy("fingerprint").agg(F.min(F.struct("node", "words"))["words"].alias("node")), "heads-of-prints")
+        equal = classes.join(one.withColumnRenamed("node", "head"), "fingerprint").where("words != head").select(F.col("head").alias("a"), F.col("words").alias("b"))
+        near = links(one, most_bits=near_bits, parts=parts)
+        found = similar(sets, near.unionByName(equal), similarity)
+        known = components(found)
+        for table in (found, near, one):  # near reads the probes
+            forget(table)
+        for seed, most in enumerate(stars):
+            own = _owned(heads, known)
+            known = _joined(known, similar(sets, _star(own, similarity, most, seed), similarity))
+            forget(own)
+        own = _owned(heads, known)
+        left = written(_all_pairs(own, similarity), "candidates")
+        for table in (own, heads):
+            forget(table)
+        turns = -(-left.count() // max(at_once, classes.count() // 2))
+        for turn in range(turns):
+            part = left.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn)
+            known = _joined(known, similar(sets, _apart(part, known) if turn else part, similarity))
+        for table in (left, sets, classes):
+            forget(table)
+        own = rows.select("doc_id", "words").distinct().join(known, F.col("words") == F.col("node"), "left").select(F.col("doc_id").alias("node"), "words", F.coalesce("component", "words").alias("at"))
+        least = own.groupBy("at").agg(F.min(F.struct("node", "words")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        out = written(own.join(least, "at").select("node", "words", F.col("least.node").alias("component"), (F.struct("node", "words") == F.col("least")).alias("first")), "groups")
+        for table in (rows, known):
+            forget(table)
+    return out
 
 
 def words_hash(text) -> F.Column:
